@@ -65,60 +65,60 @@ def _encoder(ranks, pattern: str):
 
 
 def _blocks(ranges: int, block_bytes: int):
-    """mapInArrow: texts to numbered words. Rows of kind 0 are texts, of kind 1
-    the words of one block in one hash range."""
+    """mapInArrow: texts to numbered words. Rows of kind 0 hold texts (256 at
+    most), of kind 1 the words of one block in one hash range, of kind 2 the place
+    of each word number among them. The commonest words have the smallest numbers."""
 
-    def flush(part: int, k: int, ids: list, docs: list, number: dict):
-        block = (part << 24) + k
+    def flush(block: int, ids: list, docs: list, number: dict):
         words = [w.encode() for w in number]
         at = np.fromiter((hash64(w) % ranges for w in words), np.int64, len(words))
-        order = np.argsort(at, kind="stable")
-        place = np.empty(len(words), np.uint32)
+        order = sorted(range(len(words)), key=lambda i: (at[i], words[i]))
+        counts = np.bincount(np.concatenate(docs), minlength=len(words)) if words else np.empty(0, np.int64)
+        by_count = np.argsort(-counts, kind="stable")
+        rank, place = np.empty(len(words), np.uint32), np.empty(len(words), np.uint32)
+        rank[by_count] = np.arange(len(words), dtype=np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
-        for lo in range(0, len(ids), 2000):
-            codes = [pack(place[c]) for c in docs[lo : lo + 2000]]
-            n = len(codes)
-            yield block, ids[lo : lo + 2000], [0] * n, [0] * n, codes, [None] * n
+        for lo in range(0, len(ids), 256):
+            some = docs[lo : lo + 256]
+            yield block, 0, [None], [ids[lo : lo + 256]], [pack(np.array([len(d) for d in some], np.uint32))], [pack(rank[np.concatenate(some)])]
         ps, first = np.unique(at[order], return_index=True)
-        ends = [*first[1:], len(order)]
         lens, blobs = [], []
-        for a, b in zip(first, ends, strict=True):
+        for a, b in zip(first, [*first[1:], len(order)], strict=True):
             own = [words[i] for i in order[a:b]]
             lens.append(pack(np.fromiter(map(len, own), np.uint32, len(own))))
-            blobs.append(b"".join(own))
-        n = len(ps)
-        yield block, [None] * n, [1] * n, ps.tolist(), lens, blobs
+            blobs.append(pack(np.frombuffer(b"".join(own), np.uint8), 3))
+        yield block, 1, ps.tolist(), [None] * len(ps), lens, blobs
+        yield block, 2, [None], [None], [None], [pack(place[by_count])]
 
     def run(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        id_type, k = None, 0
+        part, k, id_type = TaskContext.get().partitionId(), 0, None
         ids, docs, size = [], [], 0
         number: dict[str, int] = defaultdict()
         number.default_factory = number.__len__
 
-        def rows(block, i, kind, p, codes, blob):
-            n = len(kind)
+        def rows(block, kind, p, i, codes, blob):
+            n = len(p)
             return pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), pa.array(i, id_type), pa.array(kind, pa.int32()), pa.array(p, pa.int64()), pa.array(codes, pa.binary()), pa.array(blob, pa.binary())],
-                names=["block", "id", "kind", "p", "codes", "blob"],
+                [pa.array([block] * n, pa.int64()), pa.array(i, pa.list_(id_type)), pa.array([kind] * n, pa.int32()), pa.array(p, pa.int64()), pa.array(codes, pa.binary()), pa.array(blob, pa.binary())],
+                names=["block", "ids", "kind", "p", "lens", "data"],
             )
 
         for batch in batches:
             id_type = batch.column(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text or "")
-                docs.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                docs.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
                 ids.append(i)
                 size += len(text or "")
                 if size >= block_bytes:
-                    for x in flush(part, k, ids, docs, number):
+                    for x in flush((part << 24) + k, ids, docs, number):
                         yield rows(*x)
                     ids, docs, size, k = [], [], 0, k + 1
                     number.clear()
         if ids:
-            for x in flush(part, k, ids, docs, number):
+            for x in flush((part << 24) + k, ids, docs, number):
                 yield rows(*x)
 
     return run
@@ -133,8 +133,8 @@ def _encode_range(shared, pattern: str):
         number: dict[bytes, int] = {}
         ids: list[list[int]] = []
         lens_out, ids_out = [], []
-        for lens, blob in zip(table["codes"], table["blob"], strict=True):
-            raw, which, at = blob.as_py(), [], 0
+        for lens, blob in zip(table["lens"], table["data"], strict=True):
+            raw, which, at = unpack(blob.as_py(), np.uint8).tobytes(), [], 0
             for n in unpack(lens.as_py(), np.uint32).tolist():
                 word = raw[at : at + n]
                 at += n
@@ -157,15 +157,22 @@ def _reassemble(key, docs: pa.Table, words: pa.Table) -> pa.Table:
     lens = np.concatenate([none, *(unpack(lens_of[i], np.uint32) for i in order)]).astype(np.int64)
     flat = np.concatenate([none, *(unpack(ids_of[i], np.uint32) for i in order)])
     starts = np.cumsum(lens) - lens
-    out, n = [], []
-    for codes in docs["codes"]:
-        ids = gather(flat, starts, lens, unpack(codes.as_py(), np.uint32).astype(np.int64))
-        out.append(ids.astype("<u4").tobytes())
-        n.append(len(ids))
-    return pa.table({"id": docs["id"], "n_tokens": pa.array(n, pa.int64()), "ids_le": pa.array(out, pa.binary())})
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    kind, ids, doc_lens, data = docs["kind"].to_pylist(), docs["ids"], docs["lens"].to_pylist(), docs["data"].to_pylist()
+    place = unpack(data[kind.index(2)], np.uint32).astype(np.int64)
+    starts, lens = starts[place], lens[place]
+    own, out, n = [], [], []
+    for k in (i for i, x in enumerate(kind) if x == 0):
+        codes, at = unpack(data[k], np.uint32).astype(np.int64), 0
+        for m in unpack(doc_lens[k], np.uint32).tolist():
+            tokens = gather(flat, starts, lens, codes[at : at + m])
+            at += m
+            out.append(tokens.astype("<u4").tobytes())
+            n.append(len(tokens))
+        own.append(ids[k].values)
+    return pa.table({"id": pa.chunked_array(own, docs.schema.field("ids").type.value_type), "n_tokens": pa.array(n, pa.int64()), "ids_le": pa.array(out, pa.binary())})
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """``id, n_tokens, ids_le``: a text's token ids as little-endian unsigned
     32-bit integers, as the tiktoken library's encode_ordinary gives them.
     :func:`as_array` turns them into an array column."""
@@ -174,11 +181,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     ranges = key_ranges(src)
-    blocks = Staged(src.mapInArrow(_blocks(ranges, block_bytes), f"block long, id {kind}, kind int, p long, codes binary, blob binary"), "bpe-blocks")
-    asked = blocks.df.where("kind = 1").select("block", "p", "codes", "blob")
-    replies = asked.groupBy("p").applyInArrow(_encode_range(shared, pattern), "block long, p long, lens binary, ids binary")
-    docs = blocks.df.where("kind = 0").select("block", "id", "codes")
-    return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_reassemble, f"id {kind}, n_tokens long, ids_le binary")
+    row = f"block long, ids array<{kind}>, kind int, p long, lens binary, data binary"
+    blocks = Staged(src.mapInArrow(_blocks(ranges, block_bytes), row), "bpe-blocks", by=["kind"])
+    asked = blocks.df.where("kind = 1").select("block", "p", "lens", "data")
+    replies = Staged(asked.groupBy("p").applyInArrow(_encode_range(shared, pattern), "block long, p long, lens binary, ids binary"), "bpe-ids")
+    blocks.drop("kind=1")
+    docs = blocks.df.where("kind != 1").select("block", "kind", "ids", "lens", "data")
+    return docs.groupBy("block").cogroup(replies.df.groupBy("block")).applyInArrow(_reassemble, f"id {kind}, n_tokens long, ids_le binary")
 
 
 def as_array(ids_le: str = "ids_le"):

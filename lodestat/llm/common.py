@@ -72,15 +72,16 @@ class Staged:
     """A table written once, so that later readers don't repeat its work and a
     lost executor costs a re-read. ``drop`` it when nothing reads it any more."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, by: list[str] | None = None):
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/{tag}-{uuid.uuid4().hex}"
         with _setting(self.spark, _CLEANUP, "true"):  # its shuffle files aren't needed once it is written
-            df.write.option("compression", "zstd").parquet(self.path)
+            df.write.option("compression", "zstd").partitionBy(*by or []).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        drop_path(self.spark, self.path)
+    def drop(self, part: str = "") -> None:
+        """Delete the table, or one of the folders that ``by`` has made."""
+        drop_path(self.spark, f"{self.path}/{part}" if part else self.path)
 
 
 def key_ranges(df: DataFrame, bytes_per_range: int = 8 << 20) -> int:

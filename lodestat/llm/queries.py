@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lm_score, substring_dedup
+from . import byte_bpe, decontaminate, lm_score, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,31 @@ FROM w LEFT JOIN k USING (r)
 """
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find_hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
+    hit, ids = decontaminate.n_hit(), F.array_sort(F.filter("item_ids", lambda x: x.isNotNull()))
+    return hits.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS b, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT item_id, b, least(len(ws), 10) AS n, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS s FROM b WHERE len(ws) > 0),
+k AS (SELECT DISTINCT item_id, b, n, array_to_string(ws[s:s + n - 1], ' ') AS t FROM i),
+n AS (SELECT DISTINCT n FROM k),
+p AS (SELECT r, n, s, array_to_string(ws[s:s + n - 1], ' ') AS t FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM w, n WHERE len(ws) >= n)),
+h AS (SELECT r, s, p.n, item_id, b FROM p JOIN k ON p.n = k.n AND p.t = k.t),
+c AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS j FROM h) GROUP BY r),
+d AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id, b FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (r) LEFT JOIN d USING (r)
+"""
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -45,10 +70,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_lm_score": op7_lm_score,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
+    "op6_decontaminate": OP6_SQL,
 }
