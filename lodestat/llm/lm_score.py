@@ -203,7 +203,7 @@ def _scores(tokens: int, types: int, weights: np.ndarray):
     return run
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, block_bytes: int = 6 << 20) -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of
     every text; the model learns from rows whose crc32(id) mod ``modulus`` is
     not ``remainder``. base_score is the unigram's log10, score the mixture's."""

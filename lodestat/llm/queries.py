@@ -9,13 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, lm_score, substring_dedup
+from . import byte_bpe, decontaminate, lm_score, quality, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, _read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), window=35)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -35,6 +43,11 @@ FROM w LEFT JOIN k USING (r)
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "log_weight", "gumbel_key", "kept")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
     hit, ids = decontaminate.n_hit(), F.array_sort(F.filter("item_ids", lambda x: x.isNotNull()))
@@ -69,7 +82,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_lm_score": op7_lm_score,
     "op8_byte_bpe": op8_byte_bpe,
