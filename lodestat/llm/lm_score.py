@@ -26,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Staged, key_ranges, mix, pack, texts_of, unpack
+from .common import Lexicon, Staged, fetch, key_ranges, mix, pack, texts_of, unpack
 
 _END = b"\n"  # no word holds a white space
+#: Bits of a bigram's hash; of 10**9 different bigrams, a few thousand share one.
+BIGRAM_BITS = np.uint64(48)
 BUCKETS, STEPS, LOWEST = 64, 16, -24 * 16
 BINS = 2 + 88 * 16  # the first is for a ratio of 0
 
 
 def _bigrams(h: np.ndarray, codes: np.ndarray, end: int) -> np.ndarray:
-    """64-bit key of each token with the one before it, for texts that each end in the end token."""
+    """Key of each token with the one before it, for texts that each end in the end token."""
     before = np.concatenate([[end], codes[:-1]])
-    return mix(h[before] * np.uint64(0x9E3779B97F4A7C15) + mix(h[codes]))
+    return mix(h[before] * np.uint64(0x9E3779B97F4A7C15) + mix(h[codes])) >> (np.uint64(64) - BIGRAM_BITS)
 
 
 def _counted(keys: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +50,9 @@ def _counted(keys: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _blocks(ranges: int, block_bytes: int):
-    """mapInArrow: rows of kind 0 are texts as word numbers, of kind 1 a block's
-    word hashes, of kinds 2 and 3 its words' and bigrams' counts by hash range."""
+    """mapInArrow: rows of kind 0 are texts (256 at most) as word numbers, of kind 1
+    a block's word hashes, of kinds 2 and 3 its words' and bigrams' counts by hash
+    range. The commonest words have the smallest numbers."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -62,31 +65,36 @@ def _blocks(ranges: int, block_bytes: int):
         def flush():
             nonlocal k, end
             block, k = (part << 24) + k, k + 1
-            h = lexicon.hashed([_END])
-            h = lexicon.hashes
+            lexicon.hashed([_END])
             codes = np.concatenate(state["docs"])
-            taught = np.repeat(~np.array(state["held"]), [len(d) for d in state["docs"]])
-
-            def rows(kind, p, held, ids, data, counts):
+            lens = np.array([len(d) for d in state["docs"]])
+            taught = np.repeat(~np.array(state["held"]), lens)
+            by_count = np.argsort(-np.bincount(codes), kind="stable")
+            rank = np.empty(len(by_count), np.int64)
+            rank[by_count] = np.arange(len(by_count))
+            h, codes, end = lexicon.hashes[by_count], rank[codes], int(rank[end])
+
+            def rows(kind, p, ids, held, lens, data):
                 n = len(data)
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(p, pa.int64()), pa.array(ids, state["type"]), pa.array(held, pa.bool_()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())],
-                    names=["block", "kind", "p", "id", "held_out", "data", "counts"],
+                    [pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(p, pa.int64()), pa.array(ids, pa.list_(state["type"])), pa.array(held, pa.list_(pa.bool_())), pa.array(lens, pa.binary()), pa.array(data, pa.binary())],
+                    names=["block", "kind", "p", "ids", "held", "lens", "data"],
                 )
 
-            for lo in range(0, len(state["docs"]), 2000):
-                some = state["docs"][lo : lo + 2000]
-                yield rows(0, [None] * len(some), state["held"][lo : lo + 2000], state["meta"][lo : lo + 2000], [pack(d.astype(np.uint32)) for d in some], [None] * len(some))
-            yield rows(1, [None], [None], [None], [h.tobytes()], [None])
-            for kind, keys in ((2, h[codes]), (3, _bigrams(h, codes, end))):
+            ends = np.cumsum(lens)
+            for lo in range(0, len(lens), 256):
+                hi = min(lo + 256, len(lens))
+                some = codes[ends[lo] - lens[lo] : ends[hi - 1]]
+                yield rows(0, [None], [state["meta"][lo:hi]], [state["held"][lo:hi]], [pack(lens[lo:hi])], [pack(some.astype(np.uint32))])
+            yield rows(1, [None], [None], [None], [None], [h.tobytes()])
+            for kind, bits, keys in ((2, np.uint64(64), h[codes]), (3, BIGRAM_BITS, _bigrams(h, codes, end))):
                 keys, n = _counted(keys, taught)
-                at = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                at = (keys >> (bits - np.uint64(32))) * np.uint64(ranges) >> np.uint64(32)
                 ps, first = np.unique(at, return_index=True)
-                ends = [*first[1:], len(keys)]
-                cut = list(zip(first, ends, strict=True))
+                cut = list(zip(first, [*first[1:], len(keys)], strict=True))
                 gaps = [np.diff(keys[a:b], prepend=np.uint64(0)) for a, b in cut]
                 none = [None] * len(ps)
-                yield rows(kind, ps.astype(np.int64), none, none, [pack(g) for g in gaps], [pack(n[a:b]) for a, b in cut])
+                yield rows(kind, ps.astype(np.int64), none, none, [pack(n[a:b]) for a, b in cut], [pack(g) for g in gaps])
             lexicon.reset()
             end = int(lexicon.codes([_END])[0])
             state.update(meta=[], docs=[], held=[], size=0)
@@ -114,7 +122,7 @@ def _totals(table: pa.Table) -> pa.Table:
     block gets the totals of its own keys back, in its own order."""
     kind = table["kind"][0].as_py()
     keys = [np.cumsum(unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in table["data"]]
-    counts = np.concatenate([unpack(x.as_py(), np.int64) for x in table["counts"]])
+    counts = np.concatenate([unpack(x.as_py(), np.int64) for x in table["lens"]])
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
     np.add.at(total, which, counts)
@@ -135,11 +143,11 @@ class _Block:
         kind = docs["kind"].to_numpy()
         texts = docs.take(np.flatnonzero(kind == 0))
         h = np.frombuffer(docs["data"][int(np.flatnonzero(kind == 1)[0])].as_py(), np.uint64)
-        self.ids, self.held = texts["id"], np.array(texts["held_out"].to_pylist(), bool)
-        own = [unpack(x.as_py(), np.uint32) for x in texts["data"]]
-        self.lens = np.array([len(x) for x in own])
+        self.ids = pa.chunked_array([x.values for x in texts["ids"]], docs.schema.field("ids").type.value_type)
+        self.held = np.array([y for x in texts["held"].to_pylist() for y in x], bool)
+        self.lens = np.concatenate([unpack(x.as_py(), np.int64) for x in texts["lens"]])
         self.starts = np.cumsum(self.lens) - self.lens
-        codes = np.concatenate(own).astype(np.int64)
+        codes = np.concatenate([unpack(x.as_py(), np.uint32) for x in texts["data"]]).astype(np.int64)
         end = int(codes[-1])  # every text's last token
         before = np.concatenate([[end], codes[:-1]])
         kinds, ps, packed = totals["kind"].to_numpy(), totals["p"].to_numpy(), totals["totals"].to_pylist()
@@ -211,14 +219,16 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
     src = src.withColumn("held_out", F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % modulus == remainder, F.lit(False)))
     kind = src.schema["id"].dataType.simpleString()
     ranges = key_ranges(src)
-    blocks = Staged(src.mapInArrow(_blocks(ranges, block_bytes), f"block long, kind int, p long, id {kind}, held_out boolean, data binary, counts binary"), "lm-blocks")
-    asked = blocks.df.where("kind > 1").select("block", "kind", "p", "data", "counts")
+    blocks = Staged(src.mapInArrow(_blocks(ranges, block_bytes), f"block long, kind int, p long, ids array<{kind}>, held array<boolean>, lens binary, data binary"), "lm-blocks", by=["kind"])
+    asked = blocks.df.where("kind > 1").select("block", "kind", "p", "lens", "data")
     totals = Staged(asked.groupBy("kind", "p").applyInArrow(_totals, "block long, kind int, p long, totals binary, tokens long, types long"), "lm-totals")
     tokens, types = totals.df.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
-    docs = blocks.df.where("kind < 2").select("block", "kind", "id", "held_out", "data")
+    for done in ("kind=2", "kind=3"):
+        blocks.drop(done)
+    docs = blocks.df.where("kind < 2").select("block", "kind", "ids", "held", "lens", "data")
     both = docs.groupBy("block").cogroup(totals.df.select("block", "kind", "p", "totals").groupBy("block"))
-    seen = both.applyInArrow(_ratios(tokens, types), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS * BINS rows at most
+    seen = fetch(both.applyInArrow(_ratios(tokens, types), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")))  # BUCKETS * BINS rows at most
     weights = fit_weights(seen["bin"].to_numpy(np.int64), seen["n"].to_numpy(np.int64))
     out = both.applyInArrow(_scores(tokens, types, weights), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -11,8 +11,8 @@ a first round on all segments, training goes on with the segments of toxic texts
 that the model itself points at, and a logistic fit maps the worst segment's
 margin to the probability of label 1.
 
-Training reads at most ``max_per_class`` labelled rows of each class (smallest
-hash of the id) with at most ``max_train_words`` words; scoring reads every whole
+Training reads at most ``max_per_class`` rows of label 0 and half as many of label
+1 (smallest hash of the id) with at most ``max_train_words`` words; scoring reads every whole
 text. What is broadcast is one number for each bucket.
 
 Null and empty texts get the score of a segment without words. Rows with a null
@@ -103,7 +103,7 @@ class _Corpus:
         self.size = np.maximum(np.bincount(self.seg, weights=self.per_word[self.word], minlength=self.n_seg), 1)
 
 
-def train(texts: list[list[bytes]], y: np.ndarray, positive_share: float, bits: int = 18, dim: int = 4, segment: int = 16, rounds: int = 3, steps: int = 30, min_docs: int = 5, seed: int = 0) -> Model:
+def train(texts: list[list[bytes]], y: np.ndarray, positive_share: float, bits: int = 18, dim: int = 4, segment: int = 8, rounds: int = 2, steps: int = 60, min_docs: int = 5, seed: int = 0) -> Model:
     """Every fourth text only calibrates the probability."""
     rng = np.random.default_rng(seed)
     aside = np.arange(len(y)) % 4 == 3
@@ -192,7 +192,7 @@ def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
 
 def fit(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    modulus: int = 5, max_per_class: int = 1000, max_train_words: int = 2000, seed: int = 0,
+    modulus: int = 5, max_per_class: int = 2000, max_train_words: int = 2000, seed: int = 0,
 ) -> Model | float:
     """A model from labelled rows whose crc32(id) mod ``modulus`` is not 0, or the
     share of label 1 if there aren't two classes."""
@@ -203,9 +203,9 @@ def fit(
     if len(count) < 2:
         return share
     order = [F.xxhash64("id", F.lit(seed)), F.col("id")]
-    picked = y.where("y = 0").orderBy(*order).limit(max_per_class).unionByName(y.where("y = 1").orderBy(*order).limit(max_per_class))
+    picked = y.where("y = 0").orderBy(*order).limit(max_per_class).unionByName(y.where("y = 1").orderBy(*order).limit(max_per_class // 2))
     text = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") <= 12 * max_train_words)
-    rows = [(words_of(r["text"]), r["y"], r["id"]) for r in text.join(F.broadcast(picked), "id").collect()]  # at most twice max_per_class
+    rows = [(words_of(r["text"]), r["y"], r["id"]) for r in text.join(F.broadcast(picked), "id").collect()]  # 1.5 * max_per_class at most
     rows = sorted((r for r in rows if 0 < len(r[0]) <= max_train_words), key=lambda r: str(r[2]))
     if len({r[1] for r in rows}) < 2:
         return share
