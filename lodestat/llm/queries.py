@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, lm_score, quality, substring_dedup, toxicity
+from . import byte_bpe, decontaminate, line_dedup, lm_score, quality, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,23 @@ FROM w LEFT JOIN k USING (r)
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeated_lines(_read(spark, sf_dir, "documents"), min_run=2)
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+l AS (SELECT doc_id, r, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS j FROM d),
+p AS (SELECT doc_id, r, j, x || chr(10) || lead(x) OVER (PARTITION BY r ORDER BY j) AS k FROM l),
+q AS (SELECT r, j, count(*) OVER (PARTITION BY k) AS c, row_number() OVER (PARTITION BY k ORDER BY doc_id, r, j) AS o FROM p WHERE k IS NOT NULL),
+g AS (SELECT r, unnest([j, j + 1]) AS j FROM q WHERE c > 1 AND o > 1 EXCEPT SELECT r, unnest([j, j + 1]) AS j FROM q WHERE c > 1 AND o = 1),
+k AS (SELECT r, count(*) AS n, string_agg(x, chr(10) ORDER BY j) AS t FROM l ANTI JOIN g USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), "n_features", "log_weight", "gumbel_key", "kept")
@@ -84,6 +101,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_lm_score": op7_lm_score,
@@ -92,5 +110,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
 }
