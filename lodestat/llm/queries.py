@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, lm_score, quality, substring_dedup, toxicity
+from . import byte_bpe, decontaminate, line_dedup, lm_score, ngram_join, quality, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,30 @@ FROM d LEFT JOIN k USING (r)
 """
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), n=5, threshold=0.8)
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT r, array_to_string(ws[s:s + 4], ' ') AS t FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS s FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n, md5(string_agg(t, chr(10) ORDER BY t)) AS k FROM g GROUP BY r),
+c AS (SELECT k, min(r) AS r, count(*) AS copies, any_value(n) AS n FROM n GROUP BY k),
+h AS MATERIALIZED (SELECT r, t FROM g WHERE r IN (SELECT r FROM c)),
+o AS MATERIALIZED (SELECT a.r AS x, b.r AS y, count(*) AS i FROM h a JOIN h b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r),
+p AS MATERIALIZED (SELECT x, y FROM o JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE i >= 0.8 * (a.n + b.n - i)),
+e AS MATERIALIZED (SELECT x, y FROM p UNION SELECT y, x FROM p),
+z AS (SELECT r AS x, r AS y FROM c UNION SELECT z.x, e.y FROM z JOIN e ON z.y = e.x),
+m AS MATERIALIZED (SELECT x, min(y) AS y FROM z GROUP BY x),
+l AS (SELECT x, sum(copies) AS links FROM e JOIN c ON c.r = e.y GROUP BY x),
+d AS (SELECT n.r, m.y, copies, coalesce(links, 0) + copies - 1 AS links FROM n JOIN c USING (k) JOIN m ON m.x = c.r LEFT JOIN l ON l.x = c.r),
+s AS (SELECT y, min(doc_id) AS class_id FROM d JOIN w USING (r) GROUP BY y)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CAST(coalesce(copies, 1) AS BIGINT) AS n_copies, CAST(coalesce(links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN d USING (r) LEFT JOIN s USING (y)
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), "n_features", "log_weight", "gumbel_key", "kept")
@@ -102,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_lm_score": op7_lm_score,
@@ -111,5 +136,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op4_ngram_join": OP4_SQL,
     "op6_decontaminate": OP6_SQL,
 }
