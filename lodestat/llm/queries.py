@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, lm_score, ngram_join, quality, substring_dedup, toxicity
+from . import byte_bpe, decontaminate, knn_join, line_dedup, lm_score, ngram_join, quality, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -122,6 +122,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(_read(spark, sf_dir, "embeddings"), k=10, query_modulus=100).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -131,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_lm_score": op7_lm_score,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_knn_join": op9_knn_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -138,4 +153,5 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_ngram_join": OP4_SQL,
     "op6_decontaminate": OP6_SQL,
+    "op9_knn_join": OP9_SQL,
 }
