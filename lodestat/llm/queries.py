@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, knn_join, line_dedup, lm_score, ngram_join, quality, substring_dedup, toxicity
+from . import byte_bpe, decontaminate, html_extract, knn_join, line_dedup, lm_score, ngram_join, quality, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -136,6 +136,10 @@ FROM s QUALIFY rank <= 10
 """
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -146,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_score": op7_lm_score,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_knn_join": op9_knn_join,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES: dict[str, str] = {
