@@ -98,13 +98,19 @@ def key_ranges(df: DataFrame, bytes_per_range: int = 8 << 20) -> int:
     return max(least, math.ceil(min(size, 1 << 50) / bytes_per_range))
 
 
-def with_row_key(df: DataFrame, id_col: str, text_col: str, keep_text: bool = True) -> DataFrame:
+def with_row_key(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """``id, text, rk, rh``: rk and rh (96 bits) name a row by its id and text.
-    Never null; rows equal in both share a key and so get equal results."""
+    Never null; rows equal in both share a key and so get equal results. carry
+    adds ``row``, a struct of all columns but the text, whatever their names."""
     i, t = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    out = df.select(i.alias("id"), t.alias("text"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")] if carry else []
     keys = [F.xxhash64("id", "text").alias("rk"), F.hash("text", "id").alias("rh")]
-    return out.select("id", *(["text"] if keep_text else []), *keys)
+    return df.select(i.alias("id"), t.alias("text"), *rest).select("*", *keys)
+
+
+def carried(df: DataFrame, columns: list[str], text_col: str, text) -> DataFrame:
+    """The rows that ``with_row_key`` carried, as they came, with this text."""
+    return df.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns))
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

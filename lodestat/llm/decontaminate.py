@@ -148,12 +148,14 @@ def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_words:
         yield block
 
 
-def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000) -> DataFrame:
+def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000, carry: bool = False) -> DataFrame:
     """``id, n_words, spans, item_ids`` of every document: the word ranges inside
-    occurrences of item windows, and the items (ids as strings) they come from."""
+    occurrences of item windows, and the items (ids as strings) they come from.
+    carry adds ``text`` and ``row``, a struct of the row's other columns."""
     spark = df.sparkSession
-    texts = with_row_key(df, id_col, text_col)
-    kind = texts.schema["id"].dataType.simpleString()
+    texts = with_row_key(df, id_col, text_col, carry)
+    columns = ["id", "text", "row"] if carry else ["id"]
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in columns)
     found = "n_words long, spans array<struct<start:int,stop:int>>, item_ids array<string>"
     parts = []
     blocks = iter(_blocks_of(benchmark, item_col, item_text_col, block_words))
@@ -168,7 +170,7 @@ def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         index.build(frequency)
         shared = spark.sparkContext.broadcast(index)
         if single:
-            return texts.select("id", "text").mapInArrow(_search(shared, ["id"], True), f"id {kind}, {found}")
+            return texts.drop("rk", "rh").mapInArrow(_search(shared, columns, True), f"{kinds}, {found}")
         parts.append(texts.select("text", "rk", "rh").mapInArrow(_search(shared, ["rk", "rh"], False), f"rk long, rh int, {found}").withColumn("block", F.lit(len(parts))))
         block, following = following, next(blocks, None)
     merged = parts[0]
@@ -177,8 +179,8 @@ def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     merged = merged.dropDuplicates(["rk", "rh", "block"]).groupBy("rk", "rh").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
     empty = _Index([], window)
     empty.build(np.zeros(1, np.int64))
-    counted = texts.mapInArrow(_search(spark.sparkContext.broadcast(empty), ["id", "rk", "rh"], True), f"id {kind}, rk long, rh int, {found}").select("id", "rk", "rh", "n_words")
-    out = counted.join(merged, ["rk", "rh"], "left").select("id", "n_words", F.coalesce("spans", F.expr("array()")).alias("spans"), F.coalesce("item_ids", F.expr("array()")).alias("item_ids"))
+    counted = texts.mapInArrow(_search(spark.sparkContext.broadcast(empty), [*columns, "rk", "rh"], True), f"{kinds}, rk long, rh int, {found}").drop("spans", "item_ids")
+    out = counted.join(merged, ["rk", "rh"], "left").select(*columns, "n_words", F.coalesce("spans", F.expr("array()")).alias("spans"), F.coalesce("item_ids", F.expr("array()")).alias("item_ids"))
     return out.withColumn("spans", _union_spans(F.col("spans")))
 
 

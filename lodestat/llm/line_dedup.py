@@ -82,7 +82,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.select("rk", "rh", "pos", ((F.col("rk") == F.col("frk")) & (F.col("rh") == F.col("frh")) & (F.col("pos") == F.col("fpos"))).alias("first"))
 
 
-def _cut(min_run: int):
+def _cut(min_run: int, columns: list[str]):
     def run(batches):
         for batch in batches:
             kept, total, gone = [], [], []
@@ -95,16 +95,17 @@ def _cut(min_run: int):
                 total.append(len(lines))
                 gone.append(int(drop.sum()))
                 kept.append("\n".join([x for x, d in zip(lines, drop.tolist(), strict=True) if not d]) if gone[-1] else text)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rk"), batch.column("rh"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "rk", "rh", "n_lines", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*columns, "n_lines", "n_removed", "kept"])
 
     return run
 
 
-def remove_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 2) -> DataFrame:
-    """``id, rk, rh, n_lines, n_removed, kept``: every row's text without the later
-    copies of repeated line runs, under its row key."""
+def remove_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 2, carry: bool = False) -> DataFrame:
+    """``id, n_lines, n_removed, kept``: every row's text without the later copies
+    of repeated line runs; carry adds ``row``, a struct of the row's other columns."""
     runs = repeated_runs(df, id_col, text_col, min_run).groupBy("rk", "rh").agg(F.collect_list(F.struct("pos", "first")).alias("runs"))
-    texts = with_row_key(df, id_col, text_col)
-    kind = texts.schema["id"].dataType.simpleString()
-    joined = texts.join(Staged(runs, "lines-runs").df, ["rk", "rh"], "left").select("id", "rk", "rh", "text", "runs")
-    return joined.mapInArrow(_cut(min_run), f"id {kind}, rk long, rh int, n_lines long, n_removed long, kept string")
+    texts = with_row_key(df, id_col, text_col, carry)
+    columns = ["id", "row"] if carry else ["id"]
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in columns)
+    joined = texts.join(Staged(runs, "lines-runs").df, ["rk", "rh"], "left").select(*columns, "text", "runs")
+    return joined.mapInArrow(_cut(min_run, columns), f"{kinds}, n_lines long, n_removed long, kept string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Staged, mix, pack, texts_of, unpack, window_hash, with_row_key
+from .common import Lexicon, Staged, carried, mix, pack, texts_of, unpack, window_hash, with_row_key
 from .components import connected_components
 from .decontaminate import words_of
 
@@ -148,8 +148,9 @@ def _verify(threshold: float):
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, tile: int = 256, seed: int = 1
 ) -> DataFrame:
-    """``id, rk, rh, class_id, n_copies, n_links`` of every row: class_id is the
-    smallest id of the texts linked to it, n_copies how many rows have its set."""
+    """``id, rk, rh, class_id, n_copies, n_links, leader`` of every row: class_id is
+    the smallest id of the texts linked to it, n_copies how many rows have its set,
+    leader marks the row (or rows equal to it) with the smallest id of its class."""
     bands = bands_for(threshold, recall, rows)
     texts = with_row_key(df, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
@@ -176,10 +177,19 @@ def near_duplicates(
     rows_of = signed.df.select("id", "rk", "rh", "sid", "size").join(classes.select("sid", "copies"), "sid", "left")
     rows_of = rows_of.join(counted, "sid", "left").join(joined, "sid", "left")
     rows_of = Staged(rows_of.select("id", "rk", "rh", "sid", "size", "copies", "links", F.coalesce("component", "sid").alias("component")), "join-rows").df
-    smallest = rows_of.where("size > 0").groupBy("component").agg(F.min("id").alias("least"))
+    smallest = rows_of.where("size > 0").groupBy("component").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rk", "rh")).alias("lead"))
     out = rows_of.join(smallest, "component", "left")
     alone = F.col("size") == 0
     return out.select(
         "id", "rk", "rh", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("class_id"), F.when(alone, 1).otherwise(F.col("copies")).cast("long").alias("n_copies"),
         F.when(alone, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+        (alone | ((F.col("rk") == F.col("lead.rk")) & (F.col("rh") == F.col("lead.rh")))).alias("leader"),
     )
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of each class, the one with the smallest id, with all its columns.
+    Rows equal in id and text are one row."""
+    leaders = near_duplicates(df, id_col, text_col, **settings).where("leader").select("rk", "rh").distinct()
+    rows = with_row_key(df, id_col, text_col, carry=True).join(leaders, ["rk", "rh"]).dropDuplicates(["rk", "rh"])
+    return carried(rows, df.columns, text_col, F.col("text"))
