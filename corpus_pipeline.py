@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from lodestat.llm import byte_bpe, decontaminate, line_dedup, ngram_join, toxicity
 from lodestat.llm.common import Staged, carried
+from lodestat.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, score_col="toxicity score").where(F.col("toxicity score") < 0.5).drop("toxicity score")
 
@@ -37,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     hits = decontaminate.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, carry=True)
     return carried(hits.where(F.size("spans") == 0), docs.columns, "text", F.col("text"))
 

@@ -107,7 +107,8 @@ def _blocks(ranges: int, block_bytes: int):
 
         for batch in batches:
             id_type = batch.column(0).type
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                i, text = i.as_py(), text.as_py()
                 words = words_of(text or "")
                 docs.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
                 ids.append(i)
@@ -172,7 +173,7 @@ def _reassemble(key, docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"id": pa.chunked_array(own, docs.schema.field("ids").type.value_type), "n_tokens": pa.array(n, pa.int64()), "ids_le": pa.array(out, pa.binary())})
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """``id, n_tokens, ids_le``: a text's token ids as little-endian unsigned
     32-bit integers, as the tiktoken library's encode_ordinary gives them.
     :func:`as_array` turns them into an array column."""
@@ -182,7 +183,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     kind = src.schema["id"].dataType.simpleString()
     ranges = key_ranges(src)
     row = f"block long, ids array<{kind}>, kind int, p long, lens binary, data binary"
-    blocks = Staged(src.mapInArrow(_blocks(ranges, block_bytes), row), "bpe-blocks", by=["kind"])
+    blocks = Staged(src.mapInArrow(_blocks(ranges, block_bytes), row), "bpe-blocks", by=["kind"], bucket="block")
     asked = blocks.df.where("kind = 1").select("block", "p", "lens", "data")
     replies = Staged(asked.groupBy("p").applyInArrow(_encode_range(shared, pattern), "block long, p long, lens binary, ids binary"), "bpe-ids")
     blocks.drop("kind=1")

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _packers: dict[int, zstandard.ZstdCompressor] = {}
 _unpacker = zstandard.ZstdDecompressor()
@@ -30,6 +32,7 @@ _roots: dict[str, tuple[SparkSession, str]] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Folder for this session's scratch tables, below ``spark.checkpoint.dir``."""
     app = spark.sparkContext.applicationId
+    ship_package(spark)
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
@@ -76,14 +79,23 @@ def _setting(spark: SparkSession, key: str, value: str):
 
 class Staged:
     """A table written once, so that later readers don't repeat its work and a
-    lost executor costs a re-read. ``drop`` it when nothing reads it any more."""
+    lost executor costs a re-read. ``drop`` it when nothing reads it any more.
+    bucket keeps rows of one value of that column in one task of later readers,
+    which then group by it without a shuffle."""
 
-    def __init__(self, df: DataFrame, tag: str, by: list[str] | None = None):
+    def __init__(self, df: DataFrame, tag: str, by: list[str] | None = None, bucket: str | None = None):
         self.spark = df.sparkSession
-        self.path = f"{scratch_root(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        name = f"{tag}-{uuid.uuid4().hex}"
+        self.path = f"{scratch_root(self.spark)}/{name}"
+        writer = df.write.format("parquet").option("compression", "zstd").partitionBy(*by or [])
         with _setting(self.spark, _CLEANUP, "true"):  # its shuffle files aren't needed once it is written
-            df.write.option("compression", "zstd").partitionBy(*by or []).parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+            if bucket:
+                table = "lodestat_" + name.replace("-", "_")
+                writer.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), bucket).option("path", self.path).saveAsTable(table)
+                self.df = self.spark.table(table)
+            else:
+                writer.save(self.path)
+                self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self, part: str = "") -> None:
         """Delete the table, or one of the folders that ``by`` has made."""
