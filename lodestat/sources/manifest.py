@@ -109,9 +109,10 @@ def image_files(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     return reader.load(root).where(C.is_image_path(F.col("path"))).select("path", "length", "content")
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(image_path, pred) of a predictions file, failures left out."""
-    return spark.read.schema("image_path string, pred double, error string").json(path, multiLine=True).where("pred is not null").select("image_path", "pred")
+def read_predictions(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """(image_path, pred) of a predictions file, failures left out. array: the file
+    is one JSON array; else it has an object on each line, as write_predictions makes it."""
+    return spark.read.schema("image_path string, pred double, error string").json(path, multiLine=array).where("pred is not null").select("image_path", "pred")
 
 
 def join_predictions(predictions: DataFrame, manifest: DataFrame, path: str = "path", order: str = "row") -> DataFrame:
