@@ -102,6 +102,12 @@ class Staged:
         drop_path(self.spark, f"{self.path}/{part}" if part else self.path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: sorted and merged, never broadcast,
+    however small it looks at first."""
+    return df.hint("merge")
+
+
 def key_ranges(df: DataFrame, bytes_per_range: int = 8 << 20) -> int:
     """How many ranges to deal a corpus-wide key space into: by the size that the
     plan states, so that a range stays small however large the input is."""

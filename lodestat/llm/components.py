@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, fetch
+from .common import Staged, fetch, shuffled
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +19,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         both = links.select("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(shuffled(least), "u")
     if large:
         return joined.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     moved = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))

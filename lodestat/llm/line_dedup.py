@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, texts_of, with_row_key
+from .common import Staged, shuffled, texts_of, with_row_key
 
 
 def _lines(batches):
@@ -54,7 +54,7 @@ def _active(df: DataFrame, keys: list[str]) -> DataFrame:
     shared = df.groupBy(*keys).count().where("count > 1").select(*keys)
     ranks = shared.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id())
     ranks = Staged(ranks, "lines-ranks").df  # ranks follow the partitions, so they are written before use
-    return df.join(ranks, keys).drop(*keys)
+    return df.join(shuffled(ranks), keys).drop(*keys)
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 2) -> DataFrame:
@@ -72,13 +72,13 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if step == 1:
             pair = ranked.withColumn("then", F.when(F.lead("pos").over(text) == F.col("pos") + 1, F.lead("rank").over(text))).where("then is not null")
         else:
-            pair = ranked.join(ranked.select("rk", "rh", (F.col("pos") - step).alias("pos"), F.col("rank").alias("then")), ["rk", "rh", "pos"])
+            pair = ranked.join(shuffled(ranked.select("rk", "rh", (F.col("pos") - step).alias("pos"), F.col("rank").alias("then"))), ["rk", "rh", "pos"])
         ranked = Staged(_active(pair.withColumnRenamed("rank", "here"), ["here", "then"]), f"lines-{size + step}").df
         size += step
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "rk", "rh", "pos")
     first = ranked.groupBy("rank").agg(F.min(place).alias("at"))
     first = first.select("rank", F.col("at.rk").alias("frk"), F.col("at.rh").alias("frh"), F.col("at.pos").alias("fpos"))
-    marked = ranked.join(first, "rank")
+    marked = ranked.join(shuffled(first), "rank")
     return marked.select("rk", "rh", "pos", ((F.col("rk") == F.col("frk")) & (F.col("rh") == F.col("frh")) & (F.col("pos") == F.col("fpos"))).alias("first"))
 
 
@@ -107,5 +107,5 @@ def remove_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = with_row_key(df, id_col, text_col, carry)
     columns = ["id", "row"] if carry else ["id"]
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in columns)
-    joined = texts.join(Staged(runs, "lines-runs").df, ["rk", "rh"], "left").select(*columns, "text", "runs")
+    joined = texts.join(shuffled(Staged(runs, "lines-runs").df), ["rk", "rh"], "left").select(*columns, "text", "runs")
     return joined.mapInArrow(_cut(min_run, columns), f"{kinds}, n_lines long, n_removed long, kept string")

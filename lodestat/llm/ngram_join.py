@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Staged, carried, mix, pack, texts_of, unpack, window_hash, with_row_key
+from .common import Lexicon, Staged, carried, mix, pack, shuffled, texts_of, unpack, window_hash, with_row_key
 from .components import connected_components
 from .decontaminate import words_of
 
@@ -160,12 +160,12 @@ def near_duplicates(
     banded = classes.select("sid", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("sid").alias("least"), F.count("*").alias("c")).where("c > 1").select("band", "least")
     least = Staged(least, "join-buckets").df
-    candidates = connected_components(banded.join(least, "band").where("sid != least").select(F.col("sid").alias("u"), F.col("least").alias("v")))
+    candidates = connected_components(banded.join(shuffled(least), "band").where("sid != least").select(F.col("sid").alias("u"), F.col("least").alias("v")))
     candidates = Staged(candidates, "join-candidates").df
 
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
-    wanted = candidates.join(sizes, "component").join(classes.select("sid", "copies", "at"), candidates["node"] == classes["sid"]).select("component", "sid", "copies", "chunks", F.col("at.rk").alias("rk"), F.col("at.rh").alias("rh"))
-    one = texts.select("text", "rk", "rh").join(wanted, ["rk", "rh"]).dropDuplicates(["sid"]).select("text", "component", "sid", "copies", "chunks")
+    wanted = candidates.join(shuffled(sizes), "component").join(shuffled(classes.select("sid", "copies", "at")), candidates["node"] == classes["sid"]).select("component", "sid", "copies", "chunks", F.col("at.rk").alias("rk"), F.col("at.rh").alias("rh"))
+    one = texts.select("text", "rk", "rh").join(shuffled(wanted), ["rk", "rh"]).dropDuplicates(["sid"]).select("text", "component", "sid", "copies", "chunks")
     sets = one.mapInArrow(_sets(n), "component long, sid long, copies long, chunks int, grams binary")
     side = F.pmod(F.xxhash64("sid"), F.col("chunks").cast("long")).cast("int")
     dealt = sets.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -174,11 +174,11 @@ def near_duplicates(
     counted = verified.where("other is null").groupBy("sid").agg(F.sum("links").alias("links"))
     joined = connected_components(verified.where("other is not null"), "sid", "other").select(F.col("node").alias("sid"), "component")
 
-    rows_of = signed.df.select("id", "rk", "rh", "sid", "size").join(classes.select("sid", "copies"), "sid", "left")
-    rows_of = rows_of.join(counted, "sid", "left").join(joined, "sid", "left")
+    rows_of = signed.df.select("id", "rk", "rh", "sid", "size").join(shuffled(classes.select("sid", "copies")), "sid", "left")
+    rows_of = rows_of.join(shuffled(counted), "sid", "left").join(shuffled(joined), "sid", "left")
     rows_of = Staged(rows_of.select("id", "rk", "rh", "sid", "size", "copies", "links", F.coalesce("component", "sid").alias("component")), "join-rows").df
     smallest = rows_of.where("size > 0").groupBy("component").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rk", "rh")).alias("lead"))
-    out = rows_of.join(smallest, "component", "left")
+    out = rows_of.join(shuffled(smallest), "component", "left")
     alone = F.col("size") == 0
     return out.select(
         "id", "rk", "rh", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("class_id"), F.when(alone, 1).otherwise(F.col("copies")).cast("long").alias("n_copies"),
@@ -191,5 +191,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
     """One row of each class, the one with the smallest id, with all its columns.
     Rows equal in id and text are one row."""
     leaders = near_duplicates(df, id_col, text_col, **settings).where("leader").select("rk", "rh").distinct()
-    rows = with_row_key(df, id_col, text_col, carry=True).join(leaders, ["rk", "rh"]).dropDuplicates(["rk", "rh"])
+    rows = with_row_key(df, id_col, text_col, carry=True).join(shuffled(leaders), ["rk", "rh"]).dropDuplicates(["rk", "rh"])
     return carried(rows, df.columns, text_col, F.col("text"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Staged, mix, texts_of, window_hash, with_row_key
+from .common import Lexicon, Staged, mix, shuffled, texts_of, window_hash, with_row_key
 
 #: Odd multipliers of the polynomial hashes; any odd 64-bit values serve.
 _GRAM, _ONE, _TWO, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
@@ -140,17 +140,17 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = with_row_key(df, id_col, text_col)
     place = "rk long, rh int, s int, n int"
     index = Staged(texts.select("text", "rk", "rh").mapInArrow(_index(window, gram), f"anchor long, one long, two long, {place}"), "rlz-index")
-    shared = index.df.groupBy("anchor").count().where("count > 1").select("anchor")
-    blocks = Staged(index.df.join(shared, "anchor"), "rlz-blocks")
+    shared = Staged(index.df.groupBy("anchor").count().where("count > 1").select("anchor"), "rlz-anchors")  # a table of its own, so that a hot anchor's rows can be split in the join
+    blocks = Staged(index.df.join(shuffled(shared.df), "anchor"), "rlz-blocks")
     index.drop()
 
     segments = blocks.df.groupBy("anchor", "one", "two").agg(F.count("*").alias("c"), F.min(F.struct("rk", "rh", "s", "n")).alias("at"))
-    factors = blocks.df.join(segments.where("c > 1").select("anchor", "one", "two"), ["anchor", "one", "two"]).select("rk", "rh", "s", "n")
+    factors = blocks.df.join(shuffled(segments.where("c > 1").select("anchor", "one", "two")), ["anchor", "one", "two"]).select("rk", "rh", "s", "n")
     mixed = segments.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("anchor")
-    asked = segments.join(mixed, "anchor").groupBy("at.rk", "at.rh").agg(F.collect_list(F.struct("at.s", "at.n", (F.col("c") == 1).alias("alone"))).alias("parts"))
-    windows = Staged(texts.select("text", "rk", "rh").join(asked, ["rk", "rh"]).select("text", "rk", "rh", "parts").mapInArrow(_boundaries(window), "one long, two long, rk long, rh int, s int, alone boolean"), "rlz-boundaries")
+    asked = segments.join(shuffled(mixed), "anchor").groupBy("at.rk", "at.rh").agg(F.collect_list(F.struct("at.s", "at.n", (F.col("c") == 1).alias("alone"))).alias("parts"))
+    windows = Staged(texts.select("text", "rk", "rh").join(shuffled(asked), ["rk", "rh"]).select("text", "rk", "rh", "parts").mapInArrow(_boundaries(window), "one long, two long, rk long, rh int, s int, alone boolean"), "rlz-boundaries")
     twice = windows.df.groupBy("one", "two").count().where("count > 1").select("one", "two")
-    edges = windows.df.where("alone").join(twice, ["one", "two"]).select("rk", "rh", "s", F.lit(1).alias("n"))
+    edges = windows.df.where("alone").join(shuffled(twice), ["one", "two"]).select("rk", "rh", "s", F.lit(1).alias("n"))
     return factors.unionByName(edges)
 
 
@@ -160,5 +160,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = Staged(repeated_windows(df, id_col, text_col, window, gram).groupBy("rk", "rh").agg(F.collect_list(F.struct("s", "n")).alias("factors")), "rlz-factors")
     texts = with_row_key(df, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
-    joined = texts.join(found.df, ["rk", "rh"], "left").select("id", "text", "factors")
+    joined = texts.join(shuffled(found.df), ["rk", "rh"], "left").select("id", "text", "factors")
     return joined.mapInArrow(_cut(window), f"id {kind}, n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int>>")
