@@ -1,8 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of itself and its character n-grams (3 to 6 bytes, with marks
-at both ends), hashed into ``2**bits`` embeddings. A stretch of ``segment`` words
-is the average of its embeddings, and a softmax over two classes reads it;
+at both ends), hashed into ``2**bits`` embeddings. A segment of ``segment``
+words or more is the average of its embeddings (a shorter text counts as filled up
+with words that say nothing), and a softmax over two classes reads it;
 embeddings and softmax are trained jointly with numpy (gradient descent with
 momentum). Misspelt and
 inflected words share most n-grams with those seen, and so their vectors. As a
@@ -76,12 +77,22 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def _unrepeated(codes: np.ndarray) -> np.ndarray:
+    """Without words that repeat the one before."""
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
+
+
+def _starts(n: int, segment: int) -> np.ndarray:
+    """First words of a text's segments; the last segment takes the rest."""
+    return np.arange(max(n // segment, 1)) * segment
+
+
 class _Corpus:
     """Segments of the training texts as word numbers; words as buckets."""
 
     def __init__(self, texts: list[list[bytes]], segment: int, bits: int, min_docs: int):
         number: dict[bytes, int] = {}
-        codes = [np.array([number.setdefault(w, len(number)) for w in t], np.int64) for t in texts]
+        codes = [_unrepeated(np.array([number.setdefault(w, len(number)) for w in t], np.int64)) for t in texts]
         self.n_words = len(number)
         owner, bucket = subwords(list(number), bits)
         self.per_word = np.bincount(owner, minlength=self.n_words).astype(float)
@@ -94,17 +105,18 @@ class _Corpus:
             docs[np.unique(bucket[np.concatenate([np.arange(first[i], first[i + 1]) for i in own.tolist()])])] += 1
         common = docs[bucket] >= min_docs  # what few texts hold can only be learned by heart
         self.owner, self.bucket = owner[common], bucket[common]
-        starts = [np.arange(0, max(len(c), 1), segment) for c in codes]
+        starts = [_starts(len(c), segment) for c in codes]
         self.doc = np.repeat(np.arange(len(codes)), [len(s) for s in starts])
         self.word = np.concatenate(codes)
-        lens = np.concatenate([np.minimum(segment, len(c) - s) for c, s in zip(codes, starts, strict=True)])
+        lens = np.concatenate([np.diff(np.append(s, len(c))) for c, s in zip(codes, starts, strict=True)])
         self.seg = np.repeat(np.arange(len(lens)), lens)
         self.n_seg = len(lens)
-        self.size = np.maximum(np.bincount(self.seg, weights=self.per_word[self.word], minlength=self.n_seg), 1)
+        self.size = np.maximum(np.bincount(self.seg, weights=self.per_word[self.word], minlength=self.n_seg) * np.maximum(segment / np.maximum(lens, 1), 1), 1)
 
 
 def train(texts: list[list[bytes]], y: np.ndarray, positive_share: float, bits: int = 18, dim: int = 4, segment: int = 8, rounds: int = 2, steps: int = 60, min_docs: int = 5, seed: int = 0) -> Model:
-    """Every fourth text only calibrates the probability."""
+    """Every fourth text is set aside to choose where training stops, and to
+    calibrate the probability."""
     rng = np.random.default_rng(seed)
     aside = np.arange(len(y)) % 4 == 3
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
@@ -115,42 +127,75 @@ def train(texts: list[list[bytes]], y: np.ndarray, positive_share: float, bits:
     emb = rng.normal(0, 0.1, (dim, len(used)))
     soft, bias = rng.normal(0, 1, (dim, 2)), np.zeros(2)
     params = [emb, soft, bias]
-    pace = [np.zeros_like(p) for p in params]
     rate = (1.0, 0.05, 0.05)
+    seen = np.bincount(bucket, weights=np.bincount(c.word, minlength=c.n_words)[c.owner], minlength=len(used))
+    scale = 1 / np.sqrt(np.maximum(seen, 1))  # common features stand in every segment and move least
 
     def forward():
         by_word = [np.bincount(c.owner, weights=e[bucket], minlength=c.n_words) for e in emb]
         return np.array([np.bincount(c.seg, weights=w[c.word], minlength=c.n_seg) for w in by_word]) / c.size
 
+    test = np.flatnonzero(aside) if aside.any() else np.arange(len(every))
+    judged, truth = [texts[i] for i in test], every[test]
+    found: list[tuple[float, Model]] = []
+
+    def snapshot():
+        """The model so far, by how well it orders the texts set aside."""
+        scalar = np.zeros(1 << bits)
+        scalar[used] = (soft[:, 1] - soft[:, 0]) @ emb
+        model = Model(scalar.astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0, bits, segment)
+        z = margins(model, judged)
+        order = _auroc(z, truth)
+        if not found or order > found[0][0]:
+            model.slope, model.shift = _calibrate(z, truth, positive_share)
+            found[:] = [(order, model)]
+
     label = y[c.doc].astype(float)
     weight = 1 / np.bincount(c.doc, minlength=len(y))[c.doc]
     for _ in range(rounds):
         for side in (0.0, 1.0):  # both classes weigh the same
             own = label == side
             weight[own] *= 0.5 / max(weight[own].sum(), 1e-12)
-        for _ in range(steps):
+        pace, best, size, unit = [np.zeros_like(x) for x in params], np.inf, 1.0, None
+        kept = [x.copy() for x in params]
+        for step in range(steps):
+            if step in (1, 2, 4, 8, 16, 32, 48):
+                snapshot()
             mean = forward()
             logits = mean.T @ soft + bias
-            p = _sigmoid(logits[:, 1] - logits[:, 0])
-            g = weight * (p - label)
+            gap = logits[:, 1] - logits[:, 0]
+            loss = float((weight * np.logaddexp(0, np.where(label == 1, -gap, gap))).sum())
+            if loss > best:  # too far: back, and on with half the step
+                for x, old in zip(params, kept, strict=True):
+                    x[:] = old
+                pace, size, best = [np.zeros_like(x) for x in params], size / 2, np.inf
+                continue
+            best = loss
+            kept = [x.copy() for x in params]
+            g = weight * (_sigmoid(gap) - label)
             g2 = np.stack([-g, g], axis=1)
             d_seg = (g2 @ soft.T).T / c.size
-            d_emb = np.array([np.bincount(bucket, weights=np.bincount(c.word, weights=d[c.seg], minlength=c.n_words)[c.owner], minlength=len(used)) for d in d_seg])
-            for i, d in enumerate((d_emb, mean @ g2, g2.sum(axis=0))):
+            d_emb = np.array([np.bincount(bucket, weights=np.bincount(c.word, weights=d[c.seg], minlength=c.n_words)[c.owner], minlength=len(used)) for d in d_seg]) * scale
+            downhill = (d_emb, mean @ g2, g2.sum(axis=0))
+            if unit is None:  # the first steps have the lengths in rate; later ones follow the gradient
+                unit = [r / max(np.abs(d).max(), 1e-12) for r, d in zip(rate, downhill, strict=True)]
+            size *= 1.1
+            for i, d in enumerate(downhill):
                 pace[i] = 0.8 * pace[i] + d
-                params[i] -= rate[i] * pace[i] / max(np.abs(pace[i]).max(), 1e-12)  # one scale for all: rare features move little
+                params[i] -= size * unit[i] * pace[i]
         logits = forward().T @ soft + bias
         margin = logits[:, 1] - logits[:, 0]
         worst = np.full(len(y), -np.inf)
         np.maximum.at(worst, c.doc, margin)
         pointed = (y[c.doc] == 1) & ((margin >= worst[c.doc]) | (margin > 0))
         weight = np.where(y[c.doc] == 1, pointed.astype(float), 1.0)
-    scalar = np.zeros(1 << bits)
-    scalar[used] = (soft[:, 1] - soft[:, 0]) @ emb
-    model = Model(scalar.astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0, bits, segment)
-    test = np.flatnonzero(aside) if aside.any() else np.arange(len(every))
-    model.slope, model.shift = _calibrate(margins(model, [texts[i] for i in test]), every[test], positive_share)
-    return model
+        snapshot()
+    return found[0][1]
+
+
+def _auroc(z: np.ndarray, y: np.ndarray) -> float:
+    below, upto = (np.searchsorted(np.sort(z[y == 0]), z[y == 1], side) for side in ("left", "right"))
+    return float((below + upto).mean() / 2 / max((y == 0).sum(), 1))
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -170,19 +215,22 @@ def _calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float
 
 def margins(model: Model, split: list[list[bytes]]) -> np.ndarray:
     """The margin of the worst segment of each text, given as words."""
-    n = np.fromiter(map(len, split), np.int64, len(split))
     distinct: dict[bytes, int] = {}
-    codes = np.fromiter((distinct.setdefault(w, len(distinct)) for t in split for w in t), np.int64, int(n.sum()))
+    codes = [_unrepeated(np.fromiter((distinct.setdefault(w, len(distinct)) for w in t), np.int64, len(t))) for t in split]
     margin = np.full(len(split), model.bias)
-    if len(codes):
+    if distinct:
         owner, bucket = subwords(list(distinct), model.bits)
-        total = np.bincount(owner, weights=model.weight[bucket], minlength=len(distinct))[codes]
-        size = np.bincount(owner, minlength=len(distinct)).astype(float)[codes]
-        ends = np.cumsum(n)
-        starts = np.concatenate([np.arange(e - k, e, model.segment) for e, k in zip(ends, n, strict=True)])
-        value = np.add.reduceat(total, starts) / np.add.reduceat(size, starts) + model.bias
-        own = np.flatnonzero(n)
-        margin[own] = np.maximum.reduceat(value, np.searchsorted(starts, (ends - n)[own]))
+        total = np.bincount(owner, weights=model.weight[bucket], minlength=len(distinct))
+        size = np.bincount(owner, minlength=len(distinct)).astype(float)
+        own = [i for i, c in enumerate(codes) if len(c)]
+        flat, n = np.concatenate([codes[i] for i in own]), np.array([len(codes[i]) for i in own])
+        first = np.cumsum(n) - n
+        starts = [a + _starts(k, model.segment) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+        text = np.cumsum([0, *(len(x) for x in starts)])[:-1]
+        starts = np.concatenate(starts)
+        lens = np.diff(np.append(starts, len(flat)))
+        value = np.add.reduceat(total[flat], starts) / (np.add.reduceat(size[flat], starts) * np.maximum(model.segment / lens, 1)) + model.bias
+        margin[own] = np.maximum.reduceat(value, text)
     return margin
 
 
