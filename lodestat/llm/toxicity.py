@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of itself and its character n-grams (3 to 6 bytes, with marks
-at both ends), hashed into ``2**bits`` embeddings. A segment of ``segment``
-words or more is the average of its embeddings (a shorter text counts as filled up
+at both ends), hashed into ``2**bits`` embeddings. A segment of about
+``segment`` words is the average of its embeddings (a shorter text counts as filled up
 with words that say nothing), and a softmax over two classes reads it;
 embeddings and softmax are trained jointly with numpy (gradient descent with
 momentum). Misspelt and
@@ -83,8 +83,9 @@ def _unrepeated(codes: np.ndarray) -> np.ndarray:
 
 
 def _starts(n: int, segment: int) -> np.ndarray:
-    """First words of a text's segments; the last segment takes the rest."""
-    return np.arange(max(n // segment, 1)) * segment
+    """First words of a text's segments, which are as equal as can be."""
+    k = max(round(n / segment), 1)
+    return np.arange(k) * n // k
 
 
 class _Corpus:
@@ -140,15 +141,17 @@ def train(texts: list[list[bytes]], y: np.ndarray, positive_share: float, bits:
     found: list[tuple[float, Model]] = []
 
     def snapshot():
-        """The model so far, by how well it orders the texts set aside."""
+        """The model so far, if it gives the texts set aside the best loss."""
         scalar = np.zeros(1 << bits)
         scalar[used] = (soft[:, 1] - soft[:, 0]) @ emb
         model = Model(scalar.astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0, bits, segment)
         z = margins(model, judged)
-        order = _auroc(z, truth)
-        if not found or order > found[0][0]:
-            model.slope, model.shift = _calibrate(z, truth, positive_share)
-            found[:] = [(order, model)]
+        model.slope, model.shift = _calibrate(z, truth, positive_share)
+        gap = model.slope * z + model.shift
+        share = np.where(truth == 1, positive_share / max(truth.sum(), 1), (1 - positive_share) / max((truth == 0).sum(), 1))
+        loss = float((share * np.logaddexp(0, np.where(truth == 1, -gap, gap))).sum())
+        if not found or loss < found[0][0]:
+            found[:] = [(loss, model)]
 
     label = y[c.doc].astype(float)
     weight = 1 / np.bincount(c.doc, minlength=len(y))[c.doc]
@@ -193,11 +196,6 @@ def train(texts: list[list[bytes]], y: np.ndarray, positive_share: float, bits:
     return found[0][1]
 
 
-def _auroc(z: np.ndarray, y: np.ndarray) -> float:
-    below, upto = (np.searchsorted(np.sort(z[y == 0]), z[y == 1], side) for side in ("left", "right"))
-    return float((below + upto).mean() / 2 / max((y == 0).sum(), 1))
-
-
 def _calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
     """Logistic fit of label on margin, classes weighted to their share of the corpus."""
     w = np.where(y == 1, share / max((y == 1).sum(), 1), (1 - share) / max((y == 0).sum(), 1)) * len(y)
