@@ -78,6 +78,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "rk", "rh", "pos")
     first = ranked.groupBy("rank").agg(F.min(place).alias("at"))
     first = first.select("rank", F.col("at.rk").alias("frk"), F.col("at.rh").alias("frh"), F.col("at.pos").alias("fpos"))
+    first = Staged(first, "lines-first").df  # a table of its own, so that a hot rank's rows can be split in the join
     marked = ranked.join(shuffled(first), "rank")
     return marked.select("rk", "rh", "pos", ((F.col("rk") == F.col("frk")) & (F.col("rh") == F.col("frh")) & (F.col("pos") == F.col("fpos"))).alias("first"))
 

@@ -163,7 +163,7 @@ def near_duplicates(
     candidates = connected_components(banded.join(shuffled(least), "band").where("sid != least").select(F.col("sid").alias("u"), F.col("least").alias("v")))
     candidates = Staged(candidates, "join-candidates").df
 
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
+    sizes = Staged(candidates.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")), "join-sizes").df  # tables of their own, so that a large component's rows can be split in joins
     wanted = candidates.join(shuffled(sizes), "component").join(shuffled(classes.select("sid", "copies", "at")), candidates["node"] == classes["sid"]).select("component", "sid", "copies", "chunks", F.col("at.rk").alias("rk"), F.col("at.rh").alias("rh"))
     one = texts.select("text", "rk", "rh").join(shuffled(wanted), ["rk", "rh"]).dropDuplicates(["sid"]).select("text", "component", "sid", "copies", "chunks")
     sets = one.mapInArrow(_sets(n), "component long, sid long, copies long, chunks int, grams binary")
@@ -177,7 +177,7 @@ def near_duplicates(
     rows_of = signed.df.select("id", "rk", "rh", "sid", "size").join(shuffled(classes.select("sid", "copies")), "sid", "left")
     rows_of = rows_of.join(shuffled(counted), "sid", "left").join(shuffled(joined), "sid", "left")
     rows_of = Staged(rows_of.select("id", "rk", "rh", "sid", "size", "copies", "links", F.coalesce("component", "sid").alias("component")), "join-rows").df
-    smallest = rows_of.where("size > 0").groupBy("component").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rk", "rh")).alias("lead"))
+    smallest = Staged(rows_of.where("size > 0").groupBy("component").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rk", "rh")).alias("lead")), "join-smallest").df
     out = rows_of.join(shuffled(smallest), "component", "left")
     alone = F.col("size") == 0
     return out.select(
