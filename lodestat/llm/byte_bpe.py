@@ -80,13 +80,13 @@ def _blocks(ranges: int, block_bytes: int):
         place[order] = np.arange(len(words), dtype=np.uint32)
         for lo in range(0, len(ids), 256):
             some = docs[lo : lo + 256]
-            yield block, 0, [None], [ids[lo : lo + 256]], [pack(np.array([len(d) for d in some], np.uint32))], [pack(rank[np.concatenate(some)])]
+            yield block, 0, [None], [ids[lo : lo + 256]], [pack(np.array([len(d) for d in some], np.uint32))], [pack(rank[np.concatenate(some)], 6)]
         ps, first = np.unique(at[order], return_index=True)
         lens, blobs = [], []
         for a, b in zip(first, [*first[1:], len(order)], strict=True):
             own = [words[i] for i in order[a:b]]
             lens.append(pack(np.fromiter(map(len, own), np.uint32, len(own))))
-            blobs.append(pack(np.frombuffer(b"".join(own), np.uint8), 3))
+            blobs.append(pack(np.frombuffer(b"".join(own), np.uint8), 12))
         yield block, 1, ps.tolist(), [None] * len(ps), lens, blobs
         yield block, 2, [None], [None], [None], [pack(place[by_count])]
 
@@ -144,7 +144,7 @@ def _encode_range(shared, pattern: str):
                     ids.append(encode(word.decode()))
                 which.append(k)
             lens_out.append(pack(np.fromiter((len(ids[k]) for k in which), np.uint32, len(which))))
-            ids_out.append(pack(np.fromiter((x for k in which for x in ids[k]), np.uint32)))
+            ids_out.append(pack(np.fromiter((x for k in which for x in ids[k]), np.uint32), 9))
         return pa.table({"block": table["block"], "p": table["p"], "lens": pa.array(lens_out, pa.binary()), "ids": pa.array(ids_out, pa.binary())})
 
     return run
