@@ -21,6 +21,7 @@ LABEL_FOLDERS = {
     "1_fake": 1, "fake": 1, "ai": 1, "fakes": 1, "generated": 1, "synthetic": 1,
 }
 OTHER_FOLDERS = ("train", "val", "test", "validation", "extracted", "images")
+FAKE_NAMES = ("1", "ai", "fake", "1_fake", "synthetic", "generated")
 FAKE_WORDS = ("fake", "synthetic", "aigc", "gen", "tampered", "1")
 
 U64_MAX = (1 << 64) - 1
@@ -163,6 +164,16 @@ def coerce_label(raw: Column) -> Column:
     return F.when(number.isNotNull(), (number >= 0.5).cast("int")).otherwise(F.lower(raw.cast("string")).rlike("|".join(FAKE_WORDS)).cast("int"))
 
 
+def label_from_value(raw: Column, path: Column) -> Column:
+    """1 for a known name of generated images; without any value, by words in the path."""
+    by_path = F.lower(F.coalesce(path, F.lit(""))).rlike("ai|fake|1_")
+    return F.when(raw.isNull(), by_path.cast("int")).otherwise(F.lower(F.trim(raw.cast("string"))).isin(*FAKE_NAMES).cast("int"))
+
+
+def is_validation_file(name: Column) -> Column:
+    return F.lower(name).rlike("validation|val|test|eval")
+
+
 def key_to_file(key: Column) -> Column:
     return F.concat(F.replace(F.replace(key, F.lit("/"), F.lit("_")), F.lit("#"), F.lit("__")), F.lit(".png"))
 

@@ -17,6 +17,7 @@ from ..functions import columns as C
 from ..operators import calibration, metrics, sampling
 from ..sources import manifest as M
 from ..sources import sinks
+from . import evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,6 +132,18 @@ def _(m):
     return m.select("doc_id", C.coerce_label(raw).alias("coerced"))
 
 
+@query("s28_label_names", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_matches(lower(path), 'ai|fake|1_')::INT WHEN doc_id % 3 = 1 THEN label ELSE 0 END AS coerced FROM m")
+def _(m):
+    raw = F.when(F.col("doc_id") % 3 == 1, F.when(F.col("label") == 1, " AI ").otherwise("Nature")).when(F.col("doc_id") % 3 == 2, "unknown")
+    return m.select("doc_id", C.label_from_value(raw, F.col("path")).alias("coerced"))
+
+
+@query("s33_validation_files", "SELECT doc_id FROM m WHERE doc_id % 5 IN (0, 1)")
+def _(m):
+    name = F.when(F.col("doc_id") % 5 == 0, "Validation-00.parquet").when(F.col("doc_id") % 5 == 1, "test_3.parquet").otherwise("train-00.parquet")
+    return m.where(C.is_validation_file(name)).select("doc_id")
+
+
 @query("s29_balanced_cap", "SELECT doc_id, label FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY doc_id) <= 50")
 def _(m):
     return sampling.class_cap(m, 100, ["doc_id"]).select("doc_id", "label")
@@ -588,6 +601,21 @@ def _(m):
     return calibration.bias_audit(rows, ["size", "name", "side"])
 
 
+@query("u13_generator_slices", "SELECT model_name, count(*) AS n_generated, (SELECT count(*) FROM m WHERE label = 0) AS n_authentic FROM m WHERE label = 1 GROUP BY 1")
+def _(m):
+    return evaluation.generator_slices(m, "model_name")
+
+
+@query("a32_generalisation_gap", "SELECT k AS view, round(auroc, 9) AS auroc, round((SELECT auroc FROM cm WHERE k = 'clean') - auroc, 9) AS generalisation_gap, round((SELECT arg_max(score, struct_pack(j := tp / pos - fp / neg, s := score)) FROM roc WHERE roc.k = cm.k), 9) AS youden_threshold FROM cm", VIEWS)
+def _(spark, sf):
+    return evaluation.out_of_domain(_views(spark, sf), "view", "clean").select("view", *(r(c).alias(c) for c in ("auroc", "generalisation_gap", "youden_threshold")))
+
+
+@query("a30_averaged_views", "SELECT vec_id, label, round(avg(score), 9) AS score FROM y GROUP BY ALL", VIEW_SQL)
+def _(spark, sf):
+    return evaluation.averaged_views(_views(spark, sf), ["vec_id", "label"]).select("vec_id", "label", r("score").alias("score"))
+
+
 # ---- views, sinks and sets
 
 
