@@ -4,19 +4,21 @@ A page is a stream of tags and text slots. Neighbouring repetitions in a stream
 fold into a repeated group ``( ... )+``; the folded streams of a host are then
 aligned one after another with its wrapper so far, and what only one side has
 becomes an optional group ``( ... )?``, until the wrapper, a regular expression
-without unions, covers all of them. Text that is the same on every page of a host
-is part of the template; the rest are its text slots, known by their tag paths.
+without unions, covers all of them. A host's pages with text in an article or main
+element and its pages without have a wrapper each. Every text of a page stands at
+one place of its wrapper, its slot; a slot in a repeated group takes the texts of
+all repetitions, and slots of different tag paths never align.
 
-Slots inside navigation, page headers and footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are never main text. If the wrapper
-has an article or main element, the remaining slots inside it are the main text;
-otherwise all remaining slots are, save template text and link lists. Every page
-is then read by its own host's slots.
+Texts inside navigation, page headers and footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments are never main text. On a page with an
+article or main element, the remaining texts inside it are the main text; on a page
+without, all remaining texts are, save those whose slot is template (a slot that
+all pages of the wrapper fill with the same text) or a link list.
 
 Pages are folded and their slots counted where they are read; only distinct
 streams and slots (with counts) are shuffled, never pages, so a host with a third
-of all pages is no larger than its variety. Slot tables are broadcast while they
-stay under ``broadcast_bytes``, else pages join them by host.
+of all pages is no larger than its variety. What the wrappers drop is broadcast
+while it stays under ``broadcast_bytes``, else pages join it by host and stream.
 
 Null and empty pages have no text; a null url is a host of its own (empty name).
 Repeated rows are read alike; other columns are ignored; unclosed tags, comments
@@ -29,12 +31,14 @@ import difflib
 import html
 import re
 from collections import defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, hash64
+from .common import Staged, hash64, shuffled
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -80,7 +84,7 @@ def read(page: str):
             if raw[0] != "<" or raw == "<":
                 yield "text", raw, stack[-1], links > 0
             continue
-        name = name.lower()
+        name = name.lower().replace("(", ".").replace(")", ".")
         if m.group(2):
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
             if depth:
@@ -113,77 +117,141 @@ def read(page: str):
         words = {w for k, v in marks for w in re.split(r"[^a-z]+", v)}
         inside = above.main or name in MAIN or any(k == "role" and v == "main" for k, v in marks)
         out = name in ASIDE and not (name == "header" and above.main) or bool(words & ASIDE_WORDS) and name not in ("html", "body")
-        sign = name + "".join(("#" if k == "id" else ".") + re.sub(r"\d+", "0", v) for k, v in marks)
+        sign = name + "".join(("#" if k == "id" else ".") + re.sub(r"[\s()]+", ".", re.sub(r"\d+", "0", v)) for k, v in marks)
         stack.append(Slot(name, f"{above.path}/{sign}", above.aside or out, inside))
         links += name == "a"
         yield "tag", sign, name in BLOCK
 
 
-def fold(tokens: list[str], longest: int = 8) -> list[str]:
-    """A stream with each neighbouring repetition as one repeated group."""
+def fold_slots(tokens: list[str], longest: int = 8) -> tuple[list[str], list[list[list[int]]]]:
+    """A stream with each neighbouring repetition as one repeated group, and for
+    each of its elements the places in ``tokens`` of each text slot inside."""
     out: list[str] = []
-    for token in tokens:
+    slots: list[list[list[int]]] = []
+    for i, token in enumerate(tokens):
         out.append(token)
+        slots.append([[i]] if token[0] == "#" else [])
         for k in range(1, min(longest, len(out) - 1) + 1):
             group = f"({' '.join(out[-k:])})+"
             if out[-k - 1] == group:
-                del out[-k:]
+                again = [x for own in slots[-k:] for x in own]
+                slots[-k - 1] = [x + y for x, y in zip(slots[-k - 1], again, strict=True)]
+                del out[-k:], slots[-k:]
                 break
             if len(out) >= 2 * k and out[-k:] == out[-2 * k : -k]:
+                once, again = ([x for own in part for x in own] for part in (slots[-2 * k : -k], slots[-k:]))
                 out[-2 * k :] = [group]
+                slots[-2 * k :] = [[x + y for x, y in zip(once, again, strict=True)]]
                 break
-    return out
+    return out, slots
 
 
-def align(wrapper: list[str], stream: list[str]) -> list[str]:
-    """The union-free wrapper that covers both: what one side lacks is optional."""
+def fold(tokens: list[str], longest: int = 8) -> list[str]:
+    """A stream with each neighbouring repetition as one repeated group."""
+    return fold_slots(tokens, longest)[0]
+
 
-    def bare(token: str) -> str:
-        return token[1:-2] if token[:1] == "(" and token[-2:] == ")?" else token
+def _bare(token: str) -> str:
+    return token[1:-2] if token[:1] == "(" and token[-2:] == ")?" else token
 
+
+def align_places(wrapper: list[str], stream: list[str]) -> tuple[list[str], list[int], list[int]]:
+    """The union-free wrapper that covers both, and the places in it of the
+    elements of the wrapper so far and of the stream."""
     out: list[str] = []
-    plain = [bare(t) for t in wrapper]
+    old, new = [0] * len(wrapper), [0] * len(stream)
+    plain = [_bare(t) for t in wrapper]
     for kind, a, b, c, d in difflib.SequenceMatcher(None, plain, stream, autojunk=False).get_opcodes():
+        old[a:b] = range(len(out), len(out) + b - a)
         if kind == "equal":
+            new[c:d] = old[a:b]
             out += wrapper[a:b]
             continue
+        new[c:d] = range(len(out) + b - a, len(out) + b - a + d - c)
         out += [f"({t})?" for t in plain[a:b]]
         out += [f"({t})?" for t in stream[c:d]]
-    return out
+    return out, old, new
+
+
+def align(wrapper: list[str], stream: list[str]) -> list[str]:
+    """The union-free wrapper that covers both: what one side lacks is optional."""
+    return align_places(wrapper, stream)[0]
+
+
+def _parse(page: str):
+    """A page as tokens and events, and whether an article or main element has text.
+    A text slot's token names its tag path. Events are None where a block ends, else
+    (place of the slot's token or -1 for blank text, text, element, inside a link)."""
+    tokens: list[str] = []
+    events: list[tuple[int, str, Slot, bool] | None] = []
+    framed = False
+    for kind, value, where, *link in read(page):
+        if kind == "tag":
+            if value:
+                tokens.append(value)
+            if where:
+                events.append(None)
+            continue
+        place = -1
+        if value.strip():
+            if not tokens or tokens[-1][0] != "#":
+                tokens.append(_path_token(where.path))
+            place = len(tokens) - 1
+            framed = framed or where.main and not where.aside
+        events.append((place, value, where, link[0]))
+    return tokens, events, framed
+
+
+@lru_cache(100_000)
+def _path_token(path: str) -> str:
+    return f"#{hash64(path.encode()):016x}"
+
+
+def _stream(tokens: list[str]) -> tuple[str, str, dict[int, int]]:
+    """A page's folded stream, its name, and each text slot's number in it by place."""
+    out, slots = fold_slots(tokens)
+    key = " ".join(out)
+    numbered = enumerate(places for own in slots for places in own)
+    return key, _name(key), {at: k for k, places in numbered for at in places}
+
+
+def _name(stream: str) -> str:
+    return xxhash.xxh3_128_hexdigest(stream.encode())
+
+
+_OBSERVED = "host string, framed boolean, stream string, slot int, key string, n long, chars long, link_chars long, low long, high long"
 
 
 def _observe(batches):
-    """Distinct folded streams and slots of the pages of a task, by host."""
-    streams: dict[tuple[str, str], int] = defaultdict(int)
-    slots: dict[tuple[str, str], list] = {}
+    """Distinct folded streams (slot -1) and slots of the pages of a task, by host.
+    Slots that no wrapper is asked about, inside an aside or on a page with an
+    article, need no row."""
+    streams: dict[tuple, list] = {}
+    slots: dict[tuple, list] = {}
 
     def rows():
-        keys = [(h, 0, k, n, 0, 0, 0, 0, False, False) for (h, k), n in streams.items()] + [(h, 1, k, *v) for (h, k), v in slots.items()]
+        keys = [(h, f, name, -1, key, n, 0, 0, 0, 0) for (h, f, name), (key, n) in streams.items()] + [(h, f, name, k, "", *v) for (h, f, name, k), v in slots.items()]
         columns = list(zip(*keys, strict=True))
-        names = ["host", "kind", "key", "n", "chars", "link_chars", "low", "high", "aside", "main"]
-        types = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5, pa.bool_(), pa.bool_()]
+        names = ["host", "framed", "stream", "slot", "key", "n", "chars", "link_chars", "low", "high"]
+        types = [pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            tokens, seen = [], {}
-            for kind, value, where, *link in read(page or ""):
-                if kind == "tag":
-                    if value:
-                        tokens.append(value)
-                    continue
-                text = value.strip()
-                if text:
-                    if not tokens or tokens[-1] != "#":
-                        tokens.append("#")
-                    own = seen.setdefault(where.path, [0, 0, [], where.aside, where.main])
+            tokens, events, framed = _parse(page or "")
+            key, name, number = _stream(tokens)
+            streams.setdefault((host, framed, name), [key, 0])[1] += 1
+            seen: dict[int, list] = {}
+            for at, text, where, link in filter(None, events):
+                if at >= 0 and asked(where, framed):
+                    text = text.strip()
+                    own = seen.setdefault(number[at], [0, 0, []])
                     own[0] += len(text)
-                    own[1] += len(text) if link[0] else 0
+                    own[1] += len(text) if link else 0
                     own[2].append(text)
-            streams[host, " ".join(fold(tokens))] += 1
-            for path, (chars, linked, texts, aside, main) in seen.items():
-                h = hash64("\n".join(texts).encode()) >> 1
-                own = slots.setdefault((host, path), [0, 0, 0, h, h, aside, main])
+            for k, (chars, linked, found) in seen.items():
+                h = hash64("\n".join(found).encode()) >> 1
+                own = slots.setdefault((host, framed, name, k), [0, 0, 0, h, h])
                 own[0] += 1
                 own[1] += chars
                 own[2] += linked
@@ -196,23 +264,57 @@ def _observe(batches):
         yield rows()
 
 
+def asked(where: Slot, framed: bool) -> bool:
+    """Whether a text is main text only if its wrapper doesn't drop its slot."""
+    return not where.aside and not framed
+
+
+def kept(where: Slot, framed: bool) -> bool:
+    """Whether a text is main text if its wrapper doesn't drop its slot."""
+    return not where.aside and (where.main or not framed)
+
+
 def _infer(min_pages: int):
-    """applyInArrow: one host's wrapper and main slots."""
+    """applyInArrow: a wrapper from the pages of a host with or without an article,
+    and the slots that it drops, by stream and number."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        streams = sorted((r for r in rows if r["kind"] == 0), key=lambda r: (-r["n"], r["key"]))
+        streams = sorted((r for r in rows if r["slot"] < 0), key=lambda r: (-r["n"], r["key"]))
         pages = sum(r["n"] for r in streams)
         wrapper: list[str] = []
-        for i, r in enumerate(streams):
-            stream = r["key"].split(" ") if "(" not in r["key"] else _units(r["key"])
-            wrapper = align(wrapper, stream) if i else stream
-        slots = [r for r in rows if r["kind"] == 1 and not r["aside"]]
-        if any(r["main"] for r in slots):
-            main = [r["key"] for r in slots if r["main"]]
-        else:
-            main = [r["key"] for r in slots if not (r["low"] == r["high"] and r["n"] == pages >= min_pages) and r["link_chars"] * 2 <= r["chars"]]
-        return pa.table({"host": [rows[0]["host"]], "n_pages": pa.array([pages], pa.int64()), "wrapper": [" ".join(wrapper)], "main": pa.array([sorted(main)], pa.list_(pa.string()))})
+        places: dict[str, list[int]] = {}  # of each stream's elements, as marks that outlast later alignments
+        marks: list[int] = []
+        fresh = 0
+        for r in streams:
+            stream = _units(r["key"]) if r["key"] else []
+            wrapper, old, new = align_places(wrapper, stream) if places else (stream, [], list(range(len(stream))))
+            now = [-1] * len(wrapper)
+            for at, mark in zip(old, marks, strict=True):
+                now[at] = mark
+            for at in new:
+                if now[at] < 0:
+                    now[at], fresh = fresh, fresh + 1
+            marks = now
+            own = places[r["stream"]] = []
+            for at, token in zip(new, stream, strict=True):
+                own += [(marks[at], j) for j in range(sum(t.lstrip("(")[:1] == "#" for t in token.split(" ")))]
+        sums: dict[tuple[int, int], list] = {}
+        for r in rows:
+            if r["slot"] >= 0:
+                own = sums.setdefault(places[r["stream"]][r["slot"]], [0, 0, 0, r["low"], r["high"]])
+                for i, c in enumerate(("n", "chars", "link_chars")):
+                    own[i] += r[c]
+                own[3], own[4] = min(own[3], r["low"]), max(own[4], r["high"])
+        gone = {place for place, (n, chars, linked, low, high) in sums.items() if (low == high and n == pages >= min_pages) or linked * 2 > chars}
+        drops: dict[str, list[int]] = defaultdict(list)
+        for r in rows:
+            if r["slot"] >= 0 and places[r["stream"]][r["slot"]] in gone:
+                drops[r["stream"]].append(r["slot"])
+        shown = re.sub(r"#[0-9a-f]{16}", "#", " ".join(wrapper))
+        listed = [{"stream": k, "slots": sorted(v)} for k, v in sorted(drops.items())]
+        kind = pa.list_(pa.struct([("stream", pa.string()), ("slots", pa.list_(pa.int32()))]))
+        return pa.table({"host": [rows[0]["host"]], "framed": [rows[0]["framed"]], "n_pages": pa.array([pages], pa.int64()), "wrapper": [shown], "drops": pa.array([listed], kind)})
 
     return run
 
@@ -231,33 +333,50 @@ def _units(stream: str) -> list[str]:
     return out
 
 
-def main_text(page: str, main: set[str]) -> str:
-    """Text of the main slots of a page, one line for each block."""
+def main_text(page: str, drops) -> str:
+    """Main text of a page, one line for each block; ``drops`` gives the slots that
+    the wrapper of a stream drops, by the stream's name."""
+    tokens, events, framed = _parse(page)
+    gone: set[int] = set()
+    if any(e and e[0] >= 0 and asked(e[2], framed) for e in events):
+        _, name, number = _stream(tokens)
+        own = drops(name)
+        gone = {at for at, k in number.items() if k in own} if own else gone
     blocks, now = [], []
-    for kind, value, where, *_ in read(page):
-        if kind == "text":
-            if where.path in main:
-                now.append(value)
-        elif where and now:
-            blocks.append("".join(now))
-            now = []
+    for event in events:
+        if event is None:
+            if now:
+                blocks.append("".join(now))
+                now = []
+        elif kept(event[2], framed) and event[0] not in gone:
+            now.append(event[1])
     blocks.append("".join(now))
     lines = (" ".join(html.unescape(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
 
+def _named(batches):
+    """Pages with the name of their stream, null if no wrapper is asked about them."""
+    for batch in batches:
+        names = []
+        for page in batch.column("html").to_pylist():
+            tokens, events, framed = _parse(page or "")
+            names.append(_stream(tokens)[1] if any(e and e[0] >= 0 and asked(e[2], framed) for e in events) else None)
+        yield batch.append_column("stream", pa.array(names, pa.string()))
+
+
 def _extract(shared):
-    """shared: host -> main slots; or None, and each row brings its own."""
+    """shared: (host, stream) -> slots that go; or None, and each row brings its own."""
 
     def run(batches):
-        known: dict[str, set[str]] = {h: set(m) for h, m in shared.value.items()} if shared else {}
+        known: dict[tuple[str, str], list[int]] = shared.value if shared else {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 if shared:
-                    own = (known.get(h, set()) for h in part.column("host").to_pylist())
+                    own = ((lambda name, h=h: known.get((h, name))) for h in part.column("host").to_pylist())
                 else:
-                    own = (set(m or []) for m in part.column("main").to_pylist())
+                    own = ((lambda name, m=m: m) for m in part.column("slots").to_pylist())
                 text = [main_text(p or "", m) for p, m in zip(part.column("html").to_pylist(), own, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["id", "url", "text", "n_chars"])
 
@@ -269,23 +388,25 @@ def _host(url_col: str):
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5) -> DataFrame:
-    """``host, n_pages, wrapper, main``: each host's wrapper as a regular
-    expression over tags and text slots (#), and the paths of its main slots."""
+    """``host, framed, n_pages, wrapper, drops``: the wrapper of a host's pages with
+    or without text in an article, as a regular expression over tags and text slots
+    (#), and the slots (by stream and number) that it drops from the main text."""
     src = pages.select(_host(f"`{url_col}`").alias("host"), F.col(f"`{html_col}`").alias("html"))
-    found = src.mapInArrow(_observe, "host string, kind int, key string, n long, chars long, link_chars long, low long, high long, aside boolean, main boolean")
+    found = src.mapInArrow(_observe, _OBSERVED)
     sums = [F.sum(c).alias(c) for c in ("n", "chars", "link_chars")]
-    merged = found.groupBy("host", "kind", "key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("aside").alias("aside"), F.bool_or("main").alias("main"))
-    return merged.groupBy("host").applyInArrow(_infer(min_pages), "host string, n_pages long, wrapper string, main array<string>")
+    merged = found.groupBy("host", "framed", "stream", "slot", "key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
+    return merged.groupBy("host", "framed").applyInArrow(_infer(min_pages), "host string, framed boolean, n_pages long, wrapper string, drops array<struct<stream:string,slots:array<int>>>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """``id, url, text, n_chars`` of every page."""
-    found = Staged(wrappers(pages, url_col, html_col, min_pages), "wrappers").df
+    found = Staged(wrappers(pages, url_col, html_col, min_pages), "wrappers").df.selectExpr("host", "inline(drops)")
     src = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), _host(f"`{url_col}`").alias("host"), F.col(f"`{html_col}`").alias("html"))
     kind = src.schema["id"].dataType.simpleString()
     out = f"id {kind}, url string, text string, n_chars long"
-    size = found.agg(F.sum(F.length("host") + F.length(F.concat_ws(" ", "main")))).first()[0] or 0
+    size = found.agg(F.sum(F.length("host") + 32 + 4 * F.size("slots"))).first()[0] or 0
     if size <= broadcast_bytes:
-        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["main"] for r in found.select("host", "main").collect()})  # size checked
+        shared = pages.sparkSession.sparkContext.broadcast({(r["host"], r["stream"]): r["slots"] for r in found.collect()})  # size checked
         return src.mapInArrow(_extract(shared), out)
-    return src.join(found.select("host", "main"), "host", "left").select("id", "url", "html", "main").mapInArrow(_extract(None), out)
+    named = src.mapInArrow(_named, f"id {kind}, url string, host string, html string, stream string")
+    return named.join(shuffled(found), ["host", "stream"], "left").select("id", "url", "html", "slots").mapInArrow(_extract(None), out)

@@ -57,3 +57,27 @@ def test_wrapper_folds_and_aligns():
     a = html_extract.fold("body h1 # /h1 p # /p p # /p /body".split())
     b = html_extract.fold("body h1 # /h1 div # /div p # /p p # /p /body".split())
     assert html_extract.align(a, b) == ["body", "h1", "#", "/h1", "(div)?", "(#)?", "(/div)?", "(p # /p)+", "/body"]
+
+
+def pages_of(spark, pages):
+    rows = [(i, "http://h.net/x", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    both = [[r["text"] for r in sorted(html_extract.extract(df, broadcast_bytes=size).collect(), key=lambda r: r["id"])] for size in (1 << 20, -1)]
+    assert both[0] == both[1]
+    return both[0]
+
+
+def test_an_article_on_one_page_leaves_the_others_of_its_host_whole(spark):
+    pages = [f"<body><div class='content'><p>Story {i}.</p></div></body>" for i in range(6)] + ["<body><div>About</div><article><p>In it.</p></article></body>", "<div>x</div><article></article>"]
+    assert pages_of(spark, pages) == [f"Story {i}." for i in range(6)] + ["In it.", "x"]
+
+
+def test_slots_are_places_of_the_wrapper(spark):
+    # one tag path for template, stories and links: only their places tell them apart
+    def page(i):
+        links = "".join(f"<li><a href='/{k}'>Link {k} {i}</a></li>" for k in range(2 + i % 3))
+        optional = f"<h2>Update {i}</h2>" if i % 2 else ""
+        return f"<body><div>Welcome</div><hr><h1>Title {i}</h1>{optional}<div>Story {i}.</div><ul class='a (b)'>{links}</ul><div>All rights</div></body>"
+
+    want = ["\n".join([f"Title {i}", *([f"Update {i}"] if i % 2 else []), f"Story {i}."]) for i in range(12)]
+    assert pages_of(spark, [page(i) for i in range(12)]) == want
