@@ -41,7 +41,9 @@ from pyspark.sql import functions as F
 from .common import Staged, hash64, shuffled
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    # a self-closed svg, iframe or object is an empty element; a slash that ends an unquoted value closes nothing
+    r"|<(?:(script|style|noscript|template|textarea|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*|(iframe|svg|object)(?=[\s/>])(?:[^>\"'=/]|/(?!>)|=\s*+[^\s\"'>]*+|\"[^\"]*\"|'[^']*')*+)>.*?(?:</(?:\1|\2)\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
@@ -79,13 +81,13 @@ def read(page: str):
     stack = [root]
     links = 0
     for m in _TOKEN.finditer(page):
-        raw, name = m.group(), m.group(3)
+        raw, name = m.group(), m.group(4)
         if name is None:
             if raw[0] != "<" or raw == "<":
                 yield "text", raw, stack[-1], links > 0
             continue
         name = name.lower().replace("(", ".").replace(")", ".")
-        if m.group(2):
+        if m.group(3):
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
             if depth:
                 for gone in stack[depth:]:
@@ -95,8 +97,8 @@ def read(page: str):
             elif name in ("p", "br"):
                 yield "tag", "", name == "p"
             continue
-        marks = [(k.lower(), v.strip("\"'").lower()) for k, v in _ATTRIBUTE.findall(m.group(4))] if "=" in m.group(4) else []
-        if name in VOID or m.group(4).endswith("/"):
+        marks = [(k.lower(), v.strip("\"'").lower()) for k, v in _ATTRIBUTE.findall(m.group(5))] if "=" in m.group(5) else []
+        if name in VOID or m.group(5).endswith("/"):
             if name == "br":
                 yield "text", " ", stack[-1], False
             elif name in BLOCK:

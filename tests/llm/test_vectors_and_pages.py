@@ -81,3 +81,10 @@ def test_slots_are_places_of_the_wrapper(spark):
 
     want = ["\n".join([f"Title {i}", *([f"Update {i}"] if i % 2 else []), f"Story {i}."]) for i in range(12)]
     assert pages_of(spark, [page(i) for i in range(12)]) == want
+
+
+def test_self_closed_elements_end_at_once():
+    text = lambda page: html_extract.main_text(f"<article><p>one</p>{page}<p>two</p></article>", lambda name: None)
+    for empty in ('<svg class="i"/>', "<svg/>", "<svg hidden />", '<SVG class="i"><path d="M0"/><title>t</title></svg>', '<iframe src="/x"/>', "<object data='x' />", "<svg-icon name=x></svg-icon>", "<svg class=i/><title>t</title></svg>", "<object data=/x/y/>fallback</object>", "<iframe src = /x/>f</iframe>"):
+        assert text(empty) == "one\ntwo", empty
+    assert text("<svg " + "a=b/ " * 3000 + '"') and text("<svg " + "a=bcd/ " * 3000 + '"x"/>') == "one\ntwo"  # in linear time
