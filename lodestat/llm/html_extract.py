@@ -11,9 +11,11 @@ all repetitions, and slots of different tag paths never align.
 
 Texts inside navigation, page headers and footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are never main text. On a page with an
-article or main element, the remaining texts inside it are the main text; on a page
-without, all remaining texts are, save those whose slot is template (a slot that
-all pages of the wrapper fill with the same text) or a link list.
+article or main element, the remaining texts inside it are the main text, its own
+head included; on a page without, all remaining texts are, save those whose slot is
+template (a slot that all pages of the wrapper fill with the same text) or a link
+list. So are the texts inside an article under a class, id or role of a word that
+can name a section of it as well as something beside it.
 
 Pages are folded and their slots counted where they are read; only distinct
 streams and slots (with counts) are shuffled, never pages, so a host with a third
@@ -65,13 +67,17 @@ ASIDE_WORDS = set(
     "widget pager pagination toolbar complementary contentinfo skip".split()
 )
 MAIN = {"article", "main"}
+# Inside an article: words of its own head, which is main text, and words that also
+# name sections of it, so that the wrapper decides (template and link lists go).
+HEAD_WORDS = {"header", "masthead"}
+DOUBTFUL_WORDS = set("alert discussion menu navigation notice notices promotion related search social".split())
 
 
 class Slot:
-    __slots__ = ("aside", "main", "name", "path")
+    __slots__ = ("aside", "doubt", "main", "name", "path")
 
-    def __init__(self, name: str, path: str, aside: bool, main: bool):
-        self.name, self.path, self.aside, self.main = name, path, aside, main
+    def __init__(self, name: str, path: str, aside: bool, main: bool, doubt: bool = False):
+        self.name, self.path, self.aside, self.main, self.doubt = name, path, aside, main, doubt
 
 
 def read(page: str):
@@ -118,9 +124,11 @@ def read(page: str):
         above = stack[-1]
         words = {w for k, v in marks for w in re.split(r"[^a-z]+", v)}
         inside = above.main or name in MAIN or any(k == "role" and v == "main" for k, v in marks)
-        out = name in ASIDE and not (name == "header" and above.main) or bool(words & ASIDE_WORDS) and name not in ("html", "body")
+        words = words & ASIDE_WORDS if name not in ("html", "body") else set()
+        doubt = above.main and bool(words & DOUBTFUL_WORDS)
+        out = name in ASIDE and not (name == "header" and above.main) or bool(words - (HEAD_WORDS | DOUBTFUL_WORDS) if above.main else words)
         sign = name + "".join(("#" if k == "id" else ".") + re.sub(r"[\s()]+", ".", re.sub(r"\d+", "0", v)) for k, v in marks)
-        stack.append(Slot(name, f"{above.path}/{sign}", above.aside or out, inside))
+        stack.append(Slot(name, f"{above.path}/{sign}", above.aside or out, inside, above.doubt or doubt))
         links += name == "a"
         yield "tag", sign, name in BLOCK
 
@@ -268,7 +276,7 @@ def _observe(batches):
 
 def asked(where: Slot, framed: bool) -> bool:
     """Whether a text is main text only if its wrapper doesn't drop its slot."""
-    return not where.aside and not framed
+    return kept(where, framed) and (where.doubt or not framed)
 
 
 def kept(where: Slot, framed: bool) -> bool:

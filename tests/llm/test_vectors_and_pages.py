@@ -88,3 +88,12 @@ def test_self_closed_elements_end_at_once():
     for empty in ('<svg class="i"/>', "<svg/>", "<svg hidden />", '<SVG class="i"><path d="M0"/><title>t</title></svg>', '<iframe src="/x"/>', "<object data='x' />", "<svg-icon name=x></svg-icon>", "<svg class=i/><title>t</title></svg>", "<object data=/x/y/>fallback</object>", "<iframe src = /x/>f</iframe>"):
         assert text(empty) == "one\ntwo", empty
     assert text("<svg " + "a=b/ " * 3000 + '"') and text("<svg " + "a=bcd/ " * 3000 + '"x"/>') == "one\ntwo"  # in linear time
+
+
+def test_classed_heads_and_sections_inside_an_article_stay(spark):
+    def page(i):
+        related = "<div class=related><ul><li><a href=/a>Other story</a></ul></div>"
+        alert = "<div class=alert>Prices may have changed.</div>"
+        return f"<body><div class=site-header>Site</div><article><header class='entry-header'><h1>T{i}</h1></header><p>x{i}</p><div id='discussion'><p>We discuss {i}.</p></div><section class='search-methods'><p>We searched {i}.</p></section>{alert}{related}<section class='comments'>first!</section></article></body>"
+
+    assert pages_of(spark, [page(i) for i in range(6)]) == [f"T{i}\nx{i}\nWe discuss {i}.\nWe searched {i}." for i in range(6)]
