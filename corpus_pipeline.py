@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 it kept. The first four return the columns of ``documents``:
 
 1. toxicity: rows with a score of 0.5 or more go;
-2. line dedup: later copies of repeated line runs are cut out of the texts, and
-   rows whose every line was such a copy go;
+2. line dedup: later copies of repeated runs, of 2 lines or of one line of 50
+   words, are cut out of the texts, and rows whose every line was such a copy go;
 3. n-gram Jaccard join: one row of each group of near-duplicates stays;
 4. decontamination: rows with any benchmark window go;
 5. byte-level BPE: the tokens of what is left, and their decoded bytes, as digests.
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_repeated_lines(docs, min_run=2, carry=True).where("n_removed = 0 or n_removed < n_lines")
+    out = line_dedup.remove_repeated_lines(docs, min_run=2, carry=True, long_words=50).where("n_removed = 0 or n_removed < n_lines")
     kept = carried(out, docs.columns, "text", F.col("kept"))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 

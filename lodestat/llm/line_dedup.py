@@ -7,7 +7,8 @@ that share their prefix so far with another one stay active, so most lines leave
 after the first count. Doubling ends at ``min_run`` lines: suffixes with one rank
 are then an interval of the suffix array whose longest common prefix is at least
 min_run, and the union of these windows is exactly the maximal repeated runs of
-min_run lines or more.
+min_run lines or more. A single line of ``long_words`` words or more can be a run by
+itself, so that long passages on one line go too.
 
 Of every interval, the occurrence that comes first (document order is the id's,
 ties by text) is kept; lines of later copies are deleted unless they also belong
@@ -33,19 +34,20 @@ from .common import Staged, shuffled, texts_of, with_row_key
 
 
 def _lines(batches):
-    """Hashes of the lines of each text."""
+    """Hashes and numbers of words of the lines of each text."""
     for batch in batches:
         texts = texts_of(batch.column("text"))
         for lo in range(0, len(texts), 500):
             lines = [t.split(b"\n") if t else [] for t in texts[lo : lo + 500]]
             n = np.fromiter(map(len, lines), np.int64, len(lines))
             h = [xxhash.xxh3_128_intdigest(x) for own in lines for x in own]
+            words = np.fromiter((len(x.split()) for own in lines for x in own), np.int32, len(h))
             at = np.repeat(np.arange(lo, lo + len(lines)), n)
             pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             some = pa.array(at, pa.int64())
             one = np.fromiter((x >> 64 for x in h), np.uint64, len(h)).view(np.int64)
             two = np.fromiter((x & (2**64 - 1) for x in h), np.uint64, len(h)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(some) for c in ("id", "rk", "rh")), pa.array(pos.astype(np.int32)), pa.array(one), pa.array(two)], names=["id", "rk", "rh", "pos", "one", "two"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(some) for c in ("id", "rk", "rh")), pa.array(pos.astype(np.int32)), pa.array(words), pa.array(one), pa.array(two)], names=["id", "rk", "rh", "pos", "words", "one", "two"])
 
 
 def _active(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,14 +59,26 @@ def _active(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(shuffled(ranks), keys).drop(*keys)
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 2) -> DataFrame:
-    """``rk, rh, pos, first``: windows of ``min_run`` lines that stand more than
-    once, by their first line; first marks each window's first occurrence."""
+def _marked(ranked: DataFrame, size: int) -> DataFrame:
+    """``rk, rh, pos, n, first`` of suffixes that share their first ``size`` lines."""
+    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "rk", "rh", "pos")
+    first = ranked.groupBy("rank").agg(F.min(place).alias("at"))
+    first = first.select("rank", F.col("at.rk").alias("frk"), F.col("at.rh").alias("frh"), F.col("at.pos").alias("fpos"))
+    first = Staged(first, "lines-first").df  # a table of its own, so that a hot rank's rows can be split in the join
+    marked = ranked.join(shuffled(first), "rank")
+    return marked.select("rk", "rh", "pos", F.lit(size).alias("n"), ((F.col("rk") == F.col("frk")) & (F.col("rh") == F.col("frh")) & (F.col("pos") == F.col("fpos"))).alias("first"))
+
+
+def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 2, long_words: int | None = None) -> DataFrame:
+    """``rk, rh, pos, n, first``: windows of ``min_run`` lines, and single lines of
+    at least ``long_words`` words, that stand more than once, by their first line
+    and number of lines; first marks each window's first occurrence."""
     texts = with_row_key(df, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.mapInArrow(_lines, f"id {kind}, rk long, rh int, pos int, one long, two long")
+    rows = texts.mapInArrow(_lines, f"id {kind}, rk long, rh int, pos int, words int, one long, two long")
     lines = Staged(rows, "lines").df.dropDuplicates(["rk", "rh", "pos"])
     ranked = Staged(_active(lines, ["one", "two"]), "lines-1").df
+    alone = _marked(ranked.where(F.col("words") >= long_words), 1) if long_words is not None and min_run > 1 else None
     text = Window.partitionBy("rk", "rh").orderBy("pos")
     size = 1
     while size < min_run:
@@ -75,15 +89,11 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pair = ranked.join(shuffled(ranked.select("rk", "rh", (F.col("pos") - step).alias("pos"), F.col("rank").alias("then"))), ["rk", "rh", "pos"])
         ranked = Staged(_active(pair.withColumnRenamed("rank", "here"), ["here", "then"]), f"lines-{size + step}").df
         size += step
-    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "rk", "rh", "pos")
-    first = ranked.groupBy("rank").agg(F.min(place).alias("at"))
-    first = first.select("rank", F.col("at.rk").alias("frk"), F.col("at.rh").alias("frh"), F.col("at.pos").alias("fpos"))
-    first = Staged(first, "lines-first").df  # a table of its own, so that a hot rank's rows can be split in the join
-    marked = ranked.join(shuffled(first), "rank")
-    return marked.select("rk", "rh", "pos", ((F.col("rk") == F.col("frk")) & (F.col("rh") == F.col("frh")) & (F.col("pos") == F.col("fpos"))).alias("first"))
+    runs = _marked(ranked, min_run)
+    return runs.unionByName(alone) if alone is not None else runs
 
 
-def _cut(min_run: int, columns: list[str]):
+def _cut(columns: list[str]):
     def run(batches):
         for batch in batches:
             kept, total, gone = [], [], []
@@ -91,7 +101,7 @@ def _cut(min_run: int, columns: list[str]):
                 lines = text.split("\n") if text else []
                 first, later = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
                 for r in own or []:
-                    (first if r["first"] else later)[r["pos"] : r["pos"] + min_run] = True
+                    (first if r["first"] else later)[r["pos"] : r["pos"] + r["n"]] = True
                 drop = later & ~first
                 total.append(len(lines))
                 gone.append(int(drop.sum()))
@@ -101,12 +111,13 @@ def _cut(min_run: int, columns: list[str]):
     return run
 
 
-def remove_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 2, carry: bool = False) -> DataFrame:
+def remove_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 2, carry: bool = False, long_words: int | None = None) -> DataFrame:
     """``id, n_lines, n_removed, kept``: every row's text without the later copies
-    of repeated line runs; carry adds ``row``, a struct of the row's other columns."""
-    runs = repeated_runs(df, id_col, text_col, min_run).groupBy("rk", "rh").agg(F.collect_list(F.struct("pos", "first")).alias("runs"))
+    of repeated line runs; a single line of at least ``long_words`` words is a run
+    too (None: no single line is, unless min_run is 1). carry adds ``row``, a struct of the row's other columns."""
+    runs = repeated_runs(df, id_col, text_col, min_run, long_words).groupBy("rk", "rh").agg(F.collect_list(F.struct("pos", "n", "first")).alias("runs"))
     texts = with_row_key(df, id_col, text_col, carry)
     columns = ["id", "row"] if carry else ["id"]
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in columns)
     joined = texts.join(shuffled(Staged(runs, "lines-runs").df), ["rk", "rh"], "left").select(*columns, "text", "runs")
-    return joined.mapInArrow(_cut(min_run, columns), f"{kinds}, n_lines long, n_removed long, kept string")
+    return joined.mapInArrow(_cut(columns), f"{kinds}, n_lines long, n_removed long, kept string")

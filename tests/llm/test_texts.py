@@ -84,6 +84,16 @@ def test_later_copies_of_line_runs_go(spark, run):
     assert spark_rows(got) == want
 
 
+def test_long_single_lines_are_runs(spark):
+    long, other = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(49))
+    data = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, f"x\n{other}"), (5, f"y\n{other}"), (6, f"{long}\nnew"), (7, f"{long}\nnew"), (8, None)]
+    want = {1: data[0][1], 2: "c\nd", 3: "", 4: data[3][1], 5: data[4][1], 6: data[5][1], 7: "", 8: ""}  # 6 holds the first copy of a run of two lines
+    got = line_dedup.remove_repeated_lines(table(spark, data), min_run=2, long_words=50).collect()
+    assert {r["id"]: r["kept"] for r in got} == want
+    without = line_dedup.remove_repeated_lines(table(spark, data), min_run=2).collect()
+    assert {r["id"]: r["kept"] for r in without} == {i: t or "" for i, t in data} | {7: ""}
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7), (None, 3)]
