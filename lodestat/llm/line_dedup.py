@@ -10,10 +10,10 @@ min_run, and the union of these windows is exactly the maximal repeated runs of
 min_run lines or more. A single line of ``long_words`` words or more can be a run by
 itself, so that long passages on one line go too.
 
-Of every interval, the occurrence that comes first (document order is the id's,
+Of every window, the occurrence that comes first (document order is the id's,
 ties by text) is kept; lines of later copies are deleted unless they also belong
-to the first occurrence of another repeated run, so each repeated run survives
-once. Ranks are given to distinct pairs only, counted before the shuffle; a line
+to the first occurrence of another such window. So each repeated window survives
+once, but not each longer run, a part of which may have stood earlier. Ranks are given to distinct pairs only, counted before the shuffle; a line
 that a third of all documents hold is one distinct pair.
 
 Lines are split at \\n and compare by 128-bit hashes of their exact text; blank
