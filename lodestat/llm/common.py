@@ -1,7 +1,8 @@
 """What the corpus operators share: scratch tables, row keys, packed arrays.
 
 Scratch tables live under ``spark.checkpoint.dir`` (the folder the cluster
-shares); only where that is unset does a session get a local folder of its own.
+shares); only a session that is one process (``local``) gets a folder of its own
+where that is unset, any other raises.
 They outlive the call, because a lazy result still reads them, and go when the
 session's Python ends or :func:`release` is called.
 """
@@ -9,34 +10,55 @@ session's Python ends or :func:`release` is called.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship_package
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of one batch on its way to a Python worker, and of the texts that are worked on at once.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_NULL = "text was null"
 _packers: dict[int, zstandard.ZstdCompressor] = {}
 _unpacker = zstandard.ZstdDecompressor()
 _roots: dict[str, tuple[SparkSession, str]] = {}
+_tables: dict[str, list[str]] = {}
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors, and batches for Python workers bounded by bytes,
+    however long the texts are."""
+    ship_package(spark)
+    now = spark.conf.get(_BATCH_BYTES, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder for this session's scratch tables, below ``spark.checkpoint.dir``."""
     app = spark.sparkContext.applicationId
-    ship_package(spark)
+    prepare(spark)
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="lodestat-")
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+            base = "file://" + tempfile.mkdtemp(prefix="lodestat-")  # one process: its own folder is shared
             spark.conf.set("spark.checkpoint.dir", base)
         root = f"{base.rstrip('/')}/lodestat-{uuid.uuid4().hex[:12]}"
         _roots[app] = (spark, root)
@@ -55,6 +77,8 @@ def release(spark: SparkSession) -> None:
     """Delete every scratch table of the session; results not yet read are lost."""
     try:
         app = spark.sparkContext.applicationId
+        for table in _tables.pop(app, []):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         if app in _roots:
             drop_path(spark, _roots.pop(app)[1])
     except Exception:  # noqa: BLE001  the session may have gone already
@@ -91,6 +115,7 @@ class Staged:
         with _setting(self.spark, _CLEANUP, "true"):  # its shuffle files aren't needed once it is written
             if bucket:
                 table = "lodestat_" + name.replace("-", "_")
+                _tables.setdefault(self.spark.sparkContext.applicationId, []).append(table)  # leaves the catalog with the session's other scratch tables
                 writer.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), bucket).option("path", self.path).saveAsTable(table)
                 self.df = self.spark.table(table)
             else:
@@ -116,19 +141,31 @@ def key_ranges(df: DataFrame, bytes_per_range: int = 8 << 20) -> int:
     return max(least, math.ceil(min(size, 1 << 50) / bytes_per_range))
 
 
+def quoted(name: str):
+    """The column of this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_row_key(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """``id, text, rk, rh``: rk and rh (96 bits) name a row by its id and text.
     Never null; rows equal in both share a key and so get equal results. carry
     adds ``row``, a struct of all columns but the text, whatever their names."""
-    i, t = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rest = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")] if carry else []
+    i, t = quoted(id_col), F.coalesce(quoted(text_col), F.lit(""))
+    rest = [F.struct(*(quoted(c) for c in df.columns if c != text_col), quoted(text_col).isNull().alias(_NULL)).alias("row")] if carry else []
     keys = [F.xxhash64("id", "text").alias("rk"), F.hash("text", "id").alias("rh")]
     return df.select(i.alias("id"), t.alias("text"), *rest).select("*", *keys)
 
 
+def fields(df: DataFrame, columns: list[str], more: str) -> StructType:
+    """Schema of these columns of df, whatever their names, and more (as DDL)."""
+    return StructType([*(df.schema[c] for c in columns), *StructType.fromDDL(more)])
+
+
 def carried(df: DataFrame, columns: list[str], text_col: str, text) -> DataFrame:
-    """The rows that ``with_row_key`` carried, as they came, with this text."""
-    return df.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns))
+    """The rows that ``with_row_key`` carried, as they came, with this text (null
+    where it was null)."""
+    text = F.when(~F.col("row")[_NULL], text)
+    return df.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns))
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -138,6 +175,41 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: str | int, max_bytes: int = SLICE_BYTES):
+    """The batch in runs of rows with ``max_bytes`` of this column at most, or one row."""
+    own = batch.column(column)
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    lo = 0
+    while lo < batch.num_rows:
+        done = ends[lo - 1] if lo else 0
+        hi = max(int(np.searchsorted(ends, done + max_bytes, "right")), lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def trimmed(run):
+    """A function for mapInArrow that gives free memory back to the system at its
+    end: workers wait for the next task, and what they keep counts."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def hash64(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 

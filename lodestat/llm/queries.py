@@ -50,15 +50,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+# Runs of 1, 2, 3, ... lines that stand more than once, by adding a line at a time; of
+# all runs from one line on, the longest later copy and the longest first one count.
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
-l AS (SELECT doc_id, r, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS j FROM d),
-p AS (SELECT doc_id, r, j, x || chr(10) || lead(x) OVER (PARTITION BY r ORDER BY j) AS k FROM l),
-q AS (SELECT r, j, count(*) OVER (PARTITION BY k) AS c, row_number() OVER (PARTITION BY k ORDER BY doc_id, r, j) AS o FROM p WHERE k IS NOT NULL),
-g AS (SELECT r, unnest([j, j + 1]) AS j FROM q WHERE c > 1 AND o > 1 EXCEPT SELECT r, unnest([j, j + 1]) AS j FROM q WHERE c > 1 AND o = 1),
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, text, row_number() OVER () AS r, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS ls
+  FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+l AS MATERIALIZED (SELECT doc_id, r, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS j FROM d),
+w AS (SELECT r, j, 1 AS n, md5(x) AS k FROM l QUALIFY count(*) OVER (PARTITION BY md5(x)) > 1
+  UNION ALL
+  SELECT r, j, n, k FROM (SELECT w.r, w.j, w.n + 1 AS n, md5(w.k || l.x) AS k FROM w JOIN l ON l.r = w.r AND l.j = w.j + w.n) QUALIFY count(*) OVER (PARTITION BY k) > 1),
+q AS (SELECT r, j, n, row_number() OVER (PARTITION BY n, k ORDER BY doc_id NULLS FIRST, r, j) = 1 AS first FROM w JOIN d USING (r) WHERE n >= 2),
+m AS MATERIALIZED (SELECT r, j, first, max(n) AS n FROM q GROUP BY r, j, first),
+g AS (SELECT r, unnest(range(j, j + n)) AS j FROM m WHERE NOT first EXCEPT SELECT r, unnest(range(j, j + n)) AS j FROM m WHERE first),
 k AS (SELECT r, count(*) AS n, string_agg(x, chr(10) ORDER BY j) AS t FROM l ANTI JOIN g USING (r, j) GROUP BY r)
-SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM d LEFT JOIN k USING (r)
+SELECT o.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents o JOIN d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND coalesce(o.text, '') = d.text LEFT JOIN k USING (r)
 """
 
 

@@ -59,29 +59,40 @@ def test_repeated_windows_are_cut(spark):
         assert spark_rows(got) == want
 
 
-@pytest.mark.parametrize("run", [1, 2, 3])
+@pytest.mark.parametrize("run", [1, 2, 3, 5])
 def test_later_copies_of_line_runs_go(spark, run):
     lines = ["a", "b", "c", "d", ""]
     rng = random.Random(run)
-    data = [(i, "\n".join(rng.choice(lines) * rng.randint(1, 3) for _ in range(rng.randint(0, 12)))) for i in range(25)] + [(30, None), (31, "a\na\na\na\na\na"), (None, "b\nc\nd\na")]
+    data = [(i, "\n".join(rng.choice(lines) * rng.randint(1, 3) for _ in range(rng.randint(0, 12)))) for i in range(25)]
+    story = [f"s{k}" for k in range(40)]  # long runs that nest and overlap
+    data += [(40 + i, "\n".join([f"t{i}", *story[rng.randint(0, 12) : rng.randint(14, 40)], "u", *story[rng.randint(0, 5) : rng.randint(5, 12)]])) for i in range(8)]
+    data += [(60, "A\nB\nX"), (61, "A\nB\nC\nY"), (62, "A\nB\nC\nZ"), (63, "q\n" * 30)] + [(30, None), (31, "a\na\na\na\na\na"), (None, "b\nc\nd\na")]
     data.append(data[4])
     split = {d: d[1].split("\n") if d[1] else [] for d in data}
     order = sorted(split, key=lambda d: (d[0] is not None, d[0] or 0))
     windows = defaultdict(list)
     for d in order:
-        for s in range(len(split[d]) - run + 1):
-            windows[tuple(split[d][s : s + run])].append((d, s))
+        for s in range(len(split[d])):
+            for n in range(run, len(split[d]) - s + 1):
+                windows[tuple(split[d][s : s + n])].append((d, s))
     first, later = defaultdict(set), defaultdict(set)
-    for places in windows.values():
+    for w, places in windows.items():
         for k, (d, s) in enumerate(places):
             if len(places) > 1:
-                (later if k else first)[d] |= set(range(s, s + run))
+                (later if k else first)[d] |= set(range(s, s + len(w)))
     want = Counter()
     for d in data:
         gone = later[d] - first[d]
         want[d[0], len(split[d]), len(gone), "\n".join(x for k, x in enumerate(split[d]) if k not in gone)] += 1
     got = line_dedup.remove_repeated_lines(table(spark, data), min_run=run).select("id", "n_lines", "n_removed", "kept")
     assert spark_rows(got) == want
+    assert line_dedup.remove_repeated_lines(table(spark, []), min_run=run).count() == 0
+
+
+def test_each_repeated_run_survives_once(spark):
+    data = [(1, "A\nB\nX"), (2, "A\nB\nC\nY"), (3, "A\nB\nC\nZ")]
+    got = {r["id"]: r["kept"] for r in line_dedup.remove_repeated_lines(table(spark, data)).collect()}
+    assert got == {1: "A\nB\nX", 2: "A\nB\nC\nY", 3: "Z"}
 
 
 def test_long_single_lines_are_runs(spark):
