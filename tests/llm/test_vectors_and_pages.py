@@ -1,26 +1,60 @@
+import math
+
 import numpy as np
 
 from lodestat.llm import html_extract, knn_join
 
 
+def floors(v):
+    return [math.floor(1024 * x) if abs(x) < 2**53 else int(x) * 1024 for x in v]
+
+
+def brute_force(rows, k, modulus):
+    """Every pair in whole numbers of any size; several rows of one query id share a ranking."""
+    valid = [(i, floors(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    want = []
+    for q in sorted({i for i, _ in valid if i % modulus == 0}):
+        pairs = [(max(min(-sum(x * y for x, y in zip(a, b, strict=False)), 10**38 - 1), 1 - 10**38), i) for j, a in valid if j == q for i, b in valid if i != q]
+        want += [(q, r + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(sorted(pairs)[:k])]
+    return sorted(want)
+
+
+def searched(spark, rows, k=10, modulus=10, kind="double", **settings):
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], f"vec_id long, embedding array<{kind}>, cell int")
+    return sorted(tuple(r) for r in knn_join.top_k(df, k=k, query_modulus=modulus, **settings).collect())
+
+
 def test_top_k_is_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0, 0.2, (300, 8)).round(2)
     x[50:120] = x[0]  # a large group of copies
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    rows += [(400, None, 1), (401, [None] * 8, 1), (402, [float("nan")] * 8, 1), (500, [0.1] * 7, 1), (None, [0.1] * 8, 1), (600, [float("inf")] * 8, 1), (10, x[3].tolist(), 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int")
-    valid = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and len(v) == 8]
-    want = set()
-    for q, a in valid:
-        if q % 10 == 0:
-            best = sorted(((-int(a @ b), i) for i, b in valid if i != q))[:10]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    got = knn_join.top_k(df, k=10, query_modulus=10, pivots=7, chunk=16, pack=5)
-    assert {tuple(r) for r in got.where("query_id != 10").collect()} == {w for w in want if w[0] != 10}
-    few = knn_join.top_k(df.where("vec_id < 3"), k=10, query_modulus=1)
-    assert few.count() == 6
-    assert knn_join.top_k(df.where("false")).count() == 0
+    rows = list(enumerate(x.tolist()))
+    rows += [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (500, [0.1] * 7), (None, [0.1] * 8), (600, [float("inf")] * 8), (10, x[3].tolist()), (610, []), (20, x[20].tolist())]
+    want = brute_force(rows, 10, 10)
+    assert searched(spark, rows, max_pivots=7, chunk=16, pack=5) == want
+    assert searched(spark, rows, chunk=2, pack=1) == want  # several salts in a cell
+    assert searched(spark, rows[:3], modulus=1) == brute_force(rows[:3], 10, 1)
+    assert searched(spark, [], modulus=1) == [] and searched(spark, [(1, None)], modulus=1) == []
+
+
+def test_top_k_keeps_every_valid_vector(spark):
+    rng = np.random.default_rng(1)
+    plane = [(i, v) for i, v in enumerate(rng.normal(0, 1, (200, 2)).round(3).tolist())]
+    for extra in ([(1000 + i, [float("nan"), 1.0]) for i in range(64)], [(1000, [1.0, 2.0, 3.0])], [(1000 + i, [0.5] * (3 + i)) for i in range(5)], [(200, [1e13, -1e13]), (207, [3e12, 1.0]), (300, [1e300, 1e300]), (301, [-1e307, 2.0])]):
+        rows = extra + plane
+        assert searched(spark, rows, modulus=100) == brute_force(rows, 10, 100), extra[0]
+    wide = [(i, rng.normal(0, 1, 1500).round(2).tolist()) for i in range(30)]
+    assert searched(spark, wide, kind="float") == brute_force([(i, np.array(v, np.float32).tolist()) for i, v in wide], 10, 10)
+
+
+def test_bounds_spare_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(0, 1, (40, 16))
+    rows = [(i, (centers[i % 40] + rng.normal(0, 0.05, 16)).round(3).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plan = knn_join.search(df, 10, "vec_id", "embedding", 50, 1024, 1024, 4096, 1024)
+    assert plan.cells > 20 and plan.share() < 0.5
+    assert sorted(tuple(r) for r in knn_join.top_k(df, query_modulus=50).collect()) == brute_force(rows, 10, 50)
 
 
 PAGES = {
