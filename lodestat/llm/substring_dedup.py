@@ -4,21 +4,30 @@ The corpus is its own reference, held as many small *reference blocks*. A block
 is named by an anchor, the smallest hash of a ``gram``-word sequence inside a
 window; since a window's words fix its anchor, equal windows always meet in the
 same block, and a document is factored only against blocks that can hold a
-factor of it. Consecutive windows with one anchor position form a segment.
+factor of it. Consecutive windows with one anchor position form a segment. A block
+indexes its distinct segments by hash, each with the first place where it stands.
 
 1. *Index*: segments whose anchor occurs once in the corpus match nothing and go.
-2. *Factors*: a segment that a block holds more than once is a factor of at
-   least ``window`` words; neighbouring ones run together greedily into one.
+2. *Matches*: a segment that a block holds more than once matches its first place
+   over all its windows.
 3. *Factor boundaries*: a segment that differs from the others of its block can
-   still share some windows with them. Only there is each window looked up by
-   itself, among the distinct segments of the block.
-
-Windows compare by 128-bit hashes of their words. All groups are counted, never
-collected, and counts are combined before each shuffle, so a passage that a
-third of all documents share costs one row for each map task.
+   still share some windows with them: the ends of factors that begin or end inside
+   it. Only there is each window looked up by itself, among the distinct segments
+   of the block.
+4. *Parse*: each document is factored greedily from left to right. A factor starts
+   at the first window not yet factored that matches the reference and grows for as
+   long as the next window matches at the next place of the same reference text;
+   then a new factor starts. Words in no factor are literals. A factor has
+   ``window`` words at least, and the union of the factors is what repeats.
+
+Only matches come to a document, never the texts that it matches, so a passage that
+a third of all documents share costs them one row each. All groups are counted,
+never collected, and counts are combined before each shuffle. Windows compare by
+128-bit hashes of their words.
 
 Results: null and empty texts have no words and keep nothing. Two rows equal in
-id and text are two documents. Ids may be null. Other columns are ignored.
+id and text are two documents. Ids may be null. Other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Staged, mix, shuffled, texts_of, window_hash, with_row_key
+from .common import Lexicon, Staged, fields, mix, shuffled, slices, texts_of, trimmed, window_hash, with_row_key
 
 #: Odd multipliers of the polynomial hashes; any odd 64-bit values serve.
 _GRAM, _ONE, _TWO, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
@@ -64,6 +73,7 @@ def _signed(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _index(window: int, gram: int):
+    @trimmed
     def run(batches):
         lexicon = Lexicon()
         for batch in batches:
@@ -90,6 +100,7 @@ def _index(window: int, gram: int):
 def _boundaries(window: int):
     """Each window of the segments that must be looked up window by window."""
 
+    @trimmed
     def run(batches):
         lexicon = Lexicon()
         for batch in batches:
@@ -106,59 +117,88 @@ def _boundaries(window: int):
     return run
 
 
+def parse(matches: list[dict]) -> list[list]:
+    """Greedy factors [first window, windows, reference text, first window there] from
+    the matches of a document: windows s .. s+n-1 stand at ``at.s`` of the text ``at``."""
+    factors: list[list] = []
+    for m in sorted(matches, key=lambda m: m["s"]):
+        at = m["at"]
+        text = (at["rk"], at["rh"])
+        if factors:
+            start, n, own, there = factors[-1]
+            if start + n == m["s"] and own == text and there + n == at["s"]:
+                factors[-1][1] += m["n"]
+                continue
+        factors.append([m["s"], m["n"], text, at["s"]])
+    return factors
+
+
+_FACTOR = "struct<start:int,stop:int,source_rk:bigint,source_rh:int,source_start:int>"
+
+
 def _cut(window: int):
-    """Drop the words that any repeated window covers."""
+    """Parse each document and drop the words of its factors."""
+    span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+    factor = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("source_rk", pa.int64()), ("source_rh", pa.int32()), ("source_start", pa.int32())])
 
+    @trimmed
     def run(batches):
         for batch in batches:
-            texts, factors = texts_of(batch.column("text")), batch.column("factors")
-            for lo in range(0, len(texts), 500):
-                n_words, n_removed, kept, spans = [], [], [], []
-                for text, own in zip(texts[lo : lo + 500], factors.slice(lo, 500).to_pylist(), strict=True):
+            for some in slices(batch, "text"):
+                n_words, n_removed, kept, spans, factors = [], [], [], [], []
+                for text, own in zip(texts_of(some.column("text")), some.column("matches").to_pylist(), strict=True):
                     words = text.split()
                     edge = np.zeros(len(words) + 1, np.int64)
-                    for f in own or []:
-                        edge[f["s"]] += 1
-                        edge[f["s"] + f["n"] + window - 1] -= 1
+                    found = parse(own or [])
+                    for s, n, _, _ in found:
+                        edge[s] += 1
+                        edge[s + n + window - 1] -= 1
                     gone = np.cumsum(edge[:-1]) > 0
                     turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                    factors.append([{"start": s, "stop": s + n + window - 1, "source_rk": rk, "source_rh": rh, "source_start": there} for s, n, (rk, rh), there in found])
                     spans.append([{"start": int(a), "stop": int(b)} for a, b in turn.reshape(-1, 2)])
                     n_words.append(len(words))
                     n_removed.append(int(gone.sum()))
                     kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if own else words))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, 500), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))],
-                    names=["id", "n_words", "n_removed", "kept", "spans"],
+                    [*(some.column(c) for c in ("id", "rk", "rh")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(span)), pa.array(factors, pa.list_(factor))],
+                    names=["id", "rk", "rh", "n_words", "n_removed", "kept", "spans", "factors"],
                 )
 
     return run
 
 
-def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8) -> DataFrame:
-    """``rk, rh, s, n``: the windows s .. s+n-1 of the text named (rk, rh) each
-    start somewhere else too."""
+def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8) -> DataFrame:
+    """``rk, rh, s, n, at``: the windows s .. s+n-1 of the text named (rk, rh) each
+    start somewhere else too; ``at`` (rk, rh, s) is where they start in the reference."""
     texts = with_row_key(df, id_col, text_col)
     place = "rk long, rh int, s int, n int"
     index = Staged(texts.select("text", "rk", "rh").mapInArrow(_index(window, gram), f"anchor long, one long, two long, {place}"), "rlz-index")
-    shared = Staged(index.df.groupBy("anchor").count().where("count > 1").select("anchor"), "rlz-anchors")  # a table of its own, so that a hot anchor's rows can be split in the join
+    # what is joined with corpus-sized rows is a table of its own, so that a hot anchor's rows can be split in the join
+    shared = Staged(index.df.groupBy("anchor").count().where("count > 1").select("anchor"), "rlz-anchors")
     blocks = Staged(index.df.join(shuffled(shared.df), "anchor"), "rlz-blocks")
     index.drop()
+    shared.drop()
 
-    segments = blocks.df.groupBy("anchor", "one", "two").agg(F.count("*").alias("c"), F.min(F.struct("rk", "rh", "s", "n")).alias("at"))
-    factors = blocks.df.join(shuffled(segments.where("c > 1").select("anchor", "one", "two")), ["anchor", "one", "two"]).select("rk", "rh", "s", "n")
-    mixed = segments.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("anchor")
-    asked = segments.join(shuffled(mixed), "anchor").groupBy("at.rk", "at.rh").agg(F.collect_list(F.struct("at.s", "at.n", (F.col("c") == 1).alias("alone"))).alias("parts"))
-    windows = Staged(texts.select("text", "rk", "rh").join(shuffled(asked), ["rk", "rh"]).select("text", "rk", "rh", "parts").mapInArrow(_boundaries(window), "one long, two long, rk long, rh int, s int, alone boolean"), "rlz-boundaries")
-    twice = windows.df.groupBy("one", "two").count().where("count > 1").select("one", "two")
-    edges = windows.df.where("alone").join(shuffled(twice), ["one", "two"]).select("rk", "rh", "s", F.lit(1).alias("n"))
-    return factors.unionByName(edges)
+    key = ["anchor", "one", "two"]
+    segments = Staged(blocks.df.groupBy(*key).agg(F.count("*").alias("c"), F.min(F.struct("rk", "rh", "s", "n")).alias("at")), "rlz-segments")
+    repeated = segments.df.where("c > 1").select(*key, F.struct("at.rk", "at.rh", "at.s").alias("at"))
+    whole = blocks.df.join(shuffled(repeated), key).select("rk", "rh", "s", "n", "at")
+    mixed = Staged(segments.df.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("anchor"), "rlz-mixed")
+    asked = segments.df.join(shuffled(mixed.df), "anchor").groupBy("at.rk", "at.rh").agg(F.collect_list(F.struct("at.s", "at.n", (F.col("c") == 1).alias("alone"))).alias("parts"))
+    once = texts.select("text", "rk", "rh").join(shuffled(asked), ["rk", "rh"]).dropDuplicates(["rk", "rh"]).select("text", "rk", "rh", "parts")
+    windows = Staged(once.mapInArrow(_boundaries(window), "one long, two long, rk long, rh int, s int, alone boolean"), "rlz-boundaries")
+    twice = windows.df.groupBy("one", "two").agg(F.count("*").alias("c"), F.min(F.struct("rk", "rh", "s")).alias("at")).where("c > 1").select("one", "two", "at")
+    edges = windows.df.where("alone").join(shuffled(Staged(twice, "rlz-windows").df), ["one", "two"]).select("rk", "rh", "s", F.lit(1).alias("n"), "at")
+    return whole.unionByName(edges)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8) -> DataFrame:
-    """``id, n_words, n_removed, kept, spans``: every text without the words of
-    windows that start anywhere else as well; spans are word ranges cut out."""
-    found = Staged(repeated_windows(df, id_col, text_col, window, gram).groupBy("rk", "rh").agg(F.collect_list(F.struct("s", "n")).alias("factors")), "rlz-factors")
+    """``id, rk, rh, n_words, n_removed, kept, spans, factors``: every text without the
+    words of windows that start anywhere else as well. spans are the word ranges cut
+    out; factors is the parse, word ranges with the reference text (rk, rh) and the
+    word there that they are copied from (the reference's own copy names itself)."""
+    found = matches(df, id_col, text_col, window, gram).groupBy("rk", "rh").agg(F.collect_set(F.struct("s", "n", "at")).alias("matches"))  # a set: rows equal in id and text have one parse
     texts = with_row_key(df, id_col, text_col)
-    kind = texts.schema["id"].dataType.simpleString()
-    joined = texts.join(shuffled(found.df), ["rk", "rh"], "left").select("id", "text", "factors")
-    return joined.mapInArrow(_cut(window), f"id {kind}, n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int>>")
+    joined = texts.join(shuffled(Staged(found, "rlz-matches").df), ["rk", "rh"], "left").select("id", "rk", "rh", "text", "matches")
+    return joined.mapInArrow(_cut(window), fields(texts, ["id", "rk", "rh"], f"n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int>>, factors array<{_FACTOR}>"))

@@ -55,8 +55,24 @@ def test_repeated_windows_are_cut(spark):
                 if at[tuple(w[s : s + window])] > 1:
                     gone |= set(range(s, s + window))
             want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
-        got = substring_dedup.remove_repeats(table(spark, data)).select("id", "n_words", "n_removed", "kept")
-        assert spark_rows(got) == want
+        got = substring_dedup.remove_repeats(table(spark, data)).collect()
+        assert Counter((r["id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
+        # the parse: factors cover the spans, and each is a copy of its source
+        text_of = {(r["rk"], r["rh"]): w for r in got for (i, t), w in zip(data, words, strict=True) if i == r["id"] and len(w) == r["n_words"]}
+        for r in got:
+            own, covered = text_of[r["rk"], r["rh"]], set()
+            for f in r["factors"]:
+                source = text_of[f["source_rk"], f["source_rh"]]
+                assert f["stop"] - f["start"] >= window and own[f["start"] : f["stop"]] == source[f["source_start"] :][: f["stop"] - f["start"]]
+                covered |= set(range(f["start"], f["stop"]))
+            assert len(covered) == r["n_removed"] == sum(s["stop"] - s["start"] for s in r["spans"])
+
+
+def test_parse_is_greedy():
+    match = lambda s, n, rk, there: {"s": s, "n": n, "at": {"rk": rk, "rh": 0, "s": there}}
+    found = [match(9, 1, 1, 54), match(0, 4, 1, 50), match(4, 5, 1, 54), match(20, 3, 1, 70), match(23, 2, 2, 73), match(25, 1, 2, 75), match(26, 1, 2, 99)]
+    assert substring_dedup.parse(found) == [[0, 9, (1, 0), 50], [9, 1, (1, 0), 54], [20, 3, (1, 0), 70], [23, 3, (2, 0), 73], [26, 1, (2, 0), 99]]
+    assert substring_dedup.parse([]) == []
 
 
 @pytest.mark.parametrize("run", [1, 2, 3, 5])
