@@ -9,22 +9,29 @@ element and its pages without have a wrapper each. Every text of a page stands a
 one place of its wrapper, its slot; a slot in a repeated group takes the texts of
 all repetitions, and slots of different tag paths never align.
 
-Texts inside navigation, page headers and footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are never main text. On a page with an
-article or main element, the remaining texts inside it are the main text, its own
-head included; on a page without, all remaining texts are, save those whose slot is
-template (a slot that all pages of the wrapper fill with the same text) or a link
-list. So are the texts inside an article under a class, id or role of a word that
-can name a section of it as well as something beside it.
+Every slot has a verdict in its wrapper, and a page's main text is the text of the
+slots that its wrapper keeps. Slots inside navigation, page headers and footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are never
+main text, nor, on a page with text in an article or main element, slots outside
+it. On a page without, and under a class, id or role of a word that can name a
+section of an article as well as something beside it, the wrapper's evidence decides
+the remaining slots: a slot goes if it is template (its block has the same text
+on all pages of the wrapper while they differ elsewhere) or a link list (its blocks hold no
+words but links, and more than one link a page). A link in a sentence belongs to
+the sentence. A form that holds the page's article, main heading or most of its text
+frames the page and counts as a plain block.
 
 Pages are folded and their slots counted where they are read; only distinct
-streams and slots (with counts) are shuffled, never pages, so a host with a third
-of all pages is no larger than its variety. What the wrappers drop is broadcast
-while it stays under ``broadcast_bytes``, else pages join it by host and stream.
+streams and slots (with counts) are shuffled, never pages. The streams of a host are
+aligned in groups of about ``group``, the groups' wrappers again, and so on, so that
+a host with a third of all pages is shared out, and no task aligns more than a
+group. What the wrappers keep is broadcast while it stays under ``broadcast_bytes``,
+else pages join it by host and stream.
 
 Null and empty pages have no text; a null url is a host of its own (empty name).
-Repeated rows are read alike; other columns are ignored; unclosed tags, comments
-and scripts end where HTML ends them or with the page.
+Repeated rows are read alike (they count as pages of the host, but equal pages alone
+show no template); other columns are ignored; unclosed tags, comments and scripts
+end where HTML ends them or with the page. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +39,6 @@ from __future__ import annotations
 import difflib
 import html
 import re
-from collections import defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
@@ -40,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, hash64, shuffled
+from .common import Staged, hash64, prepare, quoted, shuffled, slices, trimmed
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -49,6 +55,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")  # a slash that ends a value, not a tag
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 # Fixed values of HTML: elements without content, elements that start a block, and
@@ -73,6 +80,21 @@ HEAD_WORDS = {"header", "masthead"}
 DOUBTFUL_WORDS = set("alert discussion menu navigation notice notices promotion related search social".split())
 
 
+# Whole class names that make even an article or main element something beside the text.
+ASIDE_ARTICLES = set("ad ads advert advertisement comment comments promo related reply sidebar sponsored teaser widget".split())
+_FORM = re.compile(r"<form(?=[\s/>])(.*?)(?:</form\s*>|\Z)", re.S | re.I)
+_FRAME = re.compile(r"<(?:article|main|h1)(?=[\s/>])|\brole\s*=\s*[\"']?main\b", re.I)
+_HIDDEN = re.compile(r"<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[^>]*>|\s+", re.S | re.I)
+
+
+def _page_forms(page: str) -> set[int]:
+    """Where the forms start that frame the page instead of being a part of it."""
+    if "<form" not in page and "<FORM" not in page and not _FORM.search(page):
+        return set()
+    whole = len(_HIDDEN.sub("", page))
+    return {m.start() for m in _FORM.finditer(page) if _FRAME.search(m.group(1)) or 2 * len(_HIDDEN.sub("", m.group(1))) > whole}
+
+
 class Slot:
     __slots__ = ("aside", "doubt", "main", "name", "path")
 
@@ -82,31 +104,33 @@ class Slot:
 
 def read(page: str):
     """Tags and texts of a page in order: ("tag", token, breaks block) and
-    ("text", raw text, innermost element, inside a link)."""
+    ("text", raw text, innermost element, number of the link around it or 0)."""
+    frames = _page_forms(page)
     root = Slot("", "", False, False)
     stack = [root]
-    links = 0
+    links = n_links = 0
     for m in _TOKEN.finditer(page):
         raw, name = m.group(), m.group(4)
         if name is None:
             if raw[0] != "<" or raw == "<":
-                yield "text", raw, stack[-1], links > 0
+                yield "text", raw, stack[-1], n_links if links > 0 else 0
             continue
         name = name.lower().replace("(", ".").replace(")", ".")
         if m.group(3):
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
             if depth:
-                for gone in stack[depth:]:
-                    links -= gone.name == "a"
+                ended = stack[depth:]
                 del stack[depth:]
-                yield "tag", "/" + name, name in BLOCK
+                for gone in reversed(ended):  # what was left open inside ends too
+                    links -= gone.name == "a"
+                    yield "tag", "/" + gone.name, gone.name in BLOCK
             elif name in ("p", "br"):
                 yield "tag", "", name == "p"
             continue
         marks = [(k.lower(), v.strip("\"'").lower()) for k, v in _ATTRIBUTE.findall(m.group(5))] if "=" in m.group(5) else []
-        if name in VOID or m.group(5).endswith("/"):
+        if name in VOID or m.group(5).endswith("/") and not _UNQUOTED.search(m.group(5)):
             if name == "br":
-                yield "text", " ", stack[-1], False
+                yield "text", " ", stack[-1], 0
             elif name in BLOCK:
                 yield "tag", name, True
             continue
@@ -114,22 +138,28 @@ def read(page: str):
         if closed:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in closed:
-                    for gone in stack[i:]:
-                        links -= gone.name == "a"
+                    ended = stack[i:]
                     del stack[i:]
-                    yield "tag", "/" + name, True
+                    for gone in reversed(ended):
+                        links -= gone.name == "a"
+                        yield "tag", "/" + gone.name, gone.name in BLOCK
                     break
                 if stack[i].name in BLOCK and stack[i].name not in ("p",):
                     break
         above = stack[-1]
         words = {w for k, v in marks for w in re.split(r"[^a-z]+", v)}
-        inside = above.main or name in MAIN or any(k == "role" and v == "main" for k, v in marks)
-        words = words & ASIDE_WORDS if name not in ("html", "body") else set()
-        doubt = above.main and bool(words & DOUBTFUL_WORDS)
-        out = name in ASIDE and not (name == "header" and above.main) or bool(words - (HEAD_WORDS | DOUBTFUL_WORDS) if above.main else words)
+        own_main = name in MAIN or any(k == "role" and v == "main" for k, v in marks)
+        if own_main:  # an article about search or notices is still one; only a whole name tells
+            words = {w for k, v in marks if k == "class" for w in v.split()} & ASIDE_ARTICLES
+        else:
+            words = words & ASIDE_WORDS if name not in ("html", "body") else set()
+        doubt = above.main and not own_main and bool(words & DOUBTFUL_WORDS)
+        element = name in ASIDE and not (name == "header" and above.main) and not (name == "form" and m.start() in frames)
+        out = element or bool(words - (HEAD_WORDS | DOUBTFUL_WORDS) if above.main and not own_main else words)
         sign = name + "".join(("#" if k == "id" else ".") + re.sub(r"[\s()]+", ".", re.sub(r"\d+", "0", v)) for k, v in marks)
-        stack.append(Slot(name, f"{above.path}/{sign}", above.aside or out, inside, above.doubt or doubt))
-        links += name == "a"
+        stack.append(Slot(name, f"{above.path}/{sign}", above.aside or out, above.main or own_main, above.doubt or doubt))
+        if name == "a":
+            links, n_links = links + 1, n_links + 1
         yield "tag", sign, name in BLOCK
 
 
@@ -170,16 +200,16 @@ def align_places(wrapper: list[str], stream: list[str]) -> tuple[list[str], list
     elements of the wrapper so far and of the stream."""
     out: list[str] = []
     old, new = [0] * len(wrapper), [0] * len(stream)
-    plain = [_bare(t) for t in wrapper]
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, plain, stream, autojunk=False).get_opcodes():
+    plain, other = [_bare(t) for t in wrapper], [_bare(t) for t in stream]
+    for kind, a, b, c, d in difflib.SequenceMatcher(None, plain, other, autojunk=False).get_opcodes():
         old[a:b] = range(len(out), len(out) + b - a)
-        if kind == "equal":
+        if kind == "equal":  # optional if either is
             new[c:d] = old[a:b]
-            out += wrapper[a:b]
+            out += [x if x != t else y for x, y, t in zip(wrapper[a:b], stream[c:d], plain[a:b], strict=True)]
             continue
         new[c:d] = range(len(out) + b - a, len(out) + b - a + d - c)
         out += [f"({t})?" for t in plain[a:b]]
-        out += [f"({t})?" for t in stream[c:d]]
+        out += [f"({t})?" for t in other[c:d]]
     return out, old, new
 
 
@@ -191,9 +221,9 @@ def align(wrapper: list[str], stream: list[str]) -> list[str]:
 def _parse(page: str):
     """A page as tokens and events, and whether an article or main element has text.
     A text slot's token names its tag path. Events are None where a block ends, else
-    (place of the slot's token or -1 for blank text, text, element, inside a link)."""
+    (place of the slot's token or -1 for blank text, text, element, number of its link)."""
     tokens: list[str] = []
-    events: list[tuple[int, str, Slot, bool] | None] = []
+    events: list[tuple[int, str, Slot, int] | None] = []
     framed = False
     for kind, value, where, *link in read(page):
         if kind == "tag":
@@ -229,47 +259,60 @@ def _name(stream: str) -> str:
     return xxhash.xxh3_128_hexdigest(stream.encode())
 
 
-_OBSERVED = "host string, framed boolean, stream string, slot int, key string, n long, chars long, link_chars long, low long, high long"
+_SLOT = ["n", "plain", "links", "low", "high"]
+_OBSERVED = "host string, framed boolean, stream string, slot int, key string, kept boolean, asked boolean, n long, plain long, links long, low long, high long"
 
 
+def _slots(events: list, number: dict[int, int], framed: bool) -> dict[int, list]:
+    """What a page tells of each slot: kept, asked, blocks with words outside links,
+    links of blocks without, texts of its blocks (a sentence with a link in it is one)."""
+    seen: dict[int, list] = {}
+    block: list[tuple[int, str, Slot, int]] = []
+    for event in [*events, None]:
+        if event is not None:
+            block.append(event)
+            continue
+        plain = any(not link and any(map(str.isalnum, text)) for _, text, _, link in block)
+        whole = "".join(text for _, text, _, _ in block).strip()
+        for at, text, where, link in block:
+            if at >= 0:
+                own = seen.setdefault(number[at], [kept(where, framed), asked(where, framed), 0, set(), []])
+                own[2] += plain
+                if not plain and link:
+                    own[3].add(link)
+                own[4].append(whole)
+        block = []
+    return seen
+
+
+@trimmed
 def _observe(batches):
-    """Distinct folded streams (slot -1) and slots of the pages of a task, by host.
-    Slots that no wrapper is asked about, inside an aside or on a page with an
-    article, need no row."""
+    """Distinct folded streams (slot -1) and slots of the pages of a task, by host."""
     streams: dict[tuple, list] = {}
     slots: dict[tuple, list] = {}
 
     def rows():
-        keys = [(h, f, name, -1, key, n, 0, 0, 0, 0) for (h, f, name), (key, n) in streams.items()] + [(h, f, name, k, "", *v) for (h, f, name, k), v in slots.items()]
-        columns = list(zip(*keys, strict=True))
-        names = ["host", "framed", "stream", "slot", "key", "n", "chars", "link_chars", "low", "high"]
-        types = [pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        keys = [(h, f, name, -1, key, None, None, n, 0, 0, 0, 0) for (h, f, name), (key, n) in streams.items()] + [(h, f, name, k, "", *v) for (h, f, name, k), v in slots.items()]
+        types = [pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys, strict=True), types, strict=True)], names=["host", "framed", "stream", "slot", "key", "kept", "asked", *_SLOT])
 
     for batch in batches:
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            tokens, events, framed = _parse(page or "")
-            key, name, number = _stream(tokens)
-            streams.setdefault((host, framed, name), [key, 0])[1] += 1
-            seen: dict[int, list] = {}
-            for at, text, where, link in filter(None, events):
-                if at >= 0 and asked(where, framed):
-                    text = text.strip()
-                    own = seen.setdefault(number[at], [0, 0, []])
-                    own[0] += len(text)
-                    own[1] += len(text) if link else 0
-                    own[2].append(text)
-            for k, (chars, linked, found) in seen.items():
-                h = hash64("\n".join(found).encode()) >> 1
-                own = slots.setdefault((host, framed, name, k), [0, 0, 0, h, h])
-                own[0] += 1
-                own[1] += chars
-                own[2] += linked
-                own[3], own[4] = min(own[3], h), max(own[4], h)
-            if len(streams) + len(slots) > 20_000:
-                yield rows()
-                streams.clear()
-                slots.clear()
+        for some in slices(batch, "html"):
+            for host, page in zip(some.column("host").to_pylist(), some.column("html").to_pylist(), strict=True):
+                tokens, events, framed = _parse(page or "")
+                key, name, number = _stream(tokens)
+                streams.setdefault((host, framed, name), [key, 0])[1] += 1
+                for k, (is_kept, is_asked, plain, links, found) in _slots(events, number, framed).items():
+                    h = hash64("\n".join(found).encode()) >> 1
+                    own = slots.setdefault((host, framed, name, k), [is_kept, is_asked, 0, 0, 0, h, h])
+                    own[2] += 1
+                    own[3] += plain
+                    own[4] += len(links)
+                    own[5], own[6] = min(own[5], h), max(own[6], h)
+                if len(streams) + len(slots) > 50_000:
+                    yield rows()
+                    streams.clear()
+                    slots.clear()
     if streams or slots:
         yield rows()
 
@@ -284,49 +327,38 @@ def kept(where: Slot, framed: bool) -> bool:
     return not where.aside and (where.main or not framed)
 
 
-def _infer(min_pages: int):
-    """applyInArrow: a wrapper from the pages of a host with or without an article,
-    and the slots that it drops, by stream and number."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        streams = sorted((r for r in rows if r["slot"] < 0), key=lambda r: (-r["n"], r["key"]))
-        pages = sum(r["n"] for r in streams)
-        wrapper: list[str] = []
-        places: dict[str, list[int]] = {}  # of each stream's elements, as marks that outlast later alignments
-        marks: list[int] = []
-        fresh = 0
-        for r in streams:
-            stream = _units(r["key"]) if r["key"] else []
-            wrapper, old, new = align_places(wrapper, stream) if places else (stream, [], list(range(len(stream))))
-            now = [-1] * len(wrapper)
-            for at, mark in zip(old, marks, strict=True):
-                now[at] = mark
-            for at in new:
-                if now[at] < 0:
-                    now[at], fresh = fresh, fresh + 1
-            marks = now
-            own = places[r["stream"]] = []
-            for at, token in zip(new, stream, strict=True):
-                own += [(marks[at], j) for j in range(sum(t.lstrip("(")[:1] == "#" for t in token.split(" ")))]
-        sums: dict[tuple[int, int], list] = {}
-        for r in rows:
-            if r["slot"] >= 0:
-                own = sums.setdefault(places[r["stream"]][r["slot"]], [0, 0, 0, r["low"], r["high"]])
-                for i, c in enumerate(("n", "chars", "link_chars")):
-                    own[i] += r[c]
-                own[3], own[4] = min(own[3], r["low"]), max(own[4], r["high"])
-        gone = {place for place, (n, chars, linked, low, high) in sums.items() if (low == high and n == pages >= min_pages) or linked * 2 > chars}
-        drops: dict[str, list[int]] = defaultdict(list)
-        for r in rows:
-            if r["slot"] >= 0 and places[r["stream"]][r["slot"]] in gone:
-                drops[r["stream"]].append(r["slot"])
-        shown = re.sub(r"#[0-9a-f]{16}", "#", " ".join(wrapper))
-        listed = [{"stream": k, "slots": sorted(v)} for k, v in sorted(drops.items())]
-        kind = pa.list_(pa.struct([("stream", pa.string()), ("slots", pa.list_(pa.int32()))]))
-        return pa.table({"host": [rows[0]["host"]], "framed": [rows[0]["framed"]], "n_pages": pa.array([pages], pa.int64()), "wrapper": [shown], "drops": pa.array([listed], kind)})
-
-    return run
+def _align(table: pa.Table) -> pa.Table:
+    """applyInArrow: one wrapper over a group of streams or wrappers (``node``) of a
+    host, and for each of them the places of its elements in it."""
+    rows = sorted(table.select(["host", "framed", "node", "key", "n", "into"]).to_pylist(), key=lambda r: (-r["n"], r["node"]))
+    wrapper: list[str] = []
+    marks: list[int] = []  # of each element of the wrapper, a number that outlasts later alignments
+    own: list[list[int]] = []
+    for i, r in enumerate(rows):
+        stream = _units(r["key"]) if r["key"] else []
+        wrapper, old, new = align_places(wrapper, stream) if i else (stream, [], list(range(len(stream))))
+        now = [-1] * len(wrapper)
+        for at, mark in zip(old, marks, strict=True):
+            now[at] = mark
+        fresh = len(marks)
+        for at in new:
+            if now[at] < 0:
+                now[at], fresh = fresh, fresh + 1
+        marks = now
+        own.append([marks[at] for at in new])
+    place = {mark: at for at, mark in enumerate(marks)}
+    first = rows[0]
+    key, n = " ".join(wrapper), sum(r["n"] for r in rows)
+    return pa.table({
+        "host": [first["host"]] * len(rows), "framed": [first["framed"]] * len(rows), "child": [r["node"] for r in rows], "places": pa.array([[place[m] for m in x] for x in own], pa.list_(pa.int32())),
+        "node": [first["into"]] * len(rows), "key": [key, *[None] * (len(rows) - 1)], "n": pa.array([n] * len(rows), pa.int64()),
+    })
+
+
+def _slot_units(key: str) -> list[tuple[int, int]]:
+    """(element, number inside it) of each text slot of a folded stream."""
+    units = _units(key) if key else []
+    return [(u, j) for u, unit in enumerate(units) for j in range(sum(t.lstrip("(")[:1] == "#" for t in unit.split(" ")))]
 
 
 def _units(stream: str) -> list[str]:
@@ -343,46 +375,43 @@ def _units(stream: str) -> list[str]:
     return out
 
 
-def main_text(page: str, drops) -> str:
-    """Main text of a page, one line for each block; ``drops`` gives the slots that
-    the wrapper of a stream drops, by the stream's name."""
+def main_text(page: str, keeps) -> str:
+    """Main text of a page, one line for each block; ``keeps`` gives the slots that
+    the wrapper of a stream keeps, by the stream's name."""
     tokens, events, framed = _parse(page)
-    gone: set[int] = set()
-    if any(e and e[0] >= 0 and asked(e[2], framed) for e in events):
-        _, name, number = _stream(tokens)
-        own = drops(name)
-        gone = {at for at, k in number.items() if k in own} if own else gone
+    _, name, number = _stream(tokens)
+    kept_slots = set(keeps(name) or ())
+    held = {at for at, k in number.items() if k in kept_slots}
     blocks, now = [], []
     for event in events:
         if event is None:
             if now:
                 blocks.append("".join(now))
                 now = []
-        elif kept(event[2], framed) and event[0] not in gone:
+        elif event[0] in held or event[0] < 0 and kept(event[2], framed):
             now.append(event[1])
     blocks.append("".join(now))
     lines = (" ".join(html.unescape(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
 
+@trimmed
 def _named(batches):
-    """Pages with the name of their stream, null if no wrapper is asked about them."""
+    """Pages with the name of their stream."""
     for batch in batches:
-        names = []
-        for page in batch.column("html").to_pylist():
-            tokens, events, framed = _parse(page or "")
-            names.append(_stream(tokens)[1] if any(e and e[0] >= 0 and asked(e[2], framed) for e in events) else None)
-        yield batch.append_column("stream", pa.array(names, pa.string()))
+        for some in slices(batch, "html"):
+            names = [_stream(_parse(page or "")[0])[1] for page in some.column("html").to_pylist()]
+            yield some.append_column("stream", pa.array(names, pa.string()))
 
 
 def _extract(shared):
-    """shared: (host, stream) -> slots that go; or None, and each row brings its own."""
+    """shared: (host, stream) -> slots that stay; or None, and each row brings its own."""
 
+    @trimmed
     def run(batches):
         known: dict[tuple[str, str], list[int]] = shared.value if shared else {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, "html"):
                 if shared:
                     own = ((lambda name, h=h: known.get((h, name))) for h in part.column("host").to_pylist())
                 else:
@@ -394,24 +423,81 @@ def _extract(shared):
 
 
 def _host(url_col: str):
-    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-
-
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5) -> DataFrame:
-    """``host, framed, n_pages, wrapper, drops``: the wrapper of a host's pages with
-    or without text in an article, as a regular expression over tags and text slots
-    (#), and the slots (by stream and number) that it drops from the main text."""
-    src = pages.select(_host(f"`{url_col}`").alias("host"), F.col(f"`{html_col}`").alias("html"))
+    return F.lower(F.regexp_extract(F.coalesce(quoted(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def _wrap(observed: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """The wrapper of each host's pages with or without an article, by aligning groups of
+    streams, then groups of their wrappers, until one is left: ``host, framed, node,
+    key, n``; and the steps that lead there: ``host, framed, child, places, node``."""
+    at = ["host", "framed"]
+    nodes = Staged(observed.where("slot < 0").groupBy(*at, F.col("stream").alias("node"), "key").agg(F.sum("n").alias("n")), "wrapper-streams").df
+    steps = []
+    while True:
+        groups = Staged(nodes.groupBy(*at).agg(F.count("*").alias("nodes")).withColumn("groups", F.ceil(F.col("nodes") / group)), "wrapper-groups").df
+        into = F.concat(F.lit(f"{len(steps)}."), F.pmod(F.xxhash64("node", F.lit(len(steps))), "groups").cast("string"))
+        dealt = nodes.join(shuffled(groups), at).withColumn("into", into)
+        aligned = dealt.select(*at, "node", "key", "n", "into").groupBy(*at, "into").applyInArrow(_align, "host string, framed boolean, child string, places array<int>, node string, key string, n long")
+        step = Staged(aligned, "wrapper-step").df
+        steps.append(step.select(*at, "child", "places", "node"))
+        nodes = step.where("key is not null").select(*at, "node", "key", "n")
+        if (groups.agg(F.max("groups")).first()[0] or 1) <= 1:
+            return nodes, steps
+
+
+def _observed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    src = pages.select(_host(url_col).alias("host"), quoted(html_col).cast("string").alias("html"))
     found = src.mapInArrow(_observe, _OBSERVED)
-    sums = [F.sum(c).alias(c) for c in ("n", "chars", "link_chars")]
-    merged = found.groupBy("host", "framed", "stream", "slot", "key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
-    return merged.groupBy("host", "framed").applyInArrow(_infer(min_pages), "host string, framed boolean, n_pages long, wrapper string, drops array<struct<stream:string,slots:array<int>>>")
+    sums = [F.sum(c).alias(c) for c in ("n", "plain", "links")]
+    one = [F.first(c).alias(c) for c in ("kept", "asked")]  # a slot's path fixes both
+    return Staged(found.groupBy("host", "framed", "stream", "slot", "key").agg(*one, *sums, F.min("low").alias("low"), F.max("high").alias("high")), "wrapper-slots").df
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def _slot_places(batches):
+    """Element and number inside it of each slot of each stream."""
+    for batch in batches:
+        own = [_slot_units(key) for key in batch.column("key").to_pylist()]
+        at = pa.array([i for i, x in enumerate(own) for _ in x], pa.int64())
+        columns = [[k for x in own for k in range(len(x))], [u for x in own for u, _ in x], [j for x in own for _, j in x]]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("host", "framed", "stream")), *(pa.array(c, pa.int32()) for c in columns)], names=["host", "framed", "stream", "slot", "unit", "inner"])
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", group: int = 64) -> DataFrame:
+    """``host, framed, n_pages, wrapper``: the wrapper of a host's pages with or without
+    text in an article, as a regular expression over tags and text slots (#)."""
+    prepare(pages.sparkSession)
+    nodes, _ = _wrap(_observed(pages, url_col, html_col), group)
+    return nodes.select("host", "framed", F.col("n").alias("n_pages"), F.regexp_replace("key", "#[0-9a-f]{16}", "#").alias("wrapper"))
+
+
+def kept_slots(pages: DataFrame, url_col: str = "url", html_col: str = "html", group: int = 64) -> DataFrame:
+    """``host, stream, slots``: the text slots of each stream that its wrapper keeps."""
+    prepare(pages.sparkSession)
+    at = ["host", "framed"]
+    observed = _observed(pages, url_col, html_col)
+    nodes, steps = _wrap(observed, group)
+    streams = observed.where("slot < 0").select(*at, "stream", "key")
+    placed = streams.mapInArrow(_slot_places, "host string, framed boolean, stream string, slot int, unit int, inner int").withColumn("node", F.col("stream"))
+    for step in steps:  # each slot's element in the wrapper that took its stream, then in the next
+        up = step.select(*at, F.col("child").alias("node"), "places", F.col("node").alias("next"))
+        placed = placed.join(shuffled(up), [*at, "node"]).select(*at, "stream", "slot", F.element_at("places", F.col("unit") + 1).alias("unit"), "inner", F.col("next").alias("node"))
+    slots = observed.where("slot >= 0").drop("key").join(shuffled(placed.drop("node")), [*at, "stream", "slot"])
+    slots = Staged(slots, "wrapper-placed").df
+    by_place = slots.groupBy(*at, "unit", "inner").agg(*(F.sum(c).alias(c) for c in ("n", "plain", "links")), F.min("low").alias("low"), F.max("high").alias("high"))
+    by_place = Staged(by_place, "wrapper-places").df  # a table of its own, so that a hot host's slots can be split in the join
+    told = by_place.groupBy(*at).agg(F.max(F.col("low") != F.col("high")).alias("differ"))
+    judged = by_place.join(shuffled(nodes.select(*at, F.col("n").alias("pages"))), at).join(shuffled(told), at)
+    template = (F.col("low") == F.col("high")) & (F.col("n") == F.col("pages")) & F.col("differ") & (F.col("pages") > 1)
+    links = (F.col("plain") == 0) & (F.col("links") > F.col("n"))
+    gone = Staged(judged.where(template | links).select(*at, "unit", "inner", F.lit(True).alias("gone")), "wrapper-gone").df
+    verdict = slots.where("kept").join(shuffled(gone), [*at, "unit", "inner"], "left").where("not asked or gone is null")
+    return verdict.groupBy("host", "stream").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = 64, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """``id, url, text, n_chars`` of every page."""
-    found = Staged(wrappers(pages, url_col, html_col, min_pages), "wrappers").df.selectExpr("host", "inline(drops)")
-    src = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), _host(f"`{url_col}`").alias("host"), F.col(f"`{html_col}`").alias("html"))
+    found = Staged(kept_slots(pages, url_col, html_col, group), "wrappers").df
+    src = pages.select(quoted(id_col).alias("id"), quoted(url_col).alias("url"), _host(url_col).alias("host"), quoted(html_col).cast("string").alias("html"))
     kind = src.schema["id"].dataType.simpleString()
     out = f"id {kind}, url string, text string, n_chars long"
     size = found.agg(F.sum(F.length("host") + 32 + 4 * F.size("slots"))).first()[0] or 0
