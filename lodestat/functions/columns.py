@@ -180,3 +180,20 @@ def key_to_file(key: Column) -> Column:
 
 def is_image_path(path: Column) -> Column:
     return path.rlike(r"(?i)\.(jpg|jpeg|png|webp|bmp|tif|tiff)$") & ~path.rlike(r"(^|/)\._[^/]*$")
+
+
+def metadata_features(width: Column, height: Column, size: Column, form: Column) -> Column:
+    """What a file tells without its pixels: sides, pixels (1 at least), aspect, bytes,
+    bytes for each pixel, and flags of its format. Missing sides count as 0."""
+    w, h, n = (F.coalesce(c.cast("double"), F.lit(0.0)) for c in (width, height, size))
+    pixels = F.greatest(w * h, F.lit(1.0))
+    name = F.lower(F.coalesce(form, F.lit("")))
+    return F.struct(
+        w.alias("width"), h.alias("height"), pixels.alias("total_pixels"), (w / F.greatest(h, F.lit(1.0))).alias("aspect"), n.alias("file_size"), (n / pixels).alias("bytes_per_pixel"),
+        name.isin("jpg", "jpeg").cast("int").alias("is_jpeg"), (name == "png").cast("int").alias("is_png"), (name == "webp").cast("int").alias("is_webp"),
+    )
+
+
+def shown(name: Column, width: int = 34) -> Column:
+    """A name cut to the width of a report's column."""
+    return F.substring(name, 1, width)

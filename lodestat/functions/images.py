@@ -90,13 +90,13 @@ def _png(raw: bytes) -> np.ndarray:
         mode, row = lines[y, 0], lines[y, 1:].astype(np.int64)
         if mode == 2:
             row = (row + above) & 255
+        elif mode == 1:
+            row = np.cumsum(row.reshape(w, n), axis=0).reshape(-1) & 255
         elif mode:
             for x in range(w * n):
                 left = row[x - n] if x >= n else 0
                 up, corner = above[x], above[x - n] if x >= n else 0
-                if mode == 1:
-                    guess = left
-                elif mode == 3:
+                if mode == 3:
                     guess = (left + up) // 2
                 else:
                     p = left + up - corner
@@ -231,15 +231,23 @@ class View:
     apply: Callable[[np.ndarray], np.ndarray]
 
 
+# Strengths of the robustness grid's views, which their names carry, and
+# the ranges that training draws from.
+JPEG_QUALITY, BLUR_SIGMA, RESIZE_SCALE, NOISE_SIGMA = (90, 70, 50, 30), (0.5, 1.0, 2.0), (0.5, 0.25), (0.02, 0.05, 0.1)
+COLOR_FACTOR, CROP_FRACTION = {"color_down": 0.8, "color_up": 1.2}, 0.8
+TRAIN_RANGES = {"jpeg": (25, 96), "blur": (0.3, 2.2), "resize": (0.22, 0.85), "noise": (0.01, 0.11), "color": (0.75, 1.25), "crop": (0.75, 0.95)}
+TRAIN_SEVERITY = (0.15, 0.35, 0.30, 0.20)
+
+
 def eval_grid(noise_seed: int = 0) -> list[View]:
     """The 16 views of the robustness grid."""
     grid = [View("clean", "clean", lambda x: x.copy())]
-    grid += [View(f"jpeg_q{q}", "jpeg", lambda x, q=q: jpeg(x, q)) for q in (90, 70, 50, 30)]
-    grid += [View(f"blur_s{s}", "blur", lambda x, s=s: gaussian_blur(x, s)) for s in (0.5, 1.0, 2.0)]
-    grid += [View(f"resize_{s}x", "resize", lambda x, s=s: downscale_upscale(x, s)) for s in (0.5, 0.25)]
-    grid += [View(f"noise_s{s}", "noise", lambda x, s=s, i=i: gaussian_noise(x, s, np.random.default_rng(noise_seed + i))) for i, s in enumerate((0.02, 0.05, 0.1))]
-    grid += [View("color_down", "color", lambda x: color_jitter(x, 0.8, 0.8, 0.8)), View("color_up", "color", lambda x: color_jitter(x, 1.2, 1.2, 1.2))]
-    return [*grid, View("crop_80", "crop", lambda x: center_crop(x, 0.8))]
+    grid += [View(f"jpeg_q{q}", "jpeg", lambda x, q=q: jpeg(x, q)) for q in JPEG_QUALITY]
+    grid += [View(f"blur_s{s}", "blur", lambda x, s=s: gaussian_blur(x, s)) for s in BLUR_SIGMA]
+    grid += [View(f"resize_{s}x", "resize", lambda x, s=s: downscale_upscale(x, s)) for s in RESIZE_SCALE]
+    grid += [View(f"noise_s{s}", "noise", lambda x, s=s, i=i: gaussian_noise(x, s, np.random.default_rng(noise_seed + i))) for i, s in enumerate(NOISE_SIGMA)]
+    grid += [View(name, "color", lambda x, f=f: color_jitter(x, f, f, f)) for name, f in COLOR_FACTOR.items()]
+    return [*grid, View(f"crop_{round(100 * CROP_FRACTION)}", "crop", lambda x: center_crop(x, CROP_FRACTION))]
 
 
 def eval_grid_combinations(noise_seed: int = 0) -> list[View]:
@@ -250,12 +258,12 @@ def eval_grid_combinations(noise_seed: int = 0) -> list[View]:
     ]
 
 
-def train_augment(image: np.ndarray, seed: int, severity: tuple[float, ...] = (0.15, 0.35, 0.30, 0.20)) -> np.ndarray:
+def train_augment(image: np.ndarray, seed: int, severity: tuple[float, ...] = TRAIN_SEVERITY) -> np.ndarray:
     """k different degradations, k drawn by the severity weights, of drawn strength."""
     rng = np.random.default_rng(seed)
     kinds = {
-        "jpeg": lambda x: jpeg(x, int(rng.integers(25, 96))), "blur": lambda x: gaussian_blur(x, rng.uniform(0.3, 2.2)), "resize": lambda x: downscale_upscale(x, rng.uniform(0.22, 0.85)),
-        "noise": lambda x: gaussian_noise(x, rng.uniform(0.01, 0.11), rng), "color": lambda x: color_jitter(x, *rng.uniform(0.75, 1.25, 3)), "crop": lambda x: center_crop(x, rng.uniform(0.75, 0.95)),
+        "jpeg": lambda x: jpeg(x, int(rng.integers(*TRAIN_RANGES["jpeg"]))), "blur": lambda x: gaussian_blur(x, rng.uniform(*TRAIN_RANGES["blur"])), "resize": lambda x: downscale_upscale(x, rng.uniform(*TRAIN_RANGES["resize"])),
+        "noise": lambda x: gaussian_noise(x, rng.uniform(*TRAIN_RANGES["noise"]), rng), "color": lambda x: color_jitter(x, *rng.uniform(*TRAIN_RANGES["color"], 3)), "crop": lambda x: center_crop(x, rng.uniform(*TRAIN_RANGES["crop"])),
     }
     for name in rng.choice(list(kinds), size=int(rng.choice(len(severity), p=severity)), replace=False):
         image = kinds[name](image)
@@ -298,17 +306,33 @@ def multi_crop_views(image: np.ndarray, size: int, n_crops: int = 4, include_res
     return views + [resized_view(image, size)] * include_resized
 
 
+def train_views(image: np.ndarray, n_views: int, crop_size: int, seed: int = 0) -> list[np.ndarray]:
+    """A clean centre crop and n_views - 1 views degraded first, cropped at random then."""
+    rng = np.random.default_rng(seed)
+    views = [native_crop(image, crop_size)]
+    return views + [native_crop(train_augment(image, seed + 1 + i), crop_size, "random", rng) for i in range(n_views - 1)]
+
+
+def eval_views(image: np.ndarray, crop_size: int, views: list[View]) -> dict[str, np.ndarray]:
+    """The centre crop of each degraded view, by name."""
+    return {v.name: native_crop(v.apply(image), crop_size) for v in views}
+
+
 # ---- forensic filters
 
 
+# Three kernels of the steganalysis rich model.
+SRM = (
+    [[0, 0, 0, 0, 0], [0, -1, 2, -1, 0], [0, 2, -4, 2, 0], [0, -1, 2, -1, 0], [0, 0, 0, 0, 0]],
+    [[-1, 2, -2, 2, -1], [2, -6, 8, -6, 2], [-2, 8, -12, 8, -2], [2, -6, 8, -6, 2], [-1, 2, -2, 2, -1]],
+    [[0, 0, 0, 0, 0], [0, 0, 0, 0, 0], [0, 1, -2, 1, 0], [0, 0, 0, 0, 0], [0, 0, 0, 0, 0]],
+)
+SRM_SCALE = (4, 12, 2)
+
+
 def srm_filters() -> np.ndarray:
     """Three 5 x 5 high-pass kernels of the steganalysis rich model."""
-    second = np.zeros((5, 5))
-    second[2, 1:4] = (1, -2, 1)
-    square = np.zeros((5, 5))
-    square[1:4, 1:4] = ((-1, 2, -1), (2, -4, 2), (-1, 2, -1))
-    edge = np.array([[-1, 2, -2, 2, -1], [2, -6, 8, -6, 2], [-2, 8, -12, 8, -2], [2, -6, 8, -6, 2], [-1, 2, -2, 2, -1]], float)
-    return np.stack([square / 4, edge / 12, second / 2])
+    return np.array(SRM, float) / np.array(SRM_SCALE, float)[:, None, None]
 
 
 def fft_spectrum(image: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,8 +103,7 @@ def bias_audit(df: DataFrame, features: list[str], y: str = "label", train: str
     its severity, and the importance of each feature."""
     rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
     fit = RandomForestClassifier(featuresCol="features", labelCol=y, numTrees=100, maxDepth=6, seed=seed).fit(rows.where(train))
-    second = F.udf(lambda v: float(v[1]), "double")
-    auroc = compute_metrics(fit.transform(rows.where(f"not {train}")).select(y, second("probability").alias("score")), (), y, "score")
+    auroc = compute_metrics(fit.transform(rows.where(f"not {train}")).select(y, vector_to_array("probability")[1].alias("score")), (), y, "score")
     level = F.when(F.col("auroc") > 0.85, "severe").when(F.col("auroc") > 0.7, "moderate").otherwise("low")
     weights = F.create_map(*[F.lit(x) for n, v in zip(features, fit.featureImportances.toArray(), strict=True) for x in (n, float(v))])
     return auroc.select("auroc", level.alias("severity"), weights.alias("importances"))
@@ -123,6 +122,18 @@ def budget(entries: DataFrame, limit: int = 2_000_000_000) -> DataFrame:
     return out.select("total", "trainable", (F.col("total") - F.col("trainable")).alias("frozen"), (F.lit(limit) - F.col("total")).alias("headroom"), (F.col("total") / F.lit(limit)).alias("utilization"), (F.col("total") < limit).alias("within_limit"))
 
 
+def warm_up(step: int, steps: int) -> float:
+    """Weight of a consistency loss at a step: grows evenly to 1 over the first steps."""
+    return 1.0 if steps <= 0 else min(max(step / steps, 0.0), 1.0)
+
+
+def cosine_consistency(df: DataFrame, u: str, v: str) -> DataFrame:
+    """Mean cosine distance of two views' feature vectors."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    norm = F.greatest(F.sqrt(dot(u, u) * dot(v, v)), F.lit(1e-8))
+    return df.agg(F.avg(1 - dot(u, v) / norm).alias("cosine"))
+
+
 def consistency(df: DataFrame, p: str, q: str, y: str) -> DataFrame:
     """Mean binary cross-entropy of p and symmetric KL divergence of two views."""
     a, b = (F.greatest(F.least(F.col(c), F.lit(1 - 1e-7)), F.lit(1e-7)) for c in (p, q))

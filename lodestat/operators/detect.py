@@ -69,13 +69,54 @@ class ProbeDetector(Detector):
         return out
 
 
+class MeanDetector(Detector):
+    """Mean brightness: a detector without weights, for tests and as a floor."""
+
+    name = "mean"
+
+    def predict_batch(self, images: list[np.ndarray]) -> list[float]:
+        return [float(x.mean() / 255) for x in images]
+
+
 def build_detector(spec: str, **settings) -> Detector:
-    kinds = {"constant": ConstantDetector, "probe": ProbeDetector}
+    kinds = {"constant": ConstantDetector, "probe": ProbeDetector, "mean": MeanDetector}
     if spec not in kinds:
         raise ValueError(f"no detector {spec}; there are {sorted(kinds)}")
     return kinds[spec](**settings)
 
 
+def predict_files(files: DataFrame, detector: Detector, include_failures: bool = False, degrade_by: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """image_path and pred of image files (path, content), each decoded once, degraded
+    first if asked, in order of path. Files that can't be read are left out, or rows with
+    a null pred."""
+    own = detector if degrade_by is None else _Degraded(detector, degrade_by)
+    rows = own.predict(files.select(F.col("path").alias("image_path"), "content"))
+    if "error" not in rows.columns:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    return (rows if include_failures else rows.where("pred is not null")).select("image_path", "pred", "error").orderBy("image_path")
+
+
+class _Degraded(Detector):
+    def __init__(self, detector: Detector, change: Callable[[np.ndarray], np.ndarray]):
+        self.detector, self.change, self.name = detector, change, f"degraded {detector.name}"
+
+    def predict_batch(self, images: list[np.ndarray]) -> list[float]:
+        return self.detector.predict_batch([self.change(x) for x in images])
+
+
+def drawn(vectors: DataFrame, broken=None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """path, content: each vector as a PNG of one row of grey pixels, cut short where ``broken``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grey = [np.floor(np.abs(np.asarray(v, float)) * 255).clip(0, 255).astype(np.uint8) for v in batch["v"]]
+            raw = [I.encode_png(np.repeat(g[None, :, None], 3, axis=2)) for g in grey]
+            yield pd.DataFrame({"path": batch["path"], "content": [x[:20] if b else x for x, b in zip(raw, batch["b"], strict=True)]})
+
+    rows = vectors.select(F.concat(F.lit("/images/"), F.col(key).cast("string"), F.lit(".png")).alias("path"), F.col(vector).alias("v"), (F.lit(False) if broken is None else broken).alias("b"))
+    return rows.mapInPandas(run, "path string, content binary")
+
+
 def with_views(df: DataFrame) -> DataFrame:
     """Each row once for each view of the grid (16, a fixed list)."""
     return df.select("*", F.inline(F.array(*(F.struct(F.lit(v.name).alias("view"), F.lit(v.family).alias("family")) for v in I.eval_grid()))))

@@ -93,12 +93,6 @@ def flat(metrics: DataFrame) -> DataFrame:
     return out.withColumn("threshold_gap", F.col("best_balanced_accuracy") - F.col("balanced_accuracy")).drop("tpr_at_fpr")
 
 
-def min_max(values: Column, keys: Sequence[str] = ()) -> Column:
-    w = Window.partitionBy(*keys, F.lit(0))
-    low, high = F.min(values).over(w), F.max(values).over(w)
-    return F.coalesce(F.try_divide(values - low, high - low), F.lit(0.5))
-
-
 def feature_canary(df: DataFrame, value: Column, keys: Sequence[str] = (), label: str = "label") -> DataFrame:
     """Metrics of a raw feature used as the score, scaled to [0, 1] (0.5 if constant)."""
     v = value.cast("double")

@@ -22,14 +22,34 @@ def _kept(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in names))
 
 
+def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], band: Column, name: str = "_r") -> DataFrame:
+    """Add the place (from 1) of each row in its group. ``band`` cuts a group into parts
+    that follow the order; ranks are taken inside parts, on top of the counts of the
+    parts before, so a group that holds half of all rows is no single task."""
+    rows = df.withColumn("_band", band)
+    counts = rows.groupBy(*groups, "_band").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*groups).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1))
+    keys = [*groups, "_band"]
+    offsets = counts.select(*(F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.join(offsets, same).withColumn(name, F.col("_before") + inside).drop("_band", "_before", *(f"_o{i}" for i in range(len(keys))))
+
+
+def hash_band(h: Column) -> Column:
+    """The band of a hash in hex: 256 parts of about the same size."""
+    return F.substring(h, 1, 2)
+
+
 def matched_pool(df: DataFrame, buckets: Sequence[str], order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """In each bucket, the first n rows of both classes, n the smaller class's count.
-    Null buckets and labels are left out. Counts are combined before the shuffle
-    and the rank needs one window over (bucket, class)."""
+    Null buckets and labels are left out. Counts are combined before the shuffle,
+    and ranks are taken in bands of the first order column (shards)."""
     named = df.where(F.col("label").isin(0, 1)).dropna(subset=list(buckets))
     count = named.groupBy(*buckets).agg(F.least(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).alias("_n")).where("_n > 0")
-    rank = F.row_number().over(Window.partitionBy(*buckets, "label").orderBy(*order))
-    return _kept(named.join(count, list(buckets)).withColumn("_r", rank).where("_r <= _n"), df.columns)
+    return _kept(ranked(named.join(count, list(buckets)), [*buckets, "label"], order, F.col(order[0])).where("_r <= _n"), df.columns)
 
 
 def min_side_matched_pool(df: DataFrame, min_crop_size: int = 256, order: Sequence[str] = ROW_ORDER) -> DataFrame:
@@ -49,8 +69,8 @@ def resolution_matched_pool(df: DataFrame, order: Sequence[str] = ROW_ORDER) ->
 def round_robin(df: DataFrame, group: str, n: int, seed: int, key: str) -> DataFrame:
     """n rows taken in turns from the groups, in shuffled order; rows without a group last."""
     h = C.shuffled(seed, F.col(key))
-    turn = F.when(F.col(group).isNotNull(), F.row_number().over(Window.partitionBy(group).orderBy(h, key)))
-    return _kept(df.withColumn("_t", turn).orderBy(F.col("_t").asc_nulls_last(), h, F.col(key)).limit(n), df.columns)
+    turns = ranked(df, [group], [h, key], hash_band(h), "_t").withColumn("_t", F.when(F.col(group).isNotNull(), F.col("_t")))
+    return _kept(turns.orderBy(F.col("_t").asc_nulls_last(), h, F.col(key)).limit(n), df.columns)
 
 
 def balance_classes(df: DataFrame, n_per_class: int, seed: int, key: str, generator: str = "model_name") -> DataFrame:
@@ -71,10 +91,11 @@ def stratified_balance(df: DataFrame, n_per_class: int, seed: int, key: str, str
     budget = min(n_per_class, total)
     share = cap.withColumn("_share", F.least(F.bround(F.lit(float(budget)) * F.col("_cap") / F.lit(max(total, 1)), 0).cast("long"), F.col("_cap")))
     h = C.shuffled(seed, F.col(key))
-    turn = F.when(F.col("label") == 0, F.lit(0)).when(F.col(generator).isNotNull(), F.row_number().over(Window.partitionBy(stratum, "label", generator).orderBy(h, key)))
-    ranked = named.join(share, stratum).withColumn("_t", turn)
-    rank = F.row_number().over(Window.partitionBy(stratum, "label").orderBy(F.col("_t").asc_nulls_last(), h, F.col(key)))
-    return _kept(ranked.withColumn("_r", rank).where("_r <= _share"), df.columns)
+    turns = ranked(named.join(share, stratum), [stratum, "label", generator], [h, key], hash_band(h), "_t")
+    turns = turns.withColumn("_t", F.when(F.col("label") == 0, F.lit(0)).when(F.col(generator).isNotNull(), F.col("_t")))
+    late = F.when(F.col("_t").isNull(), F.lit(1)).otherwise(0)
+    band = F.struct(late, F.floor(F.col("_t") / 256), F.when(late.eqNullSafe(1) | (F.col("label") == 0), hash_band(h)))
+    return _kept(ranked(turns, [stratum, "label"], [F.col("_t").asc_nulls_last(), h, F.col(key)], band).where("_r <= _share"), df.columns)
 
 
 def greedy_coverage(df: DataFrame, n_shards: int, generator: str = "model_name") -> list[str]:
@@ -141,16 +162,29 @@ def split_gate(df: DataFrame, limit: float = 0.6) -> None:
 
 def permutation_split(df: DataFrame, fraction: float, seed: int, key: str) -> DataFrame:
     """Add ``fit``: round(fraction * rows) rows at random, all of them for 1.0."""
-    n = round(fraction * df.count())
-    cut = df.select(C.shuffled(seed, F.col(key)).alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0] if n else None
+    hashes = df.select(C.shuffled(seed, F.col(key)).alias("h"))
+    bands = sorted((r["b"] or "", r["count"]) for r in hashes.groupBy(F.substring("h", 1, 4).alias("b")).count().collect())  # 65,536 at most
+    n, cut = round(fraction * sum(c for _, c in bands)), None
+    before = 0
+    for b, c in bands:
+        if before < n <= before + c:  # only this band is sorted
+            cut = hashes.where(F.substring("h", 1, 4) == b).orderBy("h").limit(n - before).agg(F.max("h")).first()[0]
+        before += c
     return df.withColumn("fit", C.shuffled(seed, F.col(key)) <= F.lit(cut) if cut is not None else F.lit(False))
 
 
+def bernoulli_split(df: DataFrame, key: str, share: float = 0.1, seed: int = 0) -> DataFrame:
+    """Add ``split``: val for about a ``share`` of the rows, by the hash of their key."""
+    own = F.concat(F.lit(f"{seed}:split:"), F.col(key).cast("string"))
+    return df.withColumn("split", F.when(F.coalesce(C.hash_below(own, share), F.lit(False)), "val").otherwise("train"))
+
+
 def stratified_split(df: DataFrame, fraction: float, seed: int, key: str, label: str = "label") -> DataFrame:
     """Add ``fit``: the same share of each class."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(C.shuffled(seed, F.col(key)), key))
-    return df.withColumn("_n", F.count("*").over(w)).withColumn("fit", rank <= F.bround(F.col("_n") * F.lit(fraction), 0)).drop("_n")
+    h = C.shuffled(seed, F.col(key))
+    counts = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    rows = ranked(df, [label], [h, key], hash_band(h)).join(counts, F.col(label).eqNullSafe(F.col("_l")))
+    return rows.withColumn("fit", F.col("_r") <= F.bround(F.col("_n") * F.lit(fraction), 0)).drop("_n", "_r", "_l")
 
 
 def cap_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
@@ -159,8 +193,7 @@ def cap_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 def class_cap(df: DataFrame, n: int, order: Sequence[str], label: str = "label") -> DataFrame:
     """The first n // 2 rows of each class."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    return _kept(df.withColumn("_r", rank).where(F.col("_r") <= n // 2), df.columns)
+    return _kept(ranked(df, [label], order, F.col(order[0])).where(F.col("_r") <= n // 2), df.columns)
 
 
 def generator_cap(df: DataFrame, max_per_generator: int, max_generators: int, max_total: int, order: Sequence[str], generator: str = "model_name") -> DataFrame:
@@ -168,8 +201,8 @@ def generator_cap(df: DataFrame, max_per_generator: int, max_generators: int, ma
     generators, half of max_total rows of both classes at most."""
     place = F.struct(*order)
     first = df.where("label = 1").groupBy(generator).agg(F.min(place).alias("_first")).where(F.col(generator).isNotNull()).orderBy("_first").limit(max_generators).select(generator)
-    own = F.row_number().over(Window.partitionBy(generator).orderBy(*order))
-    fake = df.where("label = 1").join(first, generator, "left_semi").withColumn("_r", own).where(F.col("_r") <= max_per_generator // 2).orderBy(*order).limit(max_total // 2)
+    own = ranked(df.where("label = 1").join(first, generator, "left_semi"), [generator], order, F.col(order[0]))
+    fake = own.where(F.col("_r") <= max_per_generator // 2).orderBy(*order).limit(max_total // 2)
     real = df.where("label = 0").orderBy(*order).limit(max_total // 2)
     return _kept(fake, df.columns).unionByName(_kept(real, df.columns))
 
@@ -177,8 +210,7 @@ def generator_cap(df: DataFrame, max_per_generator: int, max_generators: int, ma
 def limit_per_class(df: DataFrame, n: int, order: Sequence[str], label: str = "label") -> DataFrame:
     """n rows at most: the first max(1, n // classes) of each class, in order."""
     classes = df.select(label).distinct().count()
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    return _kept(df.withColumn("_r", rank).where(F.col("_r") <= max(1, n // max(classes, 1))).orderBy(*order).limit(n), df.columns)
+    return _kept(ranked(df, [label], order, F.col(order[0])).where(F.col("_r") <= max(1, n // max(classes, 1))).orderBy(*order).limit(n), df.columns)
 
 
 def systematic_sample(df: DataFrame, n: int, order: str) -> DataFrame:
@@ -187,8 +219,10 @@ def systematic_sample(df: DataFrame, n: int, order: str) -> DataFrame:
     total = df.count()
     if total <= n:
         return df
-    wanted = sorted({i * (total - 1) // (n - 1) for i in range(n)}) if n > 1 else [0]
-    return _kept(with_rank(df, order).where(F.col("_rank").isin(wanted)), df.columns)
+    if n == 1:
+        return _kept(with_rank(df, order).where("_rank = 0"), df.columns)
+    steps, span = n - 1, total - 1  # rank r is chosen if r = i * span div steps for a whole i
+    return _kept(with_rank(df, order).where(f"((_rank * {steps}L + {span - 1}L) div {span}L) * {span}L div {steps}L = _rank"), df.columns)
 
 
 def with_rank(df: DataFrame, order: str, bands: int = 64) -> DataFrame:

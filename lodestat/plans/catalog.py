@@ -76,9 +76,11 @@ IDS = "doc_id"
 # ---- sources and row identity
 
 
-@query("s3_shard_row_identity", "SELECT doc_id, shard, row_in_shard, concat(shard, '#', row_in_shard) AS row_key FROM m")
-def _(m):
-    return m.select("doc_id", "shard", "row_in_shard", F.concat_ws("#", "shard", "row_in_shard").alias("row_key"))
+@query("s3_shard_row_identity", "SELECT doc_id, 'documents.parquet' AS shard, row_in_shard, concat('documents.parquet#', row_in_shard) AS row_key FROM (SELECT doc_id, row_number() OVER () - 1 AS row_in_shard FROM documents)", "")
+def _(spark, sf):
+    rows = M.scan_shards(spark, f"{sf}/documents.parquet", ["doc_id"])
+    shard = F.when(F.col("shard") == "", "documents.parquet").otherwise(F.substring_index("shard", "/", -1))
+    return rows.select("doc_id", shard.alias("shard"), "row_in_shard", F.concat_ws("#", shard, "row_in_shard").alias("row_key"))
 
 
 @query("s2_available_columns", "SELECT model_name, format, label FROM m")
@@ -92,10 +94,13 @@ def _(spark, sf):
     return rows.agg(F.lit("documents.parquet").alias("shard"), F.count("*").alias("n"), F.min("row_in_shard").alias("low"), F.max("row_in_shard").alias("high"))
 
 
-@query("s11_selected_rows", "SELECT doc_id, shard, row_in_shard, label FROM m WHERE doc_id % 3 = 0")
-def _(m):
-    selection = M.prepare_selection(m.where("doc_id % 3 = 0"))
-    return m.select("doc_id", "shard", "row_in_shard").join(selection, ["shard", "row_in_shard"]).select("doc_id", "shard", "row_in_shard", "label")
+@query("s11_selected_rows", "SELECT row_in_shard, label, sha256(text) AS blob_sha256 FROM (SELECT doc_id, text, row_number() OVER () - 1 AS row_in_shard FROM documents) JOIN (SELECT doc_id, quality AS label FROM labels) USING (doc_id) WHERE text IS NOT NULL", "")
+def _(spark, sf):
+    scanned = M.scan_shards(spark, f"{sf}/documents.parquet", ["doc_id"])
+    selection = scanned.withColumn("shard", F.when(F.col("shard") == "", "documents.parquet").otherwise(F.substring_index("shard", "/", -1)))
+    selection = selection.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    rows = M.fetch_selected(spark, f"{sf}/documents.parquet", selection, "text")
+    return rows.select("row_in_shard", "label", F.sha2(F.col("text").cast("binary"), 256).alias("blob_sha256"))
 
 
 @query("s18_image_paths", r"SELECT url FROM pages WHERE regexp_matches(url, '(?i)\.(jpg|jpeg|png|webp|bmp|tif|tiff)$') OR regexp_matches(url, '\.html$')", "")
@@ -244,10 +249,14 @@ def _(spark, sf):
     return e.select("vec_id", r(calibration.LinearHead(WEIGHTS, 0.1).score(F.col("embedding")), 8).alias("p"))
 
 
-@query("p18_metadata_features", "SELECT doc_id, greatest(n_chars * 500, 1) AS total_pixels, n_chars / greatest(n_chars * 500, 1) AS bytes_per_pixel, CASE WHEN path ILIKE '%.png' THEN 1 ELSE 0 END AS is_png FROM m")
+@query("p18_metadata_features", """SELECT doc_id, CAST(w AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height, CAST(greatest(w * h, 1) AS DOUBLE) AS total_pixels, round(w / greatest(h, 1), 9) AS aspect, CAST(n_chars AS DOUBLE) AS file_size,
+round(n_chars / greatest(w * h, 1), 9) AS bytes_per_pixel, CAST(f IN ('jpg', 'jpeg') AS INT) AS is_jpeg, CAST(f = 'png' AS INT) AS is_png, CAST(f = 'webp' AS INT) AS is_webp
+FROM (SELECT doc_id, n_chars, CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'webp' END AS f, coalesce(CASE WHEN len(resolution) >= 2 THEN resolution[1] END, 0) AS w, coalesce(CASE WHEN len(resolution) >= 2 THEN resolution[2] END, 0) AS h FROM m)""")
 def _(m):
-    pixels = F.greatest(F.col("n_chars") * 500, F.lit(1))
-    return m.select("doc_id", pixels.alias("total_pixels"), (F.col("n_chars") / pixels).alias("bytes_per_pixel"), F.col("path").rlike(r"(?i)\.png$").cast("int").alias("is_png"))
+    side = lambda k: F.when(F.size("resolution") >= 2, F.get("resolution", F.lit(k)))
+    form = F.get(F.array(*map(F.lit, ("PNG", "JPEG", "WEBP"))), (F.col("doc_id") % 3).cast("int"))
+    rows = m.select("doc_id", C.metadata_features(side(0), side(1), F.col("n_chars"), form).alias("f")).select("doc_id", "f.*")
+    return rows.withColumn("aspect", r("aspect")).withColumn("bytes_per_pixel", r("bytes_per_pixel"))
 
 
 @query("p20_label_smoothing", "SELECT doc_id, label * 0.9::DOUBLE + 0.05::DOUBLE AS y, replace(replace(concat(path, '#', row_in_shard), '/', '_'), '#', '__') || '.png' AS file FROM m")
@@ -334,6 +343,11 @@ def _(m):
     return sampling.stratified_split(m, 0.7, 7, "doc_id").select("doc_id", "fit")
 
 
+@query("g12_bernoulli_split", "SELECT doc_id, CASE WHEN CAST(concat('0x', substr(sha256(concat('3:split:', doc_id)), 1, 16)) AS UBIGINT) < 1844674407370955265 THEN 'val' ELSE 'train' END AS split FROM m")
+def _(m):
+    return sampling.bernoulli_split(m, "doc_id", 0.1, 3).select("doc_id", "split")
+
+
 @query("g15_cap_sample", "SELECT doc_id FROM m ORDER BY sha256(concat('7:', doc_id)), doc_id LIMIT 60")
 def _(m):
     return sampling.cap_sample(m, 60, 7, "doc_id").select("doc_id")
@@ -631,6 +645,16 @@ def _(m):
     return build_detector("constant").predict(m.where(C.is_image_path(F.col("path"))).select(F.col("path").alias("image_path")))
 
 
+@query("u8_predict_decoded", """SELECT concat('/images/', vec_id, '.png') AS image_path, CASE WHEN vec_id % 7 != 0 THEN round(list_sum(list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 255) AS BIGINT))) / len(embedding) / 255, 9) END AS pred FROM embeddings""", "")
+def _(spark, sf):
+    """Every vector drawn as a PNG of one row of grey pixels, every seventh file cut
+    short; scored by its mean brightness, with files that can't be read as nulls."""
+    from ..operators.detect import MeanDetector, drawn, predict_files
+
+    files = drawn(spark.read.parquet(f"{sf}/embeddings.parquet"), broken=F.col("vec_id") % 7 == 0)
+    return predict_files(files, MeanDetector(), include_failures=True).select("image_path", r("pred").alias("pred"))
+
+
 @query("i7_view_grid", "SELECT vec_id, view, family FROM embeddings, (VALUES ('clean','clean'),('jpeg_q90','jpeg'),('jpeg_q70','jpeg'),('jpeg_q50','jpeg'),('jpeg_q30','jpeg'),('blur_s0.5','blur'),('blur_s1.0','blur'),('blur_s2.0','blur'),('resize_0.5x','resize'),('resize_0.25x','resize'),('noise_s0.02','noise'),('noise_s0.05','noise'),('noise_s0.1','noise'),('color_down','color'),('color_up','color'),('crop_80','crop')) g(view, family)", "")
 def _(spark, sf):
     from ..operators.detect import with_views

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import columns as C
+from ..functions.images import header
 
 #: The metadata columns of a manifest, and the names under which a
 #: dataset may hold its image and its label.
@@ -35,10 +38,16 @@ def list_shards(spark: SparkSession, root: str) -> list[str]:
     return sorted(r["path"] for r in files.collect())
 
 
+def _file():
+    """The file of a row as a listing has it; the metadata column is URL-encoded."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def _relative(root: str):
     """A file's path below root, whatever scheme the path carries."""
     tail = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    return F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), tail + "/", -1), "^/+", "")
+    return F.regexp_replace(F.substring_index(_file(), tail + "/", -1), "^/+", "")
 
 
 def scan_shards(spark: SparkSession, root: str, columns: Sequence[str] = METADATA, skip_corrupt: bool = True, max_shards: int | None = None) -> DataFrame:
@@ -81,20 +90,50 @@ def prepare_selection(selection: DataFrame, columns: Sequence[str] = ()) -> Data
     return selection.select("shard", "row_in_shard", "label", *(c for c in columns if c in selection.columns and c not in ("shard", "row_in_shard", "label")))
 
 
-def fetch_selected(spark: SparkSession, root: str, selection: DataFrame, blob: str = BLOB) -> DataFrame:
-    """Selected rows with their blobs. The file list comes from the selection's
-    shards; shards named by their base name only are found too."""
+def _resolved(spark: SparkSession, root: str, selection: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shard, path) of the selection's shards by their path below root, else by their
+    base name; and the shards that there are not. Both are as many as files."""
+    tail = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    files = [(p, p.split(tail + "/")[-1] if not p.endswith(tail) else "", p.rsplit("/", 1)[-1]) for p in list_shards(spark, root)]
+    full, base = {f: p for p, f, _ in files if f}, {}
+    for p, _, b in files:
+        base.setdefault(b, p)
+    names = [r["shard"] for r in selection.select("shard").distinct().collect()]  # file names
+    found = [(n, full.get(n, base.get(n))) for n in names if n is not None]
+    have = spark.createDataFrame([x for x in found if x[1]], "shard string, path string")
+    return have, spark.createDataFrame([(n,) for n, p in found if not p], "shard string")
+
+
+def fetch_selected(spark: SparkSession, root: str, selection: DataFrame, blob: str = BLOB, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Selected rows with their blobs; null blobs are left out. Only the selection's files
+    are read, and of them only the blob column; the selection is broadcast while it has
+    ``broadcast_rows`` rows at most, so that blobs are filtered where they are read
+    and never shuffled."""
     wanted = prepare_selection(selection, ["model_name", "min_side"])
-    shards = scan_shards(spark, root, [blob])
-    full = shards.join(wanted, ["shard", "row_in_shard"])
-    base = shards.withColumn("shard", F.substring_index("shard", "/", -1)).join(wanted.join(shards.select("shard").distinct(), "shard", "left_anti"), ["shard", "row_in_shard"])
-    return full.unionByName(base.select(*full.columns)).where(F.col(blob).isNotNull())
+    have, _ = _resolved(spark, root, selection)
+    paths = sorted({r["path"] for r in have.collect()})
+    if not paths:
+        kind = next((f.dataType for f in spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(root).schema if f.name == blob), "binary")
+        return wanted.where("false").withColumn(blob, F.lit(None).cast(kind))
+    by_path = wanted.join(F.broadcast(have), "shard")
+    low = wanted.agg(F.min("row_in_shard"), F.max("row_in_shard")).first()
+    by_path = by_path.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    rows = spark.read.option("mergeSchema", "true").parquet(*paths).select(F.col(blob), _file().alias("path"), F.col("_metadata.row_index").alias("row_in_shard"))
+    rows = rows.where(F.col("row_in_shard").between(low[0], low[1]) & F.col(blob).isNotNull())
+    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        by_path = F.broadcast(by_path)
+    return rows.join(by_path, ["path", "row_in_shard"]).select(*wanted.columns, blob)
 
 
 def missing_shards(spark: SparkSession, root: str, selection: DataFrame) -> DataFrame:
-    have = scan_shards(spark, root, [BLOB]).select("shard").distinct()
-    have = have.unionByName(have.select(F.substring_index("shard", "/", -1).alias("shard"))).distinct()
-    return selection.select("shard").distinct().join(have, "shard", "left_anti")
+    return _resolved(spark, root, selection)[1]
+
+
+def validation_shards(names: Sequence[str], fallback: int = 5) -> list[str]:
+    """Files named for validation, else the first ones by name."""
+    words = ("validation", "val", "test", "eval")
+    named = [n for n in sorted(names) if any(w in n.rsplit("/", 1)[-1].lower() for w in words)]
+    return named or sorted(names)[:fallback]
 
 
 def folder_manifest(paths: DataFrame, dataset: str, root_name: str, path: str = "path") -> DataFrame:
@@ -109,6 +148,26 @@ def image_files(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     return reader.load(root).where(C.is_image_path(F.col("path"))).select("path", "length", "content")
 
 
+def image_headers(files: DataFrame, content: str = "content", length: str = "length") -> DataFrame:
+    """Add format, width, height and min_side from the first bytes of each file, and
+    ``features`` (see columns.metadata_features); files whose header can't be read are
+    left out. Only those bytes reach Python."""
+
+    def run(batches):
+        for batch in batches:
+            found = [header(bytes(x)) if x is not None else None for x in batch.column("_head").to_pylist()]
+            names = ["format", "width", "height"]
+            columns = [pa.array([f[i] if f else None for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            rest = [n for n in batch.schema.names if n != "_head"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *columns], names=[*rest, *names])
+
+    keep = [c for c in files.columns if c != content]
+    rows = files.select(*keep, F.substring(content, 1, 65536).alias("_head"))
+    schema = StructType([*(f for f in rows.schema if f.name != "_head"), *StructType.fromDDL("format string, width int, height int")])
+    known = rows.mapInArrow(run, schema).where("format is not null")
+    return known.withColumn("min_side", F.least("width", "height")).withColumn("features", C.metadata_features(F.col("width"), F.col("height"), F.col(length), F.col("format")))
+
+
 def read_predictions(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
     """(image_path, pred) of a predictions file, failures left out. array: the file
     is one JSON array; else it has an object on each line, as write_predictions makes it."""

@@ -1,5 +1,9 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestat.functions import images as I
 from lodestat.operators import detect
@@ -66,3 +70,37 @@ def test_detector_contract(spark):
     with pytest.raises(ValueError):
         detect.build_detector("other")
     assert detect.degrade(rows, crop=16).count() == 16
+
+
+def test_predictions_of_files(spark):
+    files = detect.drawn(spark.createDataFrame([(1, [0.5, 0.25]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>"), broken=F.col("vec_id") == 2)
+    rows = detect.predict_files(files, detect.build_detector("mean"), include_failures=True).collect()
+    assert [(r["image_path"], r["pred"] is None, r["error"] is None) for r in rows] == [("/images/1.png", False, True), ("/images/2.png", True, False)]
+    assert detect.predict_files(files, detect.build_detector("mean")).count() == 1
+    dark = detect.predict_files(files, detect.build_detector("mean"), degrade_by=lambda x: x // 2).first()["pred"]
+    assert dark < rows[0]["pred"]
+
+
+def test_view_builders():
+    image = picture()
+    views = I.train_views(image, 4, 16, seed=3)
+    assert len(views) == 4 and all(v.shape == (16, 16, 3) for v in views) and (views[0] == I.native_crop(image, 16)).all()
+    assert (I.train_views(image, 4, 16, seed=3)[2] == views[2]).all()
+    assert set(I.eval_views(image, 16, I.eval_grid())) == {v.name for v in I.eval_grid()}
+
+
+def test_png_filters():
+    """All five line filters, written by hand."""
+    image = picture(5, 6).astype(int)
+    lines, above = [], np.zeros((6, 3), int)
+    for mode, row in enumerate(image):
+        left, corner = np.vstack([np.zeros((1, 3), int), row[:-1]]), np.vstack([np.zeros((1, 3), int), above[:-1]])
+        p = left + above - corner
+        paeth = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+        guess = [0 * row, left, above, (left + above) // 2, paeth][mode]
+        lines.append(bytes([mode]) + ((row - guess) & 255).astype(np.uint8).tobytes())
+        above = row
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    back, error = I.load(raw)
+    assert error is None and (back == image).all()

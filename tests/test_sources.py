@@ -1,5 +1,7 @@
+import numpy as np
 import pytest
 
+from lodestat.functions import images as I
 from lodestat.sources import manifest as M
 from lodestat.sources import sinks
 
@@ -68,3 +70,69 @@ def test_column_names_and_cache_guard(spark, tmp_path):
 
 def test_markdown(spark):
     assert sinks.markdown(spark.createDataFrame([("a", 0.5, None)], "v string, x double, y int")).splitlines()[-1] == "| a | 0.5000 | - |"
+
+
+def test_fetch_reads_only_the_selections_files(spark, tmp_path):
+    root = tmp_path / "shards"
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).selectExpr("cast(concat('x', id) as binary) image_data", "id").coalesce(1).write.parquet(str(root / f"s{k}" / "a b+c"))
+    scanned = M.scan_shards(spark, str(root), ["id"])
+    chosen = scanned.where("id in (3, 7, 12)").selectExpr("shard", "row_in_shard", "1 as label", "'g' as model_name")
+    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)
+    got = M.fetch_selected(spark, str(root), chosen)
+    assert sorted(bytes(r["image_data"]) for r in got.collect()) == [b"x12", b"x3", b"x7"] and set(got.columns) == {"shard", "row_in_shard", "label", "model_name", "image_data"}
+    assert len({f.rsplit("/", 3)[1] for f in got.inputFiles()} - {"s0", "s1"}) == 0
+    by_name = chosen.selectExpr("substring_index(shard, '/', -1) shard", "row_in_shard", "label")
+    assert M.fetch_selected(spark, str(root), by_name, broadcast_rows=0).count() == 3
+    assert M.fetch_selected(spark, str(root), chosen.where("false")).count() == 0
+    assert M.missing_shards(spark, str(root), by_name).count() == 0
+
+
+def test_materialize_loses_nothing(spark, tmp_path):
+    rows = spark.range(50).selectExpr("concat('s#', id) as key", "id as label")
+    path = tmp_path / "out"
+    assert sinks.materialize(rows, str(path), every=10) == 50 and sinks.materialize(rows, str(path), every=10) == 0
+    other = tmp_path / "other"
+    spark.range(2).write.parquet(str(other))
+    with pytest.raises(ValueError):  # another table is no empty one
+        sinks.materialize(rows, str(other))
+    assert spark.read.parquet(str(other)).count() == 2
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "part.parquet").write_bytes(b"PAR1 cut short")
+    with pytest.raises(Exception):  # noqa: B017  Spark's own error
+        sinks.materialize(rows, str(bad))
+    assert sinks.materialize(rows, str(bad), start_over=True) == 50 and spark.read.parquet(str(bad)).count() == 50
+    assert [(p / "part.parquet").read_bytes() for p in tmp_path.glob("bad.aside-*")] == [b"PAR1 cut short"]
+
+
+def test_a_failed_write_leaves_the_old_manifest(spark, tmp_path):
+    path = str(tmp_path / "m")
+    sinks.write_manifest(spark.range(3).selectExpr("id", "0 as label"), path)
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.write_manifest(spark.range(3).selectExpr("id", "raise_error('x') as label"), path)
+    assert M.load_manifest(spark, path).count() == 3
+    sinks.write_manifest(M.load_manifest(spark, path).where("id > 0"), path, single_file=True)  # reads what it replaces
+    assert M.load_manifest(spark, path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["m"]
+
+
+def test_images_are_saved_once_and_whole(spark, tmp_path):
+    image = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    rows = spark.createDataFrame([("a/s#1", bytearray(I.encode_png(image))), ("a/s#2", bytearray(b"junk")), ("a/s#3", None)], "key string, content binary")
+    for _ in range(2):
+        got = {r["key"]: r for r in sinks.save_images(rows, f"file://{tmp_path}/png").collect()}
+        assert [p.name for p in (tmp_path / "png").iterdir()] == ["a_s__1.png"] and got["a/s#2"]["path"] is None and got["a/s#3"]["error"] == "not a file"
+    assert (I.load((tmp_path / "png" / "a_s__1.png").read_bytes())[0] == image).all()
+
+
+def test_headers_without_pixels(spark):
+    raw = I.encode_png(np.zeros((6, 9, 3), np.uint8))
+    files = spark.createDataFrame([("a.png", len(raw), bytearray(raw)), ("b.png", 4, bytearray(b"junk"))], "path string, length long, content binary")
+    got = M.image_headers(files).collect()
+    assert [(r["path"], r["format"], r["min_side"], r["features"]["total_pixels"], r["features"]["is_png"]) for r in got] == [("a.png", "PNG", 6, 54.0, 1)]
+    assert M.validation_shards(["x/b.parquet", "a_val.parquet"]) == ["a_val.parquet"] and M.validation_shards([f"s{k}" for k in range(9)]) == [f"s{k}" for k in range(5)]
+
+
+def test_long_reports_are_refused(spark):
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(5), max_rows=4)
