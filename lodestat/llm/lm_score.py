@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Staged, fetch, key_ranges, mix, pack, texts_of, unpack
+from .common import fetch, key_ranges, mix, pack, texts_of, trimmed, unpack, Lexicon, Staged
 
 _END = b"\n"  # no word holds a white space
 #: Bits of a bigram's hash; of 10**9 different bigrams, a few thousand share one.
@@ -54,6 +54,7 @@ def _blocks(ranges: int, block_bytes: int):
     a block's word hashes, of kinds 2 and 3 its words' and bigrams' counts by hash
     range. The commonest words have the smallest numbers."""
 
+    @trimmed
     def run(batches):
         from pyspark import TaskContext
 

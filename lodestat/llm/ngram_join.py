@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Staged, carried, mix, pack, shuffled, texts_of, unpack, window_hash, with_row_key
+from .common import Lexicon, Staged, carried, mix, pack, shuffled, slices, texts_of, trimmed, unpack, window_hash, with_row_key
 from .components import connected_components
 from .decontaminate import words_of
 
@@ -50,15 +50,15 @@ def ngrams(text: bytes, lexicon: Lexicon, n: int) -> np.ndarray:
 def _signatures(n: int, bands: int, rows: int, seed: int):
     """Class, size of the set and band hashes of each text."""
 
+    @trimmed
     def run(batches):
         rng = np.random.default_rng(seed)
         odd = (rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1))[:, None]
         plus = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)[:, None]
         lexicon = Lexicon()
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for lo in range(0, len(texts), 1000):
-                own = texts[lo : lo + 1000]
+            for some in slices(batch, "text"):
+                own = texts_of(some.column("text"))
                 sid, size, band = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), []
                 for i, text in enumerate(own):
                     grams = ngrams(text, lexicon, n)
@@ -75,7 +75,6 @@ def _signatures(n: int, bands: int, rows: int, seed: int):
                     for k in range(1, rows):
                         h[:, 0] = mix(h[:, 0] * np.uint64(_BASE) + h[:, k])
                     band.append(mix(h[:, 0] + np.arange(bands, dtype=np.uint64)).view(np.int64))
-                some = batch.slice(lo, len(own))
                 yield pa.RecordBatch.from_arrays([some.column("id"), some.column("rk"), some.column("rh"), pa.array(sid), pa.array(size), pa.array(band, pa.list_(pa.int64()))], names=["id", "rk", "rh", "sid", "size", "bands"])
 
     return run
@@ -84,13 +83,12 @@ def _signatures(n: int, bands: int, rows: int, seed: int):
 def _sets(n: int):
     """The n-gram set of each class, packed."""
 
+    @trimmed
     def run(batches):
         lexicon = Lexicon()
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for lo in range(0, len(texts), 500):
-                grams = [pack(np.diff(ngrams(t, lexicon, n), prepend=np.uint64(0))) for t in texts[lo : lo + 500]]
-                some = batch.slice(lo, len(grams))
+            for some in slices(batch, "text"):
+                grams = [pack(np.diff(ngrams(t, lexicon, n), prepend=np.uint64(0))) for t in texts_of(some.column("text"))]
                 yield pa.RecordBatch.from_arrays([some.column("component"), some.column("sid"), some.column("copies"), some.column("chunks"), pa.array(grams, pa.binary())], names=["component", "sid", "copies", "chunks", "grams"])
 
     return run

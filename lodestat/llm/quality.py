@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Staged, mix, texts_of, with_row_key
+from .common import mix, texts_of, trimmed, with_row_key, Lexicon, Staged
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+")
 
@@ -39,6 +39,7 @@ def features(text: bytes, lexicon: Lexicon, buckets: int) -> np.ndarray:
 
 
 def _counts(buckets: int):
+    @trimmed
     def run(batches):
         lexicon, total = Lexicon(), np.zeros((2, buckets), np.int64)
         for batch in batches:
@@ -53,6 +54,7 @@ def _counts(buckets: int):
 
 
 def _weigh(shared, buckets: int, seed: int):
+    @trimmed
     def run(batches):
         lexicon, ratio = Lexicon(), shared.value
         for batch in batches:
