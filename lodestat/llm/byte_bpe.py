@@ -27,14 +27,16 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Staged, gather, hash64, key_ranges, pack, unpack
+from .common import Staged, gather, hash64, key_ranges, pack, prepare, quoted, slices, trimmed, unpack
 
 _CUT = re.compile(r"(?= \S)")
 _IRREGULAR = re.compile(r" (?:\s|$)")
-_encoders: dict[int, object] = {}
+_encoders: dict[tuple[str, str], object] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,9 +55,13 @@ def words_of(text: str) -> list[str]:
     return ([first] if first else []) + [" " + w for w in rest]
 
 
-def _encoder(ranks, pattern: str):
-    """One encoder for each Python worker and vocabulary."""
-    key = id(ranks)
+def _digest(ranks: dict[bytes, int]) -> str:
+    return xxhash.xxh3_128_hexdigest(b"".join(b"%d:%d:%b" % (i, len(t), t) for t, i in ranks.items()))
+
+
+def _encoder(digest: str, ranks: dict[bytes, int], pattern: str):
+    """One encoder for each Python worker, vocabulary and pattern."""
+    key = (digest, pattern)
     if key not in _encoders:
         import tiktoken
 
@@ -90,6 +96,7 @@ def _blocks(ranges: int, block_bytes: int):
         yield block, 1, ps.tolist(), [None] * len(ps), lens, blobs
         yield block, 2, [None], [None], [None], [pack(place[by_count])]
 
+    @trimmed
     def run(batches):
         from pyspark import TaskContext
 
@@ -130,7 +137,7 @@ def _encode_range(shared, pattern: str):
     word is encoded once."""
 
     def run(table: pa.Table) -> pa.Table:
-        encode = _encoder(shared.value, pattern).encode_ordinary
+        encode = _encoder(*shared.value, pattern).encode_ordinary
         number: dict[bytes, int] = {}
         ids: list[list[int]] = []
         lens_out, ids_out = [], []
@@ -150,36 +157,61 @@ def _encode_range(shared, pattern: str):
     return run
 
 
-def _reassemble(key, docs: pa.Table, words: pa.Table) -> pa.Table:
-    """cogroup: put the texts of a block together again by position."""
-    order = np.argsort(words["p"].to_numpy(), kind="stable").tolist()
-    lens_of, ids_of = words["lens"].to_pylist(), words["ids"].to_pylist()
-    none = np.empty(0, np.uint32)
-    lens = np.concatenate([none, *(unpack(lens_of[i], np.uint32) for i in order)]).astype(np.int64)
-    flat = np.concatenate([none, *(unpack(ids_of[i], np.uint32) for i in order)])
-    starts = np.cumsum(lens) - lens
-    kind, ids, doc_lens, data = docs["kind"].to_pylist(), docs["ids"], docs["lens"].to_pylist(), docs["data"].to_pylist()
-    place = unpack(data[kind.index(2)], np.uint32).astype(np.int64)
-    starts, lens = starts[place], lens[place]
-    own, out, n = [], [], []
-    for k in (i for i, x in enumerate(kind) if x == 0):
-        codes, at = unpack(data[k], np.uint32).astype(np.int64), 0
-        for m in unpack(doc_lens[k], np.uint32).tolist():
-            tokens = gather(flat, starts, lens, codes[at : at + m])
-            at += m
-            out.append(tokens.astype("<u4").tobytes())
-            n.append(len(tokens))
-        own.append(ids[k].values)
-    return pa.table({"id": pa.chunked_array(own, docs.schema.field("ids").type.value_type), "n_tokens": pa.array(n, pa.int64()), "ids_le": pa.array(out, pa.binary())})
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+class _TokenBytes:
+    """The token-byte table: the bytes of each id, end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        self.lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts, self.flat = np.cumsum(self.lens) - self.lens, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return gather(self.flat, self.starts, self.lens, ids.astype(np.int64)).tobytes()
+
+
+def _reassemble(shared):
+    """cogroup: put the texts of a block together again by position; shared: the
+    token-byte table, if the ids are to be decoded as well."""
+
+    def run(key, docs: pa.Table, words: pa.Table) -> pa.Table:
+        order = np.argsort(words["p"].to_numpy(), kind="stable").tolist()
+        lens_of, ids_of = words["lens"].to_pylist(), words["ids"].to_pylist()
+        none = np.empty(0, np.uint32)
+        lens = np.concatenate([none, *(unpack(lens_of[i], np.uint32) for i in order)]).astype(np.int64)
+        flat = np.concatenate([none, *(unpack(ids_of[i], np.uint32) for i in order)])
+        starts = np.cumsum(lens) - lens
+        kind, ids, doc_lens, data = docs["kind"].to_pylist(), docs["ids"], docs["lens"].to_pylist(), docs["data"].to_pylist()
+        place = unpack(data[kind.index(2)], np.uint32).astype(np.int64)
+        starts, lens = starts[place], lens[place]
+        own, out, n, texts = [], [], [], []
+        for k in (i for i, x in enumerate(kind) if x == 0):
+            codes, at = unpack(data[k], np.uint32).astype(np.int64), 0
+            for m in unpack(doc_lens[k], np.uint32).tolist():
+                tokens = gather(flat, starts, lens, codes[at : at + m])
+                at += m
+                out.append(tokens.astype("<u4").tobytes())
+                n.append(len(tokens))
+                if shared is not None:
+                    texts.append(shared.value.decode(tokens))
+            own.append(ids[k].values)
+        columns = {"id": pa.chunked_array(own, docs.schema.field("ids").type.value_type), "n_tokens": pa.array(n, pa.int64()), "ids_le": pa.array(out, pa.binary())}
+        return pa.table(columns | ({} if shared is None else {"decoded": pa.array(texts, pa.binary())}))
+
+    return run
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, decoded: bool = False) -> DataFrame:
     """``id, n_tokens, ids_le``: a text's token ids as little-endian unsigned
-    32-bit integers, as the tiktoken library's encode_ordinary gives them.
+    32-bit integers, as the tiktoken library's encode_ordinary gives them; with
+    ``decoded``, also what :func:`decode` gives of them, in the same pass.
     :func:`as_array` turns them into an array column."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(load_ranks(ranks_path))  # the vocabulary's size bounds it
-    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    prepare(spark)
+    ranks = load_ranks(ranks_path)
+    shared = spark.sparkContext.broadcast((_digest(ranks), ranks))  # the vocabulary's size bounds it
+    src = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     ranges = key_ranges(src)
     row = f"block long, ids array<{kind}>, kind int, p long, lens binary, data binary"
@@ -188,7 +220,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     replies = Staged(asked.groupBy("p").applyInArrow(_encode_range(shared, pattern), "block long, p long, lens binary, ids binary"), "bpe-ids")
     blocks.drop("kind=1")
     docs = blocks.df.where("kind != 1").select("block", "kind", "ids", "lens", "data")
-    return docs.groupBy("block").cogroup(replies.df.groupBy("block")).applyInArrow(_reassemble, f"id {kind}, n_tokens long, ids_le binary")
+    table = spark.sparkContext.broadcast(_TokenBytes(ranks)) if decoded else None
+    return docs.groupBy("block").cogroup(replies.df.groupBy("block")).applyInArrow(_reassemble(table), f"id {kind}, n_tokens long, ids_le binary" + (", decoded binary" if decoded else ""))
 
 
 def as_array(ids_le: str = "ids_le"):
@@ -205,30 +238,24 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le") -> DataFrame
     """Add ``decoded``: the bytes of the ids, from the token-byte table. Every
     other column stays as it is."""
     spark: SparkSession = df.sparkSession
-    ranks = load_ranks(ranks_path)
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        tokens[i] = token
-    shared = spark.sparkContext.broadcast(tokens)
+    if "decoded" in df.columns:
+        raise ValueError("the rows have a column decoded already")
+    shared = spark.sparkContext.broadcast(_TokenBytes(load_ranks(ranks_path)))
     at = df.columns.index(ids_col)
 
+    @trimmed
     def run(batches):
-        tokens = shared.value
-        lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        starts, flat = np.cumsum(lens) - lens, np.frombuffer(b"".join(tokens), np.uint8)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                text = [None if b is None else gather(flat, starts, lens, np.frombuffer(b, "<u4").astype(np.int64)).tobytes() for b in part.column(at).to_pylist()]
+            for part in slices(batch, at):
+                text = [None if b is None else shared.value.decode(np.frombuffer(b, "<u4")) for b in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Round trip of every text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    both = decode(encode(df, ranks_path, pattern, id_col, text_col), ranks_path)
+    both = encode(df, ranks_path, pattern, id_col, text_col, decoded=True)
     return both.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
