@@ -35,6 +35,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -69,22 +70,23 @@ def _place():
     return F.struct(F.col("id").isNotNull().alias("known"), "id", "rk", "rh", "pos")
 
 
-def _ranks(df: DataFrame, keys: list[str], size: int) -> Staged:
-    """Ranks of the keys that stand more than once, in the keys' order."""
-    shared = df.groupBy(*keys).count().where("count > 1").select(*keys)
+def _ranks(df: DataFrame, keys: list[str], size: int, *more) -> Staged:
+    """Ranks of the keys that stand more than once, in the keys' order, with more aggregates."""
+    shared = df.groupBy(*keys).agg(F.count("*").alias("count"), *more).where("count > 1").drop("count")
     return Staged(shared.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), f"lines-ranks-{size}")  # ranks follow the partitions, so they are written before use
 
 
+@dataclass
 class _Level:
     """Suffixes that share their first ``size`` / 2 lines (all, if size is 1) with their
     rank by ``size`` lines, null if nothing shares those, and each rank's first place.
     ``here`` is the rank by half the size."""
 
-    def __init__(self, suffixes: DataFrame, size: int):
-        self.rows = Staged(suffixes, f"lines-{size}").df
-        self.active = self.rows.where("rank is not null")
-        keys = [c for c in ("rank", "here") if c in self.rows.columns]  # a rank has one rank by half the size
-        self.first = Staged(self.active.groupBy(*keys).agg(F.min(_place()).alias("first")), f"lines-first-{size}").df
+    rows: DataFrame
+    first: DataFrame
+
+    def active(self) -> DataFrame:
+        return self.rows.where("rank is not null")
 
     def leads(self) -> DataFrame:
         return self.first.select(F.col("rank").alias("node"), F.col("first").alias("lead"))
@@ -93,22 +95,18 @@ class _Level:
 def _first_level(lines: Staged) -> _Level:
     ranks = _ranks(lines.df, ["one", "two"], 1)
     rows = lines.df.join(shuffled(ranks.df), ["one", "two"]).drop("one", "two").dropDuplicates(_AT)  # rows equal in id and text are one document
-    level = _Level(rows, 1)
+    rows = Staged(rows, "lines-1").df
     ranks.drop()
-    return level
+    return _Level(rows, Staged(rows.groupBy("rank").agg(F.min(_place()).alias("first")), "lines-first-1").df)
 
 
 def _double(level: _Level, size: int) -> _Level:
     """Ranks by twice the lines: pairs of the rank here and the one ``size`` further on."""
     ahead = Window.partitionBy("rk", "rh").orderBy("pos").rangeBetween(size, size)
-    pairs = Staged(level.active.select("id", *_AT, F.col("rank").alias("here"), F.first("rank").over(ahead).alias("then")), f"lines-pairs-{size}")
-    whole, ended = pairs.df.where("then is not null"), pairs.df.where("then is null").withColumn("rank", F.lit(None).cast("long"))
-    ranks = _ranks(whole, ["here", "then"], 2 * size)
-    columns = ["id", *_AT, "here", "rank"]
-    out = _Level(whole.join(shuffled(ranks.df), ["here", "then"], "left").select(columns).unionByName(ended.select(columns)), 2 * size)
-    ranks.drop()
-    pairs.drop()
-    return out
+    pairs = level.active().select("id", *_AT, F.col("rank").alias("here"), F.first("rank").over(ahead).alias("then"))
+    ranks = _ranks(pairs.where("then is not null"), ["here", "then"], 2 * size, F.min(_place()).alias("first")).df
+    rows = pairs.join(shuffled(ranks.select("here", "then", "rank")), ["here", "then"], "left").select("id", *_AT, "here", "rank")
+    return _Level(Staged(rows, f"lines-{2 * size}").df, ranks.select("rank", "here", "first"))
 
 
 def _entries(level: _Level, half: _Level, size: int) -> DataFrame:
@@ -123,20 +121,17 @@ def _entries(level: _Level, half: _Level, size: int) -> DataFrame:
 def _narrow(entries: DataFrame, level: _Level, step: int) -> Staged:
     """One step down: entries of one interval with the same next ``step`` lines form a
     narrower interval, which stays in the wider one as an entry."""
-    following = level.active.select("rk", "rh", F.col("pos").alias("to"), F.col("rank").alias("next"))
-    read = Staged(entries.withColumn("to", F.col("pos") + F.col("size")).join(shuffled(following), ["rk", "rh", "to"], "left").drop("to"), f"lines-next-{step}")
+    following = level.active().select("rk", "rh", F.col("pos").alias("to"), F.col("rank").alias("next"))
+    read = entries.withColumn("to", F.col("pos") + F.col("size")).join(shuffled(following), ["rk", "rh", "to"], "left").drop("to")
     key = ["size", "node", "next"]
-    some = read.df.where("next is not null")
-    groups = some.groupBy(*key).agg(F.count("*").alias("n"), F.max("single").alias("any"), F.min("first").alias("inner"), F.min("lead").alias("outer")).where("n > 1 and any")
+    groups = read.where("next is not null").groupBy(*key).agg(F.count("*").alias("n"), F.max("single").alias("any"), F.min("first").alias("inner"), F.min("lead").alias("outer")).where("n > 1 and any")
     formed = Staged(groups.select(*key, "inner", "outer").withColumn("child", F.monotonically_increasing_id()), f"lines-formed-{step}")
-    columns = ["size", "node", "id", *_AT, "single", "first", "lead"]
     inside = F.col("child").isNotNull()
-    moved = some.join(shuffled(formed.df), key, "left").select(
+    moved = read.join(shuffled(formed.df), key, "left").select(
         (F.col("size") + F.when(inside, step).otherwise(0)).alias("size"), F.coalesce("child", "node").alias("node"), "id", *_AT, "single", "first", F.coalesce("inner", "lead").alias("lead")
     )
     around = formed.df.select("size", "node", "inner.id", "inner.rk", "inner.rh", "inner.pos", F.lit(False).alias("single"), F.col("inner").alias("first"), F.col("outer").alias("lead"))
-    out = Staged(moved.unionByName(around).unionByName(read.df.where("next is null").select(columns)), f"lines-entries-{step}")
-    read.drop()
+    out = Staged(moved.unionByName(around), f"lines-entries-{step}")
     formed.drop()
     return out
 
@@ -154,7 +149,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         levels[2 * size] = _double(levels[size], size)
         size *= 2
 
-    found = [levels[1].active.where("false").select(*_AT, F.lit(1).alias("n"), F.lit(True).alias("first"))]
+    found = [levels[1].active().where("false").select(*_AT, F.lit(1).alias("n"), F.lit(True).alias("first"))]
     entries, step = None, size // 4
     while step >= 1:  # the intervals of LCP 2 * step join those that came down so far
         parts = [entries.df] if entries is not None else []
@@ -170,7 +165,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ends.append(_entries(levels[2], levels[1], 1))
     found += [e.where(F.col("single") & (F.col("size") >= min_run)).select(*_AT, F.col("size").alias("n"), (F.col("first") == F.col("lead")).alias("first")) for e in ends]
     if long_words is not None and min_run > 1:
-        long = levels[1].active.where(F.col("words") >= long_words).select(F.col("rank").alias("node"), *_AT, _place().alias("place"))
+        long = levels[1].active().where(F.col("words") >= long_words).select(F.col("rank").alias("node"), *_AT, _place().alias("place"))
         found.append(long.join(shuffled(levels[1].leads()), "node").select(*_AT, F.lit(1).alias("n"), (F.col("place") == F.col("lead")).alias("first")))
     return reduce(DataFrame.unionByName, found)
 
