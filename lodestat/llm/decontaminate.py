@@ -2,186 +2,225 @@
 
 An item's *windows* are its runs of ``window`` consecutive words (an item of
 fewer words is one window). A document contains a window only if it contains
-every word of it, so a prefix of one word is enough to join on: the rarest word
-by document frequency over the whole corpus. Each place of that word in a
-document fixes where the window would start (the positional bound); it must fit
-into the document (the length bound); then its words are compared one by one.
+every word of it, so a prefix of one word, the first in an order by rarity, is enough
+to join on: the rarest word by document frequency over the whole corpus.
+
+1. Windows: the distinct windows of all items, with 64-bit hashes of their words.
+2. Order: in how many documents each benchmark word stands; each window's rarest
+   word and its offset in the window are its prefix entry. A window with a word that
+   no document holds goes.
+3. Candidates: each place of a prefix word in a document, with the offset and length
+   of an entry, fixes where a window would start (the positional bound); it must fit
+   into the document (the length bound).
+4. Join and check: candidates meet the windows in a shuffle on the hash (128 bits) of
+   the item-sized window of words around the place, so a frequent prefix word spreads
+   over many keys, and only equal windows meet.
+
+What documents are filtered by before a shuffle (words, entries, windows) are bitmaps
+of ``2**filter_bits`` bits, whatever the benchmark's size; they let some rows through
+that the join then drops, and never hold one back. Documents are read twice, their
+texts are never shuffled (but for ``carry``).
 
 Words are lower-cased (A-Z only) runs of letters, digits and non-ASCII
-characters. Benchmarks are handled in blocks of at most ``block_words`` words,
-each broadcast by itself against all documents, so that what is broadcast is
-bounded however many items there are.
-
-Null and empty texts have no words and no hits; items without words have no
-windows. Repeated items count one each; ids may be null (a null item id is left
-out of the list of ids). Other columns are ignored.
+characters. Null and empty texts have no words and no hits; items without words have
+no windows. Repeated items count one each; ids may be null (a null item id is left
+out of the list of ids). Other columns are ignored; empty tables give no hits.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, with_row_key
+from .common import Lexicon, Staged, fetch, fields, mix, prepare, quoted, shuffled, slices, texts_of, trimmed, window_hash, with_row_key
 
 #: Lower case for A-Z; ASCII characters that are neither letter nor digit become spaces.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Odd multipliers of the polynomial hashes; any odd 64-bit values serve.
+_ONE, _TWO = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-class _Index:
-    """The windows of one block of items under their rarest words."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
-        self.number: dict[bytes, int] = {}
-        self.items, self.window = items, window
-        self.codes = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64) for _, words in items]
-
-    def build(self, frequency: np.ndarray) -> None:
-        """frequency: documents that hold each word number (0 is for other words)."""
-        by_word: dict[int, list] = defaultdict(list)
-        self.lengths = sorted({min(len(c), self.window) for c in self.codes if len(c)})
-        windows: dict[int, dict[bytes, list[int]]] = {n: {} for n in self.lengths}
-        for at, c in enumerate(self.codes):
-            if len(c):
-                n = min(len(c), self.window)
-                for s in range(len(c) - n + 1):
-                    owners = windows[n].setdefault(c[s : s + n].tobytes(), [])
-                    if at not in owners:
-                        owners.append(at)
-        for n, found in windows.items():
-            for k, (raw, owners) in enumerate(found.items()):
-                w = np.frombuffer(raw, np.int64)
-                offset = int(np.argmin(frequency[w]))
-                by_word[int(w[offset])].append((n, k, offset, owners))
-        self.words = {n: np.array([np.frombuffer(raw, np.int64) for raw in found]).reshape(-1, n) for n, found in windows.items()}
-        self.owners = {n: [np.array(o) for o in found.values()] for n, found in windows.items()}
-        self.rare = np.zeros(len(self.number) + 1, bool)
-        self.rare[list(by_word)] = True
-        self.at = {w: {n: np.array([(k, o) for m, k, o, _ in own if m == n]).reshape(-1, 2) for n in self.lengths} for w, own in by_word.items()}
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
-
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """Which words of a document are hit, and the items (by place) that do it."""
-        hit, items = np.zeros(len(codes) + 1, np.int64), set()
-        place = np.flatnonzero(self.rare[codes])
-        for word in np.unique(codes[place]).tolist():
-            own = place[codes[place] == word]
-            for n, found in self.at[word].items():
-                if not len(found):
-                    continue
-                start = (own[:, None] - found[None, :, 1]).ravel()
-                which = np.tile(found[:, 0], len(own))
-                fits = (start >= 0) & (start + n <= len(codes))
-                start, which = start[fits], which[fits]
-                for lo in range(0, len(start), 50_000):
-                    s, k = start[lo : lo + 50_000], which[lo : lo + 50_000]
-                    same = (codes[s[:, None] + np.arange(n)] == self.words[n][k]).all(axis=1)
-                    np.add.at(hit, s[same], 1)
-                    np.add.at(hit, s[same] + n, -1)
-                    for j in np.unique(k[same]).tolist():
-                        items.update(self.owners[n][j].tolist())
-        return np.cumsum(hit[:-1]) > 0, sorted(items)
+def _windows_of(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of each n consecutive words; the length is part of it."""
+    return mix(window_hash(h, n, _ONE) + np.uint64(n)), mix(window_hash(mix(h), n, _TWO) + np.uint64(n))
 
 
-def _frequencies(shared):
-    """Documents of a partition that hold each benchmark word."""
+def _entry(h: np.ndarray, offset, n) -> np.ndarray:
+    """Hash of a prefix entry: word, its offset, length of the window."""
+    return mix(h + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(offset, np.uint64) * np.uint64(1 << 16) + np.asarray(n, np.uint64)))
+
+
+class Bitmap:
+    """A set of hashes that may hold more than it was given. Its size is fixed."""
+
+    def __init__(self, bits: int, cells: np.ndarray, masks: np.ndarray):
+        self.bits = bits
+        self.cells = np.zeros(1 << max(bits - 3, 0), np.uint8)
+        np.bitwise_or.at(self.cells, cells, masks.astype(np.uint8))
+
+    @staticmethod
+    def of(df: DataFrame, column: str, bits: int) -> Bitmap:
+        """Of a column of hashes; at most a row for each byte comes to the driver."""
+        place = F.explode(F.array(F.shiftrightunsigned(F.col(column), 64 - bits), F.shiftrightunsigned(F.shiftleft(F.col(column), bits), 64 - bits))).alias("p")
+        cells = df.select(place).select(F.shiftright("p", 3).alias("cell"), F.expr("shiftleft(1, cast(p & 7 as int))").alias("mask")).groupBy("cell").agg(F.bit_or("mask").alias("mask"))
+        found = fetch(cells)
+        return Bitmap(bits, found["cell"].to_numpy(np.int64), found["mask"].to_numpy(np.int64))
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        down = np.uint64(64 - self.bits)
+        out = np.ones(len(h), bool)
+        for p in (h >> down, (h << np.uint64(self.bits)) >> down):
+            out &= (self.cells[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _item_windows(window: int):
+    """The distinct windows of each item."""
 
     def run(batches):
-        index = shared.value
-        n = np.zeros(len(index.number) + 1, np.int64)
+        lexicon = Lexicon()
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                n[np.unique(index.encode(words_of(text)))] += 1
-        found = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["word", "n"])
+            for some in slices(batch, "text"):
+                at, one, two, size, words = [], [], [], [], []
+                for i, text in enumerate(texts_of(some.column("text"))):
+                    h = lexicon.hashed(words_of(text))
+                    n = min(len(h), window)
+                    if n:
+                        a, b = _windows_of(h, n)
+                        _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
+                        at += [i] * len(first)
+                        one.append(a[first])
+                        two.append(b[first])
+                        size += [n] * len(first)
+                        words += [h[s : s + n].view(np.int64) for s in first]
+                if at:
+                    rows = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("item_no").take(rows), some.column("item_id").take(rows), _signed(np.concatenate(one)), _signed(np.concatenate(two)), pa.array(size, pa.int32()), pa.array(words, pa.list_(pa.int64()))],
+                        names=["item_no", "item_id", "one", "two", "n", "words"],
+                    )
 
     return run
 
 
-def _search(shared, columns: list[str], every: bool):
-    """Hits of each document; every: also of documents that have none."""
+def _frequencies(shared):
+    """Documents of a task that hold each benchmark word."""
 
+    @trimmed
     def run(batches):
-        index = shared.value
+        known, lexicon, found, size = shared.value, Lexicon(), [], 0
+
+        def counted():
+            words, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            distinct, at = np.unique(words, return_inverse=True)
+            return distinct, np.bincount(at, weights=n).astype(np.int64)
+
         for batch in batches:
-            keep, n_words, runs, items = [], [], [], []
-            for i, text in enumerate(texts_of(batch.column("text"))):
-                codes = index.encode(words_of(text))
-                hit, own = index.hits(codes)
-                if every or own:
-                    turn = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
-                    keep.append(i)
-                    n_words.append(len(codes))
-                    runs.append([{"start": int(a), "stop": int(b)} for a, b in turn])
-                    items.append([index.items[j][0] for j in own])
-            kept = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(kept) for c in columns), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                names=[*columns, "n_words", "spans", "item_ids"],
-            )
+            for text in texts_of(batch.column(0)):
+                h = np.unique(lexicon.hashed(words_of(text)))
+                h = h[known.holds(h)]
+                found.append((h, np.ones(len(h), np.int64)))
+                size += len(h)
+                if size > 1_000_000:
+                    found = [counted()]
+                    size = len(found[0][0])
+                    if size > 500_000:
+                        yield pa.RecordBatch.from_arrays([_signed(found[0][0]), pa.array(found[0][1])], names=["word", "df"])
+                        found, size = [], 0
+        if found:
+            words, n = counted()
+            yield pa.RecordBatch.from_arrays([_signed(words), pa.array(n)], names=["word", "df"])
 
     return run
 
 
-def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """Lists of (item id, words) with at most block_words words each (or one item), read one partition at a time."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).toLocalIterator():
-        words = words_of((row.t or "").encode())
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row.i, words))
-        size += len(words)
-    if block:
-        yield block
+def _entries(batches):
+    """Hash of each window's prefix entry."""
+    for batch in batches:
+        h = batch.column("word").to_numpy().view(np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("one"), _signed(_entry(h, batch.column("offset").to_numpy(), batch.column("n").to_numpy()))], names=["word", "one", "entry"])
 
 
-def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000, carry: bool = False) -> DataFrame:
+def _candidates(shared, columns: list[str]):
+    """Number of words of each document, and the windows that its prefix words point at."""
+    kind = pa.list_(pa.struct([("one", pa.int64()), ("two", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
+
+    @trimmed
+    def run(batches):
+        words, entries, windows, lengths = shared.value
+        lexicon = Lexicon()
+
+        def of(h: np.ndarray):
+            place = np.flatnonzero(words.holds(h))
+            for n in lengths if len(place) else ():
+                start = [place[entries.holds(_entry(h[place], o, n))] - o for o in range(n)]
+                start = np.unique(np.concatenate(start))
+                start = start[(start >= 0) & (start + n <= len(h))]
+                if len(start):
+                    one, two = _windows_of(h, n)
+                    start = start[windows.holds(one[start])]
+                    for s, a, b in zip(start.tolist(), one[start].view(np.int64).tolist(), two[start].view(np.int64).tolist(), strict=True):
+                        yield {"one": a, "two": b, "start": s, "n": n}
+
+        for batch in batches:
+            for some in slices(batch, "text"):
+                n_words, found = [], []
+                for text in texts_of(some.column("text")):
+                    h = lexicon.hashed(words_of(text))
+                    n_words.append(len(h))
+                    found.append(list(of(h)))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in columns), pa.array(n_words, pa.int64()), pa.array(found, kind)], names=[*columns, "n_words", "candidates"])
+
+    return run
+
+
+def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, filter_bits: int = 24, carry: bool = False) -> DataFrame:
     """``id, n_words, spans, item_ids`` of every document: the word ranges inside
     occurrences of item windows, and the items (ids as strings) they come from.
     carry adds ``text`` and ``row``, a struct of the row's other columns."""
     spark = df.sparkSession
+    prepare(spark)
+    items = benchmark.select(quoted(item_col).cast("string").alias("item_id"), quoted(item_text_col).cast("string").alias("text"))
+    items = Staged(items.withColumn("item_no", F.monotonically_increasing_id()), "items").df
+    key = ["one", "two", "n"]
+    owned = items.mapInArrow(_item_windows(window), "item_no long, item_id string, one long, two long, n int, words array<long>")
+    windows = Staged(owned.groupBy(*key).agg(F.first("words").alias("words"), F.collect_set(F.struct("item_no", "item_id")).alias("items")), "item-windows").df
+
     texts = with_row_key(df, id_col, text_col, carry)
-    columns = ["id", "text", "row"] if carry else ["id"]
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in columns)
-    found = "n_words long, spans array<struct<start:int,stop:int>>, item_ids array<string>"
-    parts = []
-    blocks = iter(_blocks_of(benchmark, item_col, item_text_col, block_words))
-    block, following = next(blocks, []), next(blocks, None)
-    single = following is None
-    while block is not None:
-        index = _Index(block, window)
-        shared = spark.sparkContext.broadcast(index)
-        seen = texts.select("text").mapInArrow(_frequencies(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # a row for each word of the block at most
-        frequency = np.zeros(len(index.number) + 1, np.int64)
-        frequency[seen["word"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
-        index.build(frequency)
-        shared = spark.sparkContext.broadcast(index)
-        if single:
-            return texts.drop("rk", "rh").mapInArrow(_search(shared, columns, True), f"{kinds}, {found}")
-        parts.append(texts.select("text", "rk", "rh").mapInArrow(_search(shared, ["rk", "rh"], False), f"rk long, rh int, {found}").withColumn("block", F.lit(len(parts))))
-        block, following = following, next(blocks, None)
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    merged = merged.dropDuplicates(["rk", "rh", "block"]).groupBy("rk", "rh").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
-    empty = _Index([], window)
-    empty.build(np.zeros(1, np.int64))
-    counted = texts.mapInArrow(_search(spark.sparkContext.broadcast(empty), [*columns, "rk", "rh"], True), f"{kinds}, rk long, rh int, {found}").drop("spans", "item_ids")
-    out = counted.join(merged, ["rk", "rh"], "left").select(*columns, "n_words", F.coalesce("spans", F.expr("array()")).alias("spans"), F.coalesce("item_ids", F.expr("array()")).alias("item_ids"))
-    return out.withColumn("spans", _union_spans(F.col("spans")))
+    terms = windows.select(*key, F.posexplode("words").alias("offset", "word"))
+    known = spark.sparkContext.broadcast(Bitmap.of(terms.select("word"), "word", filter_bits))
+    seen = texts.select("text").mapInArrow(_frequencies(known), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    rarity = terms.join(shuffled(Staged(seen, "word-frequencies").df), "word", "left").groupBy(*key).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "word")).alias("rarest"))
+    prefix = Staged(rarity.where("rarest.df > 0").select(*key, "rarest.offset", "rarest.word"), "window-prefixes").df
+    entries = Staged(prefix.select("word", "one", "offset", "n").mapInArrow(_entries, "word long, one long, entry long"), "prefix-entries").df
+    lengths = sorted(r["n"] for r in prefix.select("n").distinct().collect())  # window lengths, 1 to window
+    shared = spark.sparkContext.broadcast((*(Bitmap.of(entries, c, filter_bits) for c in ("word", "entry", "one")), lengths))
+
+    place = ["id", "rk", "rh"]
+    pointed = Staged(texts.select(*place, "text").mapInArrow(_candidates(shared, place), fields(texts, place, "n_words long, candidates array<struct<one:bigint,two:bigint,start:int,n:int>>")), "window-candidates").df
+    kept = windows.join(shuffled(prefix.select(*key)), key).select(*key, "items")
+    hits = pointed.select("rk", "rh", F.inline("candidates")).join(shuffled(Staged(kept, "windows-kept").df), key)
+    spans = F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop"))).alias("spans")
+    hits = Staged(hits.groupBy("rk", "rh").agg(spans, F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "window-hits").df
+    hits = hits.select("rk", "rh", _union_spans(F.col("spans")).alias("spans"), F.transform("items", lambda x: x["item_id"]).alias("item_ids"))
+
+    rows = pointed.select(*place, "n_words")
+    columns = ["id"]
+    if carry:  # texts meet what was found of them by row; rows equal in id and text share it
+        columns = ["id", "text", "row"]
+        rows = texts.join(shuffled(pointed.select("rk", "rh", "n_words").dropDuplicates(["rk", "rh"])), ["rk", "rh"])
+    none = F.array().cast("array<struct<start:int,stop:int>>"), F.array().cast("array<string>")
+    return rows.join(shuffled(hits), ["rk", "rh"], "left").select(*columns, "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("item_ids", none[1]).alias("item_ids"))
 
 
 def _union_spans(spans):
