@@ -12,8 +12,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 
 from lodestat.llm import byte_bpe, components, decontaminate, line_dedup, lm_score, ngram_join, quality, substring_dedup, toxicity
+from lodestat.llm.common import with_row_key
 
 SCHEMA = "doc_id long, text string, rk string, row int, kept double"  # extra columns with names that operators use
 
@@ -303,3 +305,101 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(x,) for x in v], "v long")
     for k in (1, 50, 100, len(v)):
         assert quality.kth_largest(df, "v", k) == sorted(v, reverse=True)[k - 1]
+
+
+def test_lm_score_is_deleted_interpolation_by_brute_force(spark):
+    data = [(i, t) for i, t in corpus(3)] + [(200 + i, "x y z x y w " * (i % 4)) for i in range(12)]
+    tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b"\n"]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    taught = [tokens(t) for i, t in data if not held(i)]
+    c, pair = Counter(x for t in taught for x in t), Counter(p for t in taught for p in zip([b"\n", *t[:-1]], t, strict=True))
+    n, v = sum(c.values()), len(c)
+    bucket = lambda x: c[x].bit_length()
+    for step, close in ((1 / lm_score.STEPS, 1e-6), (0, 0.02)):  # as the histogram rounds ratios, and without rounding
+        ratios = defaultdict(list)
+        for t in taught:  # each training token with its own occurrence taken off
+            for a, b in zip([b"\n", *t[:-1]], t, strict=True):
+                r = (pair[a, b] - 1) / max(c[a] - 1, 1) / (c[b] / (n - 1 + v + 1))
+                ratios[bucket(a)].append(2 ** (round(math.log2(r) / step) * step) if r and step else r)
+        weight = {}
+        for k, own in ratios.items():
+            r, w = np.array(own), 0.5
+            for _ in range(60):
+                w = min(max(float((w * r / (w * r + 1 - w)).mean()), 1e-9), 1 - 1e-9)
+            weight[k] = w
+
+        def log10(t):
+            total = 0.0
+            for a, b in zip([b"\n", *t[:-1]], t, strict=True):
+                w = weight[bucket(a)] if c[a] else 0.0
+                total += math.log10(w * pair[a, b] / max(c[a], 1) + (1 - w) * (c[b] + 1) / (n + v + 1))
+            return total
+
+        want = sorted((str(i), log10(tokens(t))) for i, t in data)
+        got = sorted((str(r["id"]), r["score"]) for r in lm_score.score(table(spark, data)).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert all(abs(a - b) <= close * (1 + abs(b)) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+M64 = (1 << 64) - 1
+
+
+def mix64(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M64
+    return x ^ x >> 31
+
+
+def test_toxicity_scores_are_a_plain_reading_of_the_weights(spark):
+    rows, y = toxic_corpus(150)
+    model = toxicity.fit(table(spark, rows), spark.createDataFrame(y, "doc_id long, toxic int"))
+
+    def buckets(word):
+        marked, out = b"<" + word + b">", []
+        for n in range(3, 7):
+            for s in range(len(marked) - n + 1):
+                h = 0
+                for b in marked[s : s + n]:
+                    h = (h * 0x100000001B3 + mix64(b + 1)) & M64
+                out.append(mix64(h) >> (64 - model.bits))
+        return [*out, mix64(xxhash.xxh3_64_intdigest(word)) >> (64 - model.bits)]
+
+    def score(text):
+        words = [w for w in re.sub(rb"[^0-9a-z\x80-\xff]", b" ", (text or "").lower().encode()).split()]
+        words = [w for k, w in enumerate(words) if not k or words[k - 1] != w]
+        k = max(round(len(words) / model.segment), 1)
+        margins = []
+        for j in range(k if words else 0):
+            part = words[j * len(words) // k : (j + 1) * len(words) // k]
+            own = [b for w in part for b in buckets(w)]
+            margins.append(sum(float(model.weight[b]) for b in own) / (len(own) * max(model.segment / len(part), 1)) + model.bias)
+        return 1 / (1 + math.exp(-(model.slope * max(margins, default=model.bias) + model.shift)))
+
+    data = rows[:25] + [(900, None), (901, ""), (902, "!!"), (903, "vexhorrid"), (904, "A a a B " * 400), (905, rows[0][1]), (906, "é日本 x " * 30), (907, " ".join(t for _, t in rows))]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table(spark, data), model).collect()}
+    assert all(abs(got[i] - score(t)) < 1e-6 for i, t in data)
+
+
+def test_quality_weights_and_keys_by_brute_force(spark):
+    data = [(i, t) for i, t in corpus(5)] + [(300, "x y " * 3000), (301, "x y " * 3000)]
+    labels = [(i, int(i % 2 == 0)) for i, _ in data if i is not None and i < 20]
+    df = table(spark, data)
+    got = quality.resample(df, spark.createDataFrame(labels, "doc_id long, quality int"), buckets=500, seed=4).collect()
+    good = {i for i, q in labels if q}
+
+    def features(text):
+        w = [xxhash.xxh3_64_intdigest(x) for x in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", (text or "").encode().lower())]
+        return [x % 500 for x in w] + [mix64((a * 0x9E3779B97F4A7C15 + b) & M64) % 500 for a, b in zip(w, w[1:], strict=False)]
+
+    raw, target = Counter(x for _, t in data for x in features(t)), Counter(x for i, t in data if i in good for x in features(t))
+    ratio = [math.log((target[b] + 1) / (sum(target.values()) + 500)) - math.log((raw[b] + 1) / (sum(raw.values()) + 500)) for b in range(500)]
+    key_of = {(r["id"], r["text"]): r["rk"] for r in with_row_key(df, "doc_id", "text").collect()}
+    want = []
+    for i, t in data:
+        w = sum(ratio[b] for b in features(t))
+        u = ((mix64(((key_of[i, t or ""] & M64) + 4 * 0x9E3779B97F4A7C15) & M64) >> 11) + 0.5) / (1 << 53)
+        want.append((str(i), len(features(t)), round(w, 6), round(w - math.log(-math.log(u)), 6)))
+    assert sorted((str(r["id"]), r["n_features"], round(r["log_weight"], 6), round(r["gumbel_key"], 6)) for r in got) == sorted(want)
+    share = sum(q for _, q in labels) / len(labels)
+    bar = sorted((w[3] for w in want), reverse=True)[round(share * len(data)) - 1]
+    assert all(r["kept"] == (round(r["gumbel_key"], 6) >= bar) for r in got)
