@@ -61,7 +61,7 @@ def query(name: str, sql: str | None = None, views: str = MANIFEST_SQL):
     def register(f):
         QUERIES[name] = (lambda spark, sf: f(manifest(spark, sf))) if f.__code__.co_argcount == 1 else f
         if sql:
-            ORACLES[name] = f"WITH {views} {sql}" if views else sql
+            ORACLES[name] = f"WITH {views} {sql}" if views else f"WITH {sql}" if sql.startswith("RECURSIVE") else sql
         return f
 
     return register
@@ -314,12 +314,26 @@ def _(m):
     return sampling.round_robin(m.where("label = 1"), "model_name", 45, 7, "doc_id").select("doc_id")
 
 
-@query("g8_greedy_coverage")
+def _greedy_sql(rows: str, n: int) -> str:
+    """Shards one after another, each by most generators not covered yet, rows, name."""
+    return f"""RECURSIVE {MANIFEST_SQL}, pg AS (SELECT shard, count(*) AS n, list(DISTINCT model_name) FILTER (model_name IS NOT NULL) AS gs FROM m WHERE {rows} GROUP BY 1),
+s AS (SELECT 0 AS k, CAST([] AS VARCHAR[]) AS chosen, CAST([] AS VARCHAR[]) AS covered
+  UNION ALL
+  SELECT k + 1, list_append(chosen, best.c), list_concat(covered, best.g) FROM
+    (SELECT k, chosen, covered, min({{'a': -len(list_filter(gs, lambda g: NOT list_contains(covered, g))), 'b': -n, 'c': shard, 'g': gs}}) AS best
+     FROM s, pg WHERE k < {n} AND NOT list_contains(chosen, shard) GROUP BY k, chosen, covered))"""
+
+
+@query("g8_greedy_coverage", _greedy_sql("label = 0", 4) + " SELECT CAST(unnest(range(len(chosen))) AS INT) AS step, unnest(chosen) AS shard FROM s QUALIFY k = max(k) OVER ()", "")
 def _(m):
     return m.sparkSession.createDataFrame(list(enumerate(sampling.greedy_coverage(m.where("label = 0"), 4))), "step int, shard string")
 
 
-@query("g9_shard_plan")
+@query("g9_shard_plan", _greedy_sql("label = 1", 3) + """, f AS (SELECT unnest(chosen) AS shard FROM (SELECT chosen, k FROM s QUALIFY k = max(k) OVER ())),
+r AS (SELECT shard FROM m WHERE label = 0 GROUP BY 1 ORDER BY count(*) DESC, shard LIMIT 3),
+x AS (SELECT label, model_name FROM m WHERE (label = 1 AND shard IN (FROM f)) OR (label = 0 AND shard IN (FROM r)))
+SELECT (SELECT list(shard ORDER BY shard) FROM f) AS generated_shards, (SELECT list(shard ORDER BY shard) FROM r) AS authentic_shards, 2 * least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS n_images,
+count(DISTINCT model_name) FILTER (label = 1) AS n_generators, CAST(4.1 * (SELECT count(*) FROM (FROM f UNION FROM r)) AS DOUBLE) AS gb, '' AS note FROM x""", "")
 def _(m):
     return sampling.plan_shards(m, 3, None)
 
