@@ -7,6 +7,7 @@ Python operators only (see :mod:`lodestat.operators.detect`).
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -115,6 +116,174 @@ def _png(raw: bytes) -> np.ndarray:
     return on_white(pixels) if pixels.shape[2] == 4 else pixels
 
 
+# Order of a JPEG block's coefficients: along anti-diagonals, every second one upwards.
+ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else -(i // 8))))
+
+
+class _Bits:
+    """Bits of one stretch of entropy-coded data; beyond its end, zeros."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.word, self.held = data, 0, 0, 0
+
+    def peek16(self) -> int:
+        while self.held < 16:
+            self.word = (self.word << 8 | (self.data[self.at] if self.at < len(self.data) else 0)) & 0xFFFFFFFF
+            self.at, self.held = self.at + 1, self.held + 8
+        return self.word >> (self.held - 16) & 0xFFFF
+
+    def take(self, n: int) -> int:
+        if not n:
+            return 0
+        out = self.peek16() >> (16 - n)
+        self.held -= n
+        return out
+
+    def symbol(self, table: list[tuple[int, int]]) -> int:
+        n, value = table[self.peek16()]
+        if not n:
+            raise ValueError("a JPEG code that its table lacks")
+        self.held -= n
+        return value
+
+    def number(self, n: int) -> int:
+        """A signed number of n bits."""
+        x = self.take(n)
+        return x if not n or x >> (n - 1) else x - (1 << n) + 1
+
+
+def _codes(body: bytes) -> list[tuple[int, int]]:
+    """(length, symbol) of the code that each 16 bits start with."""
+    counts, symbols = body[:16], body[16:]
+    table, code, k = [(0, 0)] * 65536, 0, 0
+    for n, count in enumerate(counts, 1):
+        for _ in range(count):
+            table[code << (16 - n) : (code + 1) << (16 - n)] = [(n, symbols[k])] * (1 << (16 - n))
+            code, k = code + 1, k + 1
+        code <<= 1
+    return table
+
+
+def _orientation(exif: bytes) -> int:
+    """The orientation that a camera has noted, 1 if none."""
+    tiff = exif[6:]
+    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+    if exif[:4] != b"Exif" or order is None:
+        return 1
+    number = lambda a, n: int.from_bytes(tiff[a : a + n], order)
+    at = number(4, 4)
+    for k in range(number(at, 2)):
+        entry = at + 2 + 12 * k
+        if number(entry, 2) == 0x112:
+            return number(entry + 8, 2)
+    return 1
+
+
+def upright(image: np.ndarray, orientation: int) -> np.ndarray:
+    """The image as it was seen: 2 to 4 are mirrored or turned over, 5 to 8 also transposed."""
+    k = orientation - 1 if 1 <= orientation <= 8 else 0
+    if k >= 4:
+        image, k = image.swapaxes(0, 1), k - 4
+    down, across = k in (2, 3), k in (1, 2)
+    return np.ascontiguousarray(image[:: -1 if down else 1, :: -1 if across else 1])
+
+
+def _jpeg_file(raw: bytes) -> np.ndarray:
+    """Baseline and extended sequential JPEG of 8 bits: grey, YCbCr, RGB, CMYK."""
+    at, tables, quant, parts, order, restart, adobe, turn = 2, {}, {}, {}, [], 0, None, 1
+    while at + 4 <= len(raw):
+        if raw[at] != 0xFF or raw[at + 1] == 0xFF:
+            at += 1
+            continue
+        kind, size = raw[at + 1], int.from_bytes(raw[at + 2 : at + 4], "big")
+        if kind == 0xD9:
+            break
+        body = raw[at + 4 : at + 2 + size]
+        at += 2 + size
+        if kind == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(float)
+                body = body[65 + 64 * wide :]
+        elif kind == 0xC4:
+            while body:
+                n = 17 + sum(body[1:17])
+                tables[body[0]] = _codes(body[1:n])
+                body = body[n:]
+        elif kind in (0xC0, 0xC1):
+            h, w = struct.unpack(">HH", body[1:5])
+            if body[0] != 8 or not h or not w:
+                raise ValueError("only JPEG of 8 bits and stated size is read")
+            spec = [tuple(body[6 + 3 * i : 9 + 3 * i]) for i in range(body[5])]
+            order = [i for i, _, _ in spec]
+            tall, broad = max(s & 15 for _, s, _ in spec), max(s >> 4 for _, s, _ in spec)
+            rows, columns = -(-h // (8 * tall)), -(-w // (8 * broad))
+            parts = {i: [s & 15, s >> 4, q, np.zeros((rows * (s & 15), columns * (s >> 4), 64))] for i, s, q in spec}
+        elif 0xC2 <= kind <= 0xCF and kind != 0xCC:
+            raise ValueError("only sequential Huffman JPEG is read")
+        elif kind == 0xDD:
+            restart = int.from_bytes(body[:2], "big")
+        elif kind == 0xEE and body[:5] == b"Adobe":
+            adobe = body[11]
+        elif kind == 0xE1:
+            turn = _orientation(body)
+        elif kind == 0xDA:
+            end = at
+            while end + 1 < len(raw) and not (raw[end] == 0xFF and raw[end + 1] != 0 and not 0xD0 <= raw[end + 1] <= 0xD7):
+                end += 1
+            chosen = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+            if len(chosen) == 1:
+                i, t = chosen[0]
+                a, b = parts[i][:2]
+                units = [[(i, t, y, x)] for y in range(-(-(-(-h * a // tall)) // 8)) for x in range(-(-(-(-w * b // broad)) // 8))]
+            else:
+                blocks = [(i, t, y, x) for i, t in chosen for y in range(parts[i][0]) for x in range(parts[i][1])]
+                units = [[(i, t, r * parts[i][0] + y, c * parts[i][1] + x) for i, t, y, x in blocks] for r in range(rows) for c in range(columns)]
+            stretches = re.split(rb"\xff[\xd0-\xd7]", raw[at:end]) if restart else [raw[at:end]]
+            step = restart or len(units)
+            for k, data in enumerate(stretches):
+                bits, last = _Bits(data.replace(b"\xff\0", b"\xff")), dict.fromkeys(parts, 0)
+                for i, t, y, x in (b for unit in units[k * step : (k + 1) * step] for b in unit):
+                    block = parts[i][3][y, x]
+                    last[i] += bits.number(bits.symbol(tables[t >> 4]))
+                    block[0] = last[i]
+                    z, ac = 1, tables[16 + (t & 15)]
+                    while z < 64:
+                        s = bits.symbol(ac)
+                        if not s & 15:
+                            if s != 0xF0:
+                                break
+                            z += 16
+                            continue
+                        z += s >> 4
+                        if z > 63:
+                            raise ValueError("a JPEG block of more than 64 numbers")
+                        block[z] = bits.number(s & 15)
+                        z += 1
+            at = end
+    if not parts:
+        raise ValueError("a JPEG without an image")
+    planes = []
+    for i in order:
+        a, b, q, blocks = parts[i]
+        square = np.zeros(blocks.shape)
+        square[..., ZIGZAG] = blocks * quant[q]
+        plane = DCT.T @ square.reshape(*blocks.shape[:2], 8, 8) @ DCT + 128
+        plane = _bytes(plane.swapaxes(1, 2).reshape(8 * blocks.shape[0], -1))
+        planes.append(np.repeat(np.repeat(plane, tall // a, axis=0), broad // b, axis=1)[:h, :w].astype(float))
+    if len(planes) == 1:
+        rgb = np.stack(planes * 3, axis=2)
+    else:
+        rgb = np.stack(planes[:3], axis=2)
+        if adobe != 0 and (len(planes) == 3 or adobe == 2):
+            y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+            rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+        if len(planes) == 4:  # inks; Adobe's files hold them inverted
+            ink = np.clip(rgb, 0, 255), planes[3][..., None]
+            rgb = ink[0] * ink[1] / 255 if adobe is not None else (255 - ink[0]) * (255 - ink[1]) / 255
+    return upright(_bytes(rgb), turn)
+
+
 def encode_png(image: np.ndarray) -> bytes:
     h, w = image.shape[:2]
     lines = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, -1)], axis=1).tobytes()
@@ -132,6 +301,8 @@ def load(raw: bytes | None) -> tuple[np.ndarray | None, str | None]:
         raw = bytes(raw)
         if raw[:4] == b"\x89PNG":
             return _png(raw), None
+        if raw[:2] == b"\xff\xd8":
+            return _jpeg_file(raw), None
         if raw[:2] == b"P6":
             w, h = (int(x) for x in raw.split(maxsplit=4)[1:3])
             return np.frombuffer(raw[-w * h * 3 :], np.uint8).reshape(h, w, 3).copy(), None

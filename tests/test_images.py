@@ -104,3 +104,90 @@ def test_png_filters():
     raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
     back, error = I.load(raw)
     assert error is None and (back == image).all()
+
+
+def as_jpeg(image, halved=(1, 1), restart=0, extra=b"", grey=False):
+    """A baseline JPEG with plain codes: symbol k of each table is k + 1 in 8 bits."""
+    dc, ac = list(range(12)), [0, *(r << 4 | s for r in range(16) for s in range(1, 11)), 0xF0]
+    x = image.astype(float)
+    y = x @ I.LUMA
+    planes = [y] if grey else [y, (x[..., 2] - y) / 1.772 + 128, (x[..., 0] - y) / 1.402 + 128]
+    (a, b), (h, w) = halved, y.shape
+    rows, columns = -(-h // (8 * a)), -(-w // (8 * b))
+    blocks = []
+    for k, p in enumerate(planes):
+        p = np.pad(p, ((0, rows * 8 * a - h), (0, columns * 8 * b - w)), mode="edge")
+        if k:
+            p = p.reshape(rows * 8, a, columns * 8, b).mean(axis=(1, 3))
+        c = (p - 128).reshape(p.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+        blocks.append(np.rint(I.DCT @ c @ I.DCT.T).astype(int).reshape(*c.shape[:2], 64)[..., I.ZIGZAG])
+    bits, out, last = [], b"", [0] * 3
+
+    def put(value, n):
+        bits.append(format(value, f"0{n}b") if n else "")
+
+    def number(v, table, run=0):
+        n = abs(v).bit_length()
+        put(table.index(run << 4 | n) + 1, 8)
+        put(v if v >= 0 else v + (1 << n) - 1, n)
+
+    def flush():
+        text = "".join(bits)
+        bits.clear()
+        text += "1" * (-len(text) % 8)
+        return int(text or "0", 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    for m in range(rows * columns):
+        if restart and m and m % restart == 0:
+            out += flush() + bytes([0xFF, 0xD0 + (m // restart - 1) % 8])
+            last = [0] * 3
+        r, c = divmod(m, columns)
+        for k in range(len(planes)):
+            u, v = (a, b) if k == 0 else (1, 1)
+            for block in (blocks[k][r * u + i, c * v + j] for i in range(u) for j in range(v)):
+                number(int(block[0]) - last[k], dc)
+                last[k], run = int(block[0]), 0
+                for z in block[1:].tolist():
+                    if not z:
+                        run += 1
+                        continue
+                    while run > 15:
+                        put(ac.index(0xF0) + 1, 8)
+                        run -= 16
+                    number(z, ac, run)
+                    run = 0
+                if run:
+                    put(ac.index(0) + 1, 8)
+    out += flush()
+    part = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    codes = lambda t, s: bytes([t]) + bytes([0] * 7 + [len(s) + 1] + [0] * 8) + bytes([0, *s])  # noqa: E731  code 0 is not used
+    n = len(planes)
+    frame = struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes([k + 1, (b << 4 | a) if k == 0 else 0x11, 0]) for k in range(n))
+    scan = bytes([n]) + b"".join(bytes([k + 1, 0]) for k in range(n)) + bytes([0, 63, 0])
+    interval = part(0xDD, struct.pack(">H", restart)) if restart else b""
+    return b"\xff\xd8" + extra + part(0xDB, bytes([0]) + bytes([1] * 64)) + part(0xC0, frame) + part(0xC4, codes(0, dc)) + part(0xC4, codes(16, ac)) + interval + part(0xDA, scan) + out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("size", [(1, 1), (8, 8), (17, 30)])
+def test_jpeg_files_are_read(size):
+    y, x = np.mgrid[: size[0], : size[1]]
+    image = np.stack([x * 7 % 256, y * 11 % 256, (x + y) * 5 % 256], axis=2).astype(np.uint8)
+    for settings in ({}, {"restart": 2}):
+        back, error = I.load(as_jpeg(image, **settings))
+        assert error is None and back.shape == image.shape and np.abs(back.astype(int) - image).max() <= 3
+    half, _ = I.load(as_jpeg(image, (2, 2)))
+    assert half.shape == image.shape and np.abs((half.astype(float) - image) @ I.LUMA).mean() < 12
+    grey, _ = I.load(as_jpeg(image, grey=True))
+    assert (grey[..., 0] == grey[..., 2]).all() and np.abs(grey[..., 0] - image @ I.LUMA).max() <= 2
+    assert I.header(as_jpeg(image)) == ("JPEG", size[1], size[0])
+
+
+def test_jpeg_orientation_and_bad_files():
+    image = picture(9, 20)
+    exif = lambda k: b"Exif\0\0MM\0*" + struct.pack(">IHHHIHH", 8, 1, 0x112, 3, 1, k, 0)
+    plain, _ = I.load(as_jpeg(image))
+    for k, turned in ((1, plain), (2, plain[:, ::-1]), (3, plain[::-1, ::-1]), (4, plain[::-1]), (5, plain.swapaxes(0, 1)), (6, np.rot90(plain, -1)), (8, np.rot90(plain))):
+        body = exif(k)
+        got, error = I.load(as_jpeg(image, extra=b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body))
+        assert error is None and got.shape == turned.shape and (got == turned).all(), k
+    assert I.load(b"\xff\xd8\xff\xd9")[1] and I.load(as_jpeg(image)[:60])[1] and I.load(as_jpeg(image).replace(b"\xff\xc0", b"\xff\xc2"))[1]
