@@ -9,6 +9,12 @@ it kept. The first four return the columns of ``documents``:
 3. n-gram Jaccard join: one row of each group of near-duplicates stays;
 4. decontamination: rows with any benchmark window go;
 5. byte-level BPE: the tokens of what is left, and their decoded bytes, as digests.
+
+Null texts count as empty and stay null; they and empty texts are never toxic copies
+or leaks, so they pass all stages. Null ids come before all others. Of rows equal in
+id and text one stays (stage 3); equal texts under different ids are near-duplicates,
+of which the smallest id stays. Texts of any length are read whole. Other columns,
+whatever their names, go along until the last stage; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -25,13 +31,16 @@ from lodestat.session import ship_package
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, score_col="toxicity score").where(F.col("toxicity score") < 0.5).drop("toxicity score")
+    name = "toxicity score"
+    while name in docs.columns:
+        name += "'"
+    return toxicity.score(docs, model, score_col=name).where(F.col(name) < 0.5).drop(name)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_repeated_lines(docs, min_run=2, carry=True, long_words=50).where("n_removed = 0 or n_removed < n_lines")
     kept = carried(out, docs.columns, "text", F.col("kept"))
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
