@@ -30,9 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType
 
-from .common import Staged, gather, hash64, key_ranges, pack, prepare, quoted, slices, trimmed, unpack
+from .common import Staged, gather, hash64, key_ranges, pack, prepare, quoted, slices, trimmed, unpack, with_column
 
 _CUT = re.compile(r"(?= \S)")
 _IRREGULAR = re.compile(r" (?:\s|$)")
@@ -248,9 +248,9 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids_le") -> DataFrame
         for batch in batches:
             for part in slices(batch, at):
                 text = [None if b is None else shared.value.decode(np.frombuffer(b, "<u4")) for b in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.binary())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.binary())], names=[*part.schema.names, "new"])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", BinaryType())]))
+    return with_column(df, run, "decoded", BinaryType())
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

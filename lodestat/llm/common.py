@@ -25,7 +25,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..session import ship_package
 
@@ -33,7 +33,6 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of one batch on its way to a Python worker, and of the texts that are worked on at once.
 BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_NULL = "text was null"
 _packers: dict[int, zstandard.ZstdCompressor] = {}
 _unpacker = zstandard.ZstdDecompressor()
 _roots: dict[str, tuple[SparkSession, str]] = {}
@@ -149,9 +148,10 @@ def quoted(name: str):
 def with_row_key(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """``id, text, rk, rh``: rk and rh (96 bits) name a row by its id and text.
     Never null; rows equal in both share a key and so get equal results. carry
-    adds ``row``, a struct of all columns but the text, whatever their names."""
+    adds ``row``, a struct of all columns but the text, by their place, and whether the
+    text was null."""
     i, t = quoted(id_col), F.coalesce(quoted(text_col), F.lit(""))
-    rest = [F.struct(*(quoted(c) for c in df.columns if c != text_col), quoted(text_col).isNull().alias(_NULL)).alias("row")] if carry else []
+    rest = [F.struct(*(quoted(c).alias(f"c{k}") for k, c in enumerate(df.columns) if c != text_col), quoted(text_col).isNull().alias("null")).alias("row")] if carry else []
     keys = [F.xxhash64("id", "text").alias("rk"), F.hash("text", "id").alias("rh")]
     return df.select(i.alias("id"), t.alias("text"), *rest).select("*", *keys)
 
@@ -161,11 +161,19 @@ def fields(df: DataFrame, columns: list[str], more: str) -> StructType:
     return StructType([*(df.schema[c] for c in columns), *StructType.fromDDL(more)])
 
 
+def with_column(df: DataFrame, run, name: str, kind) -> DataFrame:
+    """df.mapInArrow by a function that appends a column ``new`` of this type, whatever
+    the names of the others (they are numbered on the way)."""
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    schema = StructType([*(StructField(c, f.dataType) for c, f in zip(plain, df.schema, strict=True)), StructField("new", kind)])
+    return df.toDF(*plain).mapInArrow(run, schema).toDF(*df.columns, name)
+
+
 def carried(df: DataFrame, columns: list[str], text_col: str, text) -> DataFrame:
     """The rows that ``with_row_key`` carried, as they came, with this text (null
     where it was null)."""
-    text = F.when(~F.col("row")[_NULL], text)
-    return df.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns))
+    text = F.when(~F.col("row")["null"], text)
+    return df.select(*(text.alias(c) if c == text_col else F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(columns)))
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

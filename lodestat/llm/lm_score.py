@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fetch, key_ranges, mix, pack, texts_of, trimmed, unpack, Lexicon, Staged
+from .common import fetch, key_ranges, mix, pack, quoted, texts_of, trimmed, unpack, Lexicon, Staged
 
 _END = b"\n"  # no word holds a white space
 #: Bits of a bigram's hash; of 10**9 different bigrams, a few thousand share one.
@@ -216,7 +216,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of
     every text; the model learns from rows whose crc32(id) mod ``modulus`` is
     not ``remainder``. base_score is the unigram's log10, score the mixture's."""
-    src = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    src = df.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     src = src.withColumn("held_out", F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % modulus == remainder, F.lit(False)))
     kind = src.schema["id"].dataType.simpleString()
     ranges = key_ranges(src)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, texts_of, trimmed, with_row_key, Lexicon, Staged
+from .common import mix, quoted, texts_of, trimmed, with_row_key, Lexicon, Staged
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+")
 
@@ -97,7 +97,7 @@ def resample(
     spark = df.sparkSession
     texts = with_row_key(df, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
-    judged = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).where("id is not null and y is not null")
+    judged = labels.select(quoted(id_col).alias("id"), quoted(label_col).alias("y")).where("id is not null and y is not null")
     if fraction is None:
         fraction = judged.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
         fraction = 0.5 if fraction is None else fraction

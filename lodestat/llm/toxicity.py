@@ -13,8 +13,9 @@ that the model itself points at, and a logistic fit maps the worst segment's
 margin to the probability of label 1.
 
 Training reads at most ``max_per_class`` rows of label 0 and half as many of label
-1 (smallest hash of the id) with at most ``max_train_words`` words; scoring reads every whole
-text. What is broadcast is one number for each bucket.
+1 (smallest hash of the id); of these, texts of more than ``max_train_words`` words (or 12
+times as many characters) are left out of training and not replaced. Scoring reads every whole
+text, in slices bounded by bytes, so that long texts need no more memory than short ones. What is broadcast is one number for each bucket.
 
 Null and empty texts get the score of a segment without words. Rows with a null
 label or id don't train; with fewer than two classes, every score is the smoothed
@@ -23,14 +24,17 @@ share of label 1. Repeated rows score alike. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import Lexicon, mix
+from .common import Lexicon, gather, mix, prepare, quoted, slices, trim, trimmed, with_column
 from .decontaminate import WORD_BYTES
 
 
@@ -88,70 +92,92 @@ def _starts(n: int, segment: int) -> np.ndarray:
     return np.arange(k) * n // k
 
 
-class _Corpus:
-    """Segments of the training texts as word numbers; words as buckets."""
+class _Segments:
+    """Segments of some texts, as word numbers end to end."""
 
-    def __init__(self, texts: list[list[bytes]], segment: int, bits: int, min_docs: int):
-        number: dict[bytes, int] = {}
-        codes = [_unrepeated(np.array([number.setdefault(w, len(number)) for w in t], np.int64)) for t in texts]
-        self.n_words = len(number)
-        owner, bucket = subwords(list(number), bits)
+    def __init__(self, codes: list[np.ndarray], segment: int):
+        starts = [_starts(len(c), segment) for c in codes]
+        self.word = np.concatenate(codes)
+        self.doc = np.repeat(np.arange(len(codes)), [len(s) for s in starts])
+        self.lens = np.concatenate([np.diff(np.append(s, len(c))) for c, s in zip(codes, starts, strict=True)])
+        self.start = np.cumsum(self.lens) - self.lens
+        self.fill = np.maximum(segment / np.maximum(self.lens, 1), 1)  # a short text counts as filled up
+        self.n_docs = len(codes)
+
+    def sizes(self, per_word: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(per_word[self.word], self.start) * self.fill
+
+    def worst(self, margin: np.ndarray) -> np.ndarray:
+        out = np.full(self.n_docs, -np.inf)
+        np.maximum.at(out, self.doc, margin)
+        return out
+
+
+class _Features:
+    """The features of each word that ``min_docs`` training texts or more hold; what
+    fewer hold can only be learned by heart."""
+
+    def __init__(self, vocabulary: list[bytes], codes: list[np.ndarray], bits: int, min_docs: int):
+        self.n_words = len(vocabulary)
+        owner, bucket = subwords(vocabulary, bits)
         self.per_word = np.bincount(owner, minlength=self.n_words).astype(float)
         order = np.argsort(owner, kind="stable")
         owner, bucket = owner[order], bucket[order]
+        del order
         first = np.searchsorted(owner, np.arange(self.n_words + 1))
-        docs = np.zeros(1 << bits, np.int64)
+        docs = np.zeros(1 << bits, np.int32)
         for c in codes:
             own = np.unique(c)
-            docs[np.unique(bucket[np.concatenate([np.arange(first[i], first[i + 1]) for i in own.tolist()])])] += 1
-        common = docs[bucket] >= min_docs  # what few texts hold can only be learned by heart
-        self.owner, self.bucket = owner[common], bucket[common]
-        starts = [_starts(len(c), segment) for c in codes]
-        self.doc = np.repeat(np.arange(len(codes)), [len(s) for s in starts])
-        self.word = np.concatenate(codes)
-        lens = np.concatenate([np.diff(np.append(s, len(c))) for c, s in zip(codes, starts, strict=True)])
-        self.seg = np.repeat(np.arange(len(lens)), lens)
-        self.n_seg = len(lens)
-        self.size = np.maximum(np.bincount(self.seg, weights=self.per_word[self.word], minlength=self.n_seg) * np.maximum(segment / np.maximum(lens, 1), 1), 1)
+            docs[np.unique(gather(bucket, first[:-1], np.diff(first), own))] += 1
+        common = docs[bucket] >= min_docs
+        self.owner = owner[common]
+        self.used, self.bucket = np.unique(bucket[common], return_inverse=True)
+
+    def by_word(self, value: np.ndarray) -> np.ndarray:
+        """Sum of a number for each used bucket over the features of each word."""
+        return np.bincount(self.owner, weights=value[self.bucket], minlength=self.n_words)
 
 
-def train(texts: list[list[bytes]], y: np.ndarray, positive_share: float, bits: int = 18, dim: int = 4, segment: int = 8, rounds: int = 2, steps: int = 60, min_docs: int = 5, seed: int = 0) -> Model:
-    """Every fourth text is set aside to choose where training stops, and to
+def train(codes: list[np.ndarray], vocabulary: list[bytes], y: np.ndarray, positive_share: float, bits: int = 18, dim: int = 4, segment: int = 8, rounds: int = 2, steps: int = 60, min_docs: int = 5, seed: int = 0) -> Model:
+    """A model from texts as numbers of their words in ``vocabulary``, none of them
+    empty. Every fourth text is set aside to choose where training stops, and to
     calibrate the probability."""
     rng = np.random.default_rng(seed)
     aside = np.arange(len(y)) % 4 == 3
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
         aside[:] = False
-    c = _Corpus([t for t, a in zip(texts, aside, strict=True) if not a], segment, bits, min(min_docs, 1 + len(y) // 50))
-    every, y = y, y[~aside]
-    used, bucket = np.unique(c.bucket, return_inverse=True)
-    emb = rng.normal(0, 0.1, (dim, len(used)))
+    codes = [_unrepeated(c) for c in codes]
+    taught = [x for x, a in zip(codes, aside, strict=True) if not a]
+    c, f = _Segments(taught, segment), _Features(vocabulary, taught, bits, min(min_docs, 1 + len(y) // 50))
+    judged, truth = (_Segments([x for x, a in zip(codes, aside, strict=True) if a], segment), y[aside]) if aside.any() else (c, y)
+    y = y[~aside]
+    n_seg, size_of = len(c.lens), np.maximum(c.sizes(f.per_word), 1)
+    judged_size = np.maximum(judged.sizes(f.per_word), 1)
+    seg = np.repeat(np.arange(n_seg), c.lens)
+    emb = rng.normal(0, 0.1, (dim, len(f.used)))
     soft, bias = rng.normal(0, 1, (dim, 2)), np.zeros(2)
     params = [emb, soft, bias]
     rate = (1.0, 0.05, 0.05)
-    seen = np.bincount(bucket, weights=np.bincount(c.word, minlength=c.n_words)[c.owner], minlength=len(used))
+    seen = np.bincount(f.bucket, weights=np.bincount(c.word, minlength=f.n_words)[f.owner], minlength=len(f.used))
     scale = 1 / np.sqrt(np.maximum(seen, 1))  # common features stand in every segment and move least
 
     def forward():
-        by_word = [np.bincount(c.owner, weights=e[bucket], minlength=c.n_words) for e in emb]
-        return np.array([np.bincount(c.seg, weights=w[c.word], minlength=c.n_seg) for w in by_word]) / c.size
+        return np.array([np.add.reduceat(f.by_word(e)[c.word], c.start) for e in emb]) / size_of
 
-    test = np.flatnonzero(aside) if aside.any() else np.arange(len(every))
-    judged, truth = [texts[i] for i in test], every[test]
     found: list[tuple[float, Model]] = []
 
     def snapshot():
         """The model so far, if it gives the texts set aside the best loss."""
-        scalar = np.zeros(1 << bits)
-        scalar[used] = (soft[:, 1] - soft[:, 0]) @ emb
-        model = Model(scalar.astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0, bits, segment)
-        z = margins(model, judged)
-        model.slope, model.shift = _calibrate(z, truth, positive_share)
-        gap = model.slope * z + model.shift
+        scalar, b = (soft[:, 1] - soft[:, 0]) @ emb, float(bias[1] - bias[0])
+        z = judged.worst(np.add.reduceat(f.by_word(scalar)[judged.word], judged.start) / judged_size + b)
+        slope, shift = _calibrate(z, truth, positive_share)
+        gap = slope * z + shift
         share = np.where(truth == 1, positive_share / max(truth.sum(), 1), (1 - positive_share) / max((truth == 0).sum(), 1))
         loss = float((share * np.logaddexp(0, np.where(truth == 1, -gap, gap))).sum())
         if not found or loss < found[0][0]:
-            found[:] = [(loss, model)]
+            weight = np.zeros(1 << bits, np.float32)
+            weight[f.used] = scalar
+            found[:] = [(loss, Model(weight, b, slope, shift, bits, segment))]
 
     label = y[c.doc].astype(float)
     weight = 1 / np.bincount(c.doc, minlength=len(y))[c.doc]
@@ -177,8 +203,8 @@ def train(texts: list[list[bytes]], y: np.ndarray, positive_share: float, bits:
             kept = [x.copy() for x in params]
             g = weight * (_sigmoid(gap) - label)
             g2 = np.stack([-g, g], axis=1)
-            d_seg = (g2 @ soft.T).T / c.size
-            d_emb = np.array([np.bincount(bucket, weights=np.bincount(c.word, weights=d[c.seg], minlength=c.n_words)[c.owner], minlength=len(used)) for d in d_seg]) * scale
+            d_seg = (g2 @ soft.T).T / size_of
+            d_emb = np.array([np.bincount(f.bucket, weights=np.bincount(c.word, weights=d[seg], minlength=f.n_words)[f.owner], minlength=len(f.used)) for d in d_seg]) * scale
             downhill = (d_emb, mean @ g2, g2.sum(axis=0))
             if unit is None:  # the first steps have the lengths in rate; later ones follow the gradient
                 unit = [r / max(np.abs(d).max(), 1e-12) for r, d in zip(rate, downhill, strict=True)]
@@ -188,9 +214,7 @@ def train(texts: list[list[bytes]], y: np.ndarray, positive_share: float, bits:
                 params[i] -= size * unit[i] * pace[i]
         logits = forward().T @ soft + bias
         margin = logits[:, 1] - logits[:, 0]
-        worst = np.full(len(y), -np.inf)
-        np.maximum.at(worst, c.doc, margin)
-        pointed = (y[c.doc] == 1) & ((margin >= worst[c.doc]) | (margin > 0))
+        pointed = (y[c.doc] == 1) & ((margin >= c.worst(margin)[c.doc]) | (margin > 0))
         weight = np.where(y[c.doc] == 1, pointed.astype(float), 1.0)
         snapshot()
     return found[0][1]
@@ -211,29 +235,48 @@ def _calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float
     return slope, float(a[1] - a[0] * center / scale)
 
 
-def margins(model: Model, split: list[list[bytes]]) -> np.ndarray:
-    """The margin of the worst segment of each text, given as words."""
-    distinct: dict[bytes, int] = {}
-    codes = [_unrepeated(np.fromiter((distinct.setdefault(w, len(distinct)) for w in t), np.int64, len(t))) for t in split]
-    margin = np.full(len(split), model.bias)
-    if distinct:
-        owner, bucket = subwords(list(distinct), model.bits)
-        total = np.bincount(owner, weights=model.weight[bucket], minlength=len(distinct))
-        size = np.bincount(owner, minlength=len(distinct)).astype(float)
+class Scorer:
+    """Scores texts by a model. Each distinct word is looked up once; what is known of
+    words starts again beyond ``limit`` of them, so that memory is bounded."""
+
+    def __init__(self, model: Model, limit: int = 200_000):
+        self.model, self.limit = model, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.total, self.size = np.empty(0), np.empty(0)
+
+    def _codes(self, split: list[list[bytes]]) -> list[np.ndarray]:
+        if len(self.number) > self.limit:
+            self.forget()
+        codes = [_unrepeated(np.fromiter(map(self.number.__getitem__, t), np.int64, len(t))) for t in split]
+        fresh = list(islice(reversed(self.number), len(self.number) - len(self.total)))[::-1]
+        if fresh:
+            owner, bucket = subwords(fresh, self.model.bits)
+            self.total = np.concatenate([self.total, np.bincount(owner, weights=self.model.weight[bucket], minlength=len(fresh))])
+            self.size = np.concatenate([self.size, np.bincount(owner, minlength=len(fresh)).astype(float)])
+        return codes
+
+    def margins(self, split: list[list[bytes]]) -> np.ndarray:
+        """The margin of the worst segment of each text, given as words."""
+        model, codes = self.model, self._codes(split)
+        margin = np.full(len(split), model.bias)
         own = [i for i, c in enumerate(codes) if len(c)]
-        flat, n = np.concatenate([codes[i] for i in own]), np.array([len(codes[i]) for i in own])
-        first = np.cumsum(n) - n
-        starts = [a + _starts(k, model.segment) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-        text = np.cumsum([0, *(len(x) for x in starts)])[:-1]
-        starts = np.concatenate(starts)
-        lens = np.diff(np.append(starts, len(flat)))
-        value = np.add.reduceat(total[flat], starts) / (np.add.reduceat(size[flat], starts) * np.maximum(model.segment / lens, 1)) + model.bias
-        margin[own] = np.maximum.reduceat(value, text)
-    return margin
-
+        if own:
+            flat, n = np.concatenate([codes[i] for i in own]), np.array([len(codes[i]) for i in own])
+            first = np.cumsum(n) - n
+            starts = [a + _starts(k, model.segment) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+            text = np.cumsum([0, *(len(x) for x in starts)])[:-1]
+            starts = np.concatenate(starts)
+            lens = np.diff(np.append(starts, len(flat)))
+            value = np.add.reduceat(self.total[flat], starts) / (np.add.reduceat(self.size[flat], starts) * np.maximum(model.segment / lens, 1)) + model.bias
+            margin[own] = np.maximum.reduceat(value, text)
+        return margin
 
-def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
-    return _sigmoid(model.slope * margins(model, [words_of(t) for t in texts]) + model.shift)
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return _sigmoid(self.model.slope * self.margins([words_of(t) for t in texts]) + self.model.shift)
 
 
 def fit(
@@ -242,7 +285,7 @@ def fit(
 ) -> Model | float:
     """A model from labelled rows whose crc32(id) mod ``modulus`` is not 0, or the
     share of label 1 if there aren't two classes."""
-    y = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    y = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
     y = y.where(F.crc32(F.col("id").cast("string").cast("binary")) % modulus != 0)
     count = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
     share = (count.get(1, 0) + 0.5) / (sum(count.values()) + 1)
@@ -250,29 +293,35 @@ def fit(
         return share
     order = [F.xxhash64("id", F.lit(seed)), F.col("id")]
     picked = y.where("y = 0").orderBy(*order).limit(max_per_class).unionByName(y.where("y = 1").orderBy(*order).limit(max_per_class // 2))
-    text = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") <= 12 * max_train_words)
-    rows = [(words_of(r["text"]), r["y"], r["id"]) for r in text.join(F.broadcast(picked), "id").collect()]  # 1.5 * max_per_class at most
-    rows = sorted((r for r in rows if 0 < len(r[0]) <= max_train_words), key=lambda r: str(r[2]))
+    text = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where(F.length("text") <= 12 * max_train_words)
+    number: dict[bytes, int] = {}
+    rows = []
+    for r in text.join(F.broadcast(picked), "id").collect():  # 1.5 * max_per_class at most
+        words = words_of(r["text"])
+        if 0 < len(words) <= max_train_words:
+            rows.append((str(r["id"]), int(r["y"]), np.array([number.setdefault(w, len(number)) for w in words], np.int32)))
+    rows.sort(key=lambda r: (r[0], len(r[2])))
     if len({r[1] for r in rows}) < 2:
         return share
-    return train([r[0] for r in rows], np.array([r[1] for r in rows]), share, seed=seed)
+    trim()
+    return train([r[2] for r in rows], list(number), np.array([r[1] for r in rows]), share, seed=seed)
 
 
 def score(df: DataFrame, model: Model | float, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Every row with its score in a last column, ``score_col``."""
     if score_col in df.columns:
         raise ValueError(f"the rows have a column {score_col} already; name another score_col")
+    prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
+    @trimmed
     def run(batches):
-        model = shared.value
+        scorer = None if isinstance(shared.value, float) else Scorer(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, at, 1 << 20):
                 texts = part.column(at).to_pylist()
-                s = np.full(len(texts), model) if isinstance(model, float) else score_texts(model, texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*part.schema.names, score_col])
+                s = np.full(len(texts), shared.value) if scorer is None else scorer.scores(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*part.schema.names, "new"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*fields, f"`{score_col}` double"]))
+    return with_column(df, run, score_col, DoubleType())

@@ -43,3 +43,28 @@ def test_stages_take_effect_and_keep_clean_rows(spark, tmp_path):
 def test_registered_once_each():
     names = list(__spark_entry__.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, `toxicity score` double, `text was null` boolean, row int, kept string, rk long, spans string, `a``b` string, decoded binary"
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark, tmp_path):
+    root = str(tmp_path)
+    write(spark, root, "labels", [(i, 1, int(i % 2)) for i in range(40)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    write(spark, root, "benchmark", [(None, None), (None, "")], "item_id long, text string")
+    extra = (0.5, True, 1, "k", 2, "s", "t", None)
+    texts = [(i, f"word{i} other{i % 3} {'vexhorr' if i % 2 else 'fine'} tail{i * 7}") for i in range(40)]
+    rows = [(i, t, "en", "s", len(t), *extra) for i, t in texts] + [(100, None, None, None, None, *[None] * 8), (100, None, None, None, None, *[None] * 8), (None, "", None, None, 0, *extra), (101, "long word " * 20000, "en", "s", 200000, *extra)]
+    for name, some in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(some, CLASHES)
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, root)
+            out.write.parquet(f"{root}/{name}{k}")
+            out = spark.read.parquet(f"{root}/{name}{k}")
+            if k < 4:
+                assert out.columns == docs.columns, stage_name
+                docs = out
+            if some and k < 4:
+                left = {(r["doc_id"], r["text"] is None) for r in out.collect()}
+                assert {(100, True), (None, False), (101, False)} <= left, stage_name
+        assert out.count() == (docs.count() if some else 0)
