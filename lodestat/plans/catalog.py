@@ -332,10 +332,11 @@ def _(m):
 @query("g9_shard_plan", _greedy_sql("label = 1", 3) + """, f AS (SELECT unnest(chosen) AS shard FROM (SELECT chosen, k FROM s QUALIFY k = max(k) OVER ())),
 r AS (SELECT shard FROM m WHERE label = 0 GROUP BY 1 ORDER BY count(*) DESC, shard LIMIT 3),
 x AS (SELECT label, model_name FROM m WHERE (label = 1 AND shard IN (FROM f)) OR (label = 0 AND shard IN (FROM r)))
-SELECT (SELECT list(shard ORDER BY shard) FROM f) AS generated_shards, (SELECT list(shard ORDER BY shard) FROM r) AS authentic_shards, 2 * least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS n_images,
+SELECT (SELECT string_agg(shard, ',' ORDER BY shard) FROM f) AS generated_shards, (SELECT string_agg(shard, ',' ORDER BY shard) FROM r) AS authentic_shards, 2 * least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS n_images,
 count(DISTINCT model_name) FILTER (label = 1) AS n_generators, CAST(4.1 * (SELECT count(*) FROM (FROM f UNION FROM r)) AS DOUBLE) AS gb, '' AS note FROM x""", "")
 def _(m):
-    return sampling.plan_shards(m, 3, None)
+    plan = sampling.plan_shards(m, 3, None)
+    return plan.withColumns({c: F.array_join(c, ",") for c in ("generated_shards", "authentic_shards")})
 
 
 SIDE_SQL = "CASE WHEN CAST(concat('0x', substr(sha256(CASE WHEN label = 1 THEN concat('0:generator:', model_name) ELSE concat('0:row:', shard, '#', row_in_shard) END), 1, 16)) AS UBIGINT) < {}::UBIGINT THEN 'test' ELSE 'train' END"
