@@ -17,44 +17,47 @@ from pyspark.sql import functions as F
 FPR_TARGETS = (0.01, 0.05, 0.10)
 
 
+def _scored(score: str) -> Column:
+    s = F.col(score).cast("double")
+    return s.isNotNull() & ~F.isnan(s)
+
+
 def roc_points(df: DataFrame, keys: Sequence[str] = (), y: str = "label", score: str = "score", bands: int = 64) -> DataFrame:
-    """keys, score, p, n (positives and negatives at it), tp, fp (at it or above), pos, neg (all)."""
-    rows = df.where(F.col(score).isNotNull() & F.col(y).isin(0, 1))
+    """keys, score, p, n (positives and negatives at it), tp, fp (at it or above), pos, neg
+    (all), and ``following``, p and n at the next lower score. Null and NaN scores are left out."""
+    rows = df.where(_scored(score) & F.col(y).isin(0, 1))
     points = rows.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
     bounds = rows.agg(F.percentile_approx(F.col(score).cast("double"), [i / bands for i in range(1, bands)], 1000)).first()[0] or []
     band = sum((F.col("score") > b).cast("int") for b in sorted(set(bounds))) if bounds else F.lit(0)
     points = points.withColumn("_band", band)
-    sums = points.groupBy(*keys, "_band").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    sums = points.groupBy(*keys, "_band").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"), F.max_by(F.struct("p", "n"), "score").alias("top"))
     above = Window.partitionBy(*keys, F.lit(0)).orderBy(F.col("_band").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*keys, F.lit(0))
-    sums = sums.select(*keys, "_band", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in ("bp", "bn")), F.sum("bp").over(every).alias("pos"), F.sum("bn").over(every).alias("neg"))
-    own = Window.partitionBy(*keys, "_band").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    points = points.withColumn("_p", F.sum("p").over(own)).withColumn("_n", F.sum("n").over(own))
+    every, below = Window.partitionBy(*keys, F.lit(0)), Window.partitionBy(*keys, F.lit(0)).orderBy(F.col("_band").desc())  # a row for each band
+    sums = sums.select(*keys, "_band", F.lead("top").over(below).alias("_next"), *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in ("bp", "bn")), F.sum("bp").over(every).alias("pos"), F.sum("bn").over(every).alias("neg"))
+    inside = Window.partitionBy(*keys, "_band").orderBy(F.col("score").desc())
+    own = inside.rowsBetween(Window.unboundedPreceding, 0)
+    points = points.withColumns({"_p": F.sum("p").over(own), "_n": F.sum("n").over(own), "_then": F.lead(F.struct("p", "n")).over(inside)})
     same = F.lit(True)
     for k in [*keys, "_band"]:
         same = same & points[k].eqNullSafe(sums[k])
     out = points.join(sums, same) if keys else points.join(sums, "_band")
-    return out.select(*(points[k] for k in keys), points["score"], "p", "n", (F.col("_p") + F.col("_bp")).alias("tp"), (F.col("_n") + F.col("_bn")).alias("fp"), "pos", "neg")
+    return out.select(*(points[k] for k in keys), points["score"], "p", "n", (F.col("_p") + F.col("_bp")).alias("tp"), (F.col("_n") + F.col("_bn")).alias("fp"), "pos", "neg", F.coalesce("_then", "_next").alias("following"))
 
 
 def roc_curve(df: DataFrame, keys: Sequence[str] = (), y: str = "label", score: str = "score", drop_collinear: bool = False) -> DataFrame:
     """keys, threshold, fpr, tpr, with the origin (threshold infinity) of each group."""
     points = roc_points(df, keys, y, score)
-    curve = points.select(*keys, F.col("score").alias("threshold"), F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"), "tp", "fp")
+    if drop_collinear:  # a point between two equal steps
+        points = points.where(F.col("following").isNull() | (F.col("following.p") != F.col("p")) | (F.col("following.n") != F.col("n")))
+    curve = points.select(*keys, F.col("score").alias("threshold"), F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr"))
     start = points.select(*keys).distinct() if keys else points.limit(1).select()
-    origin = start.select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
-    curve = curve.unionByName(origin)
-    if drop_collinear:
-        w = Window.partitionBy(*keys, F.lit(0)).orderBy(F.col("threshold").desc())
-        same = ((F.col("tp") * 2 == F.lag("tp").over(w) + F.lead("tp").over(w)) & (F.col("fp") * 2 == F.lag("fp").over(w) + F.lead("fp").over(w)))
-        curve = curve.withColumn("_same", F.coalesce(same, F.lit(False))).where("not _same").drop("_same")
-    return curve.drop("tp", "fp")
+    return curve.unionByName(start.select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def compute_metrics(df: DataFrame, keys: Sequence[str] = (), y: str = "label", score: str = "score", threshold: float = 0.5, n_bins: int = 15) -> DataFrame:
     """One row for each group, or for all rows."""
     s, t = F.col(score).cast("double"), F.col(y).cast("double")
-    rows = df.where(s.isNotNull() & t.isin(0, 1))
+    rows = df.where(_scored(score) & t.isin(0, 1))
     pred = (s >= threshold).cast("double")
     basic = rows.groupBy(*keys).agg(
         F.count_if(t == 1).alias("n_positive"), F.count_if(t == 0).alias("n_negative"), F.avg((pred == t).cast("double")).alias("accuracy"), F.avg((s - t) * (s - t)).alias("brier"),
