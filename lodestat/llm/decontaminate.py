@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Staged, fetch, fields, mix, prepare, quoted, shuffled, slices, texts_of, trimmed, window_hash, with_row_key
+from .common import Lexicon, Staged, fetch, fields, mix, prepare, quoted, shuffled, slices, texts_of, trimmed, with_row_key
 
 #: Lower case for A-Z; ASCII characters that are neither letter nor digit become spaces.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -46,9 +46,21 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def _windows_of(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hash of each n consecutive words; the length is part of it."""
-    return mix(window_hash(h, n, _ONE) + np.uint64(n)), mix(window_hash(mix(h), n, _TWO) + np.uint64(n))
+def _flat(lexicon: Lexicon, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts end to end, the text of each, and where each
+    text begins (and the last one ends)."""
+    split = [words_of(t) for t in texts]
+    ends = np.cumsum([0, *map(len, split)])
+    return lexicon.hashed([w for words in split for w in words]), np.repeat(np.arange(len(split)), np.diff(ends)), ends
+
+
+def _windows_at(h: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the n words from each start on; the length is part of them."""
+    one, two = np.zeros((2, len(start)), np.uint64)
+    for k in range(n):
+        word = h[start + k]
+        one, two = one * np.uint64(_ONE) + word, two * np.uint64(_TWO) + mix(word)
+    return mix(one + np.uint64(n)), mix(two + np.uint64(n))
 
 
 def _entry(h: np.ndarray, offset, n) -> np.ndarray:
@@ -91,23 +103,21 @@ def _item_windows(window: int):
         lexicon = Lexicon()
         for batch in batches:
             for some in slices(batch, "text"):
-                at, one, two, size, words = [], [], [], [], []
-                for i, text in enumerate(texts_of(some.column("text"))):
-                    h = lexicon.hashed(words_of(text))
-                    n = min(len(h), window)
-                    if n:
-                        a, b = _windows_of(h, n)
-                        _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
-                        at += [i] * len(first)
-                        one.append(a[first])
-                        two.append(b[first])
-                        size += [n] * len(first)
-                        words += [h[s : s + n].view(np.int64) for s in first]
-                if at:
-                    rows = pa.array(at, pa.int64())
+                h, _, ends = _flat(lexicon, texts_of(some.column("text")))
+                size = np.minimum(np.diff(ends), window)
+                for n in np.unique(size[size > 0]).tolist():
+                    items = np.flatnonzero(size == n)
+                    each = np.diff(ends)[items] - n + 1  # windows of each item
+                    at = np.repeat(items, each)
+                    start = np.repeat(ends[items], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    one, two = _windows_at(h, start, n)
+                    order = np.lexsort((two, one, at))
+                    new = np.concatenate([[True], (np.diff(at[order]) != 0) | (np.diff(one[order].view(np.int64)) != 0) | (np.diff(two[order].view(np.int64)) != 0)])
+                    first = order[new]
+                    rows = pa.array(at[first], pa.int64())
+                    words = pa.FixedSizeListArray.from_arrays(_signed(h[start[first][:, None] + np.arange(n)].ravel()), n).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [some.column("item_no").take(rows), some.column("item_id").take(rows), _signed(np.concatenate(one)), _signed(np.concatenate(two)), pa.array(size, pa.int32()), pa.array(words, pa.list_(pa.int64()))],
-                        names=["item_no", "item_id", "one", "two", "n", "words"],
+                        [some.column("item_no").take(rows), some.column("item_id").take(rows), _signed(one[first]), _signed(two[first]), pa.array(np.full(len(first), n, np.int32)), words], names=["item_no", "item_id", "one", "two", "n", "words"]
                     )
 
     return run
@@ -126,11 +136,14 @@ def _frequencies(shared):
             return distinct, np.bincount(at, weights=n).astype(np.int64)
 
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                h = np.unique(lexicon.hashed(words_of(text)))
-                h = h[known.holds(h)]
-                found.append((h, np.ones(len(h), np.int64)))
-                size += len(h)
+            for some in slices(batch, 0):
+                h, doc, _ = _flat(lexicon, texts_of(some.column(0)))
+                own = np.flatnonzero(known.holds(h))
+                order = own[np.lexsort((h[own], doc[own]))]
+                again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])]) if len(order) else np.empty(0, bool)
+                words, n = np.unique(h[order[~again]], return_counts=True)  # a word counts once in a document
+                found.append((words, n))
+                size += len(words)
                 if size > 1_000_000:
                     found = [counted()]
                     size = len(found[0][0])
@@ -153,33 +166,28 @@ def _entries(batches):
 
 def _candidates(shared, columns: list[str]):
     """Number of words of each document, and the windows that its prefix words point at."""
-    kind = pa.list_(pa.struct([("one", pa.int64()), ("two", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
     @trimmed
     def run(batches):
         words, entries, windows, lengths = shared.value
         lexicon = Lexicon()
-
-        def of(h: np.ndarray):
-            place = np.flatnonzero(words.holds(h))
-            for n in lengths if len(place) else ():
-                start = [place[entries.holds(_entry(h[place], o, n))] - o for o in range(n)]
-                start = np.unique(np.concatenate(start))
-                start = start[(start >= 0) & (start + n <= len(h))]
-                if len(start):
-                    one, two = _windows_of(h, n)
-                    start = start[windows.holds(one[start])]
-                    for s, a, b in zip(start.tolist(), one[start].view(np.int64).tolist(), two[start].view(np.int64).tolist(), strict=True):
-                        yield {"one": a, "two": b, "start": s, "n": n}
-
         for batch in batches:
             for some in slices(batch, "text"):
-                n_words, found = [], []
-                for text in texts_of(some.column("text")):
-                    h = lexicon.hashed(words_of(text))
-                    n_words.append(len(h))
-                    found.append(list(of(h)))
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in columns), pa.array(n_words, pa.int64()), pa.array(found, kind)], names=[*columns, "n_words", "candidates"])
+                h, doc, ends = _flat(lexicon, texts_of(some.column("text")))
+                place, found = np.flatnonzero(words.holds(h)), []
+                for n in lengths if len(place) else ():
+                    start = np.unique(np.concatenate([place[entries.holds(_entry(h[place], o, n))] - o for o in range(n)]))
+                    start = start[(start >= 0) & (start + n <= len(h))]
+                    start = start[doc[start] == doc[start + n - 1]]  # it fits into the document
+                    one, two = _windows_at(h, start, n)
+                    kept = windows.holds(one)
+                    found.append((start[kept], one[kept], two[kept], np.full(kept.sum(), n)))
+                start, one, two, n = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2, np.empty(0, np.int64))
+                order = np.argsort(start, kind="stable")
+                start, one, two, n = (x[order] for x in (start, one, two, n))
+                column = pa.StructArray.from_arrays([_signed(one), _signed(two), pa.array(start - ends[doc[start]], pa.int32()), pa.array(n, pa.int32())], names=["one", "two", "start", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(start, ends), pa.int32()), column)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in columns), pa.array(np.diff(ends), pa.int64()), lists], names=[*columns, "n_words", "candidates"])
 
     return run
 
