@@ -264,35 +264,40 @@ _OBSERVED = "host string, framed boolean, stream string, slot int, key string, k
 
 
 def _slots(events: list, number: dict[int, int], framed: bool) -> dict[int, list]:
-    """What a page tells of each slot: kept, asked, blocks with words outside links,
-    links of blocks without, texts of its blocks (a sentence with a link in it is one)."""
+    """What a page tells of each slot: kept, asked; and if it is asked, blocks with words
+    outside links, links of blocks without, texts of its blocks (a sentence with a link
+    in it is one)."""
     seen: dict[int, list] = {}
     block: list[tuple[int, str, Slot, int]] = []
     for event in [*events, None]:
         if event is not None:
             block.append(event)
             continue
-        plain = any(not link and any(map(str.isalnum, text)) for _, text, _, link in block)
-        whole = "".join(text for _, text, _, _ in block).strip()
-        for at, text, where, link in block:
+        told = None
+        for at, _, where, link in block:
             if at >= 0:
-                own = seen.setdefault(number[at], [kept(where, framed), asked(where, framed), 0, set(), []])
-                own[2] += plain
-                if not plain and link:
-                    own[3].add(link)
-                own[4].append(whole)
+                own = seen.get(number[at])
+                if own is None:
+                    own = seen[number[at]] = [kept(where, framed), asked(where, framed), 0, set(), []]
+                if own[1]:
+                    told = told or (any(not x and any(map(str.isalnum, text)) for _, text, _, x in block), "".join(text for _, text, _, _ in block).strip())
+                    own[2] += told[0]
+                    if not told[0] and link:
+                        own[3].add(link)
+                    own[4].append(told[1])
         block = []
     return seen
 
 
 @trimmed
 def _observe(batches):
-    """Distinct folded streams (slot -1) and slots of the pages of a task, by host."""
+    """Distinct folded streams (slot -1; low and high are of hashes of what pages could keep)
+    and slots of the pages of a task, by host."""
     streams: dict[tuple, list] = {}
     slots: dict[tuple, list] = {}
 
     def rows():
-        keys = [(h, f, name, -1, key, None, None, n, 0, 0, 0, 0) for (h, f, name), (key, n) in streams.items()] + [(h, f, name, k, "", *v) for (h, f, name, k), v in slots.items()]
+        keys = [(h, f, name, -1, key, None, None, n, 0, 0, low, high) for (h, f, name), (key, n, low, high) in streams.items()] + [(h, f, name, k, "", *v) for (h, f, name, k), v in slots.items()]
         types = [pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys, strict=True), types, strict=True)], names=["host", "framed", "stream", "slot", "key", "kept", "asked", *_SLOT])
 
@@ -301,9 +306,12 @@ def _observe(batches):
             for host, page in zip(some.column("host").to_pylist(), some.column("html").to_pylist(), strict=True):
                 tokens, events, framed = _parse(page or "")
                 key, name, number = _stream(tokens)
-                streams.setdefault((host, framed, name), [key, 0])[1] += 1
+                h = hash64("\n".join(e[1] for e in events if e and e[0] >= 0 and kept(e[2], framed)).encode()) >> 1
+                own = streams.setdefault((host, framed, name), [key, 0, h, h])
+                own[1] += 1
+                own[2], own[3] = min(own[2], h), max(own[3], h)
                 for k, (is_kept, is_asked, plain, links, found) in _slots(events, number, framed).items():
-                    h = hash64("\n".join(found).encode()) >> 1
+                    h = hash64("\n".join(found).encode()) >> 1 if is_asked else 0
                     own = slots.setdefault((host, framed, name, k), [is_kept, is_asked, 0, 0, 0, h, h])
                     own[2] += 1
                     own[3] += plain
@@ -485,7 +493,7 @@ def kept_slots(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
     slots = Staged(slots, "wrapper-placed").df
     by_place = slots.groupBy(*at, "unit", "inner").agg(*(F.sum(c).alias(c) for c in ("n", "plain", "links")), F.min("low").alias("low"), F.max("high").alias("high"))
     by_place = Staged(by_place, "wrapper-places").df  # a table of its own, so that a hot host's slots can be split in the join
-    told = by_place.groupBy(*at).agg(F.max(F.col("low") != F.col("high")).alias("differ"))
+    told = observed.where("slot < 0").groupBy(*at).agg((F.min("low") != F.max("high")).alias("differ"))  # adverts that change tell nothing
     judged = by_place.join(shuffled(nodes.select(*at, F.col("n").alias("pages"))), at).join(shuffled(told), at)
     template = (F.col("low") == F.col("high")) & (F.col("n") == F.col("pages")) & F.col("differ") & (F.col("pages") > 1)
     links = (F.col("plain") == 0) & (F.col("links") > F.col("n"))

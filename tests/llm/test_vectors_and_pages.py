@@ -87,8 +87,9 @@ def test_template_text_goes_where_there_is_no_article(spark):
     page = lambda i: f"<body><div>Welcome to the site</div><div><p>Story number {i} is told.</p></div></body>"
     for n in (2, 3, 8):  # the same verdict however many pages the host has
         assert pages_of(spark, [page(i) for i in range(n)]) == [f"Story number {i} is told." for i in range(n)]
+    copies = [page(1).replace("<body>", f"<body><div class=ad>Buy {k}</div>") for k in range(3)]
     both = "Welcome to the site\nStory number 1 is told."
-    assert pages_of(spark, [page(1)]) == [both] and pages_of(spark, [page(1), page(1)]) == [both] * 2  # nothing tells template from text
+    assert pages_of(spark, [page(1)]) == [both] and pages_of(spark, [page(1), page(1)]) == [both] * 2 and pages_of(spark, copies) == [both] * 3  # nothing tells template from text
 
 
 def test_links_in_prose_stay_and_link_lists_go(spark):
