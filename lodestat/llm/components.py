@@ -19,6 +19,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         both = links.select("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = Staged(least, "links-least").df  # a table of its own, so that the links of a hub can be split in the join
     joined = both.join(shuffled(least), "u")
     if large:
         return joined.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -37,6 +38,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         if now == before:
             break
         before, old = now, table
-        table = Staged(_star(_star(table.df, True), False), "links")
+        large = Staged(_star(table.df, True), "links-large")
+        table = Staged(_star(large.df, False), "links")
         old.drop()
+        large.drop()
     return table.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(table.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
