@@ -117,53 +117,56 @@ def _boundaries(window: int):
     return run
 
 
-def parse(matches: list[dict]) -> list[list]:
-    """Greedy factors [first window, windows, reference text, first window there] from
-    the matches of a document: windows s .. s+n-1 stand at ``at.s`` of the text ``at``."""
-    factors: list[list] = []
-    for m in sorted(matches, key=lambda m: m["s"]):
-        at = m["at"]
-        text = (at["rk"], at["rh"])
-        if factors:
-            start, n, own, there = factors[-1]
-            if start + n == m["s"] and own == text and there + n == at["s"]:
-                factors[-1][1] += m["n"]
-                continue
-        factors.append([m["s"], m["n"], text, at["s"]])
-    return factors
+def parse(s: np.ndarray, n: np.ndarray, rk: np.ndarray, rh: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Greedy factors from the matches of a document: windows s .. s+n-1 stand at
+    ``there`` of the reference text (rk, rh). A factor grows while the next match
+    follows it here and there; gives the factors in the same form."""
+    order = np.argsort(s, kind="stable")
+    s, n, rk, rh, there = (x[order] for x in (s, n, rk, rh, there))
+    follows = (s[:-1] + n[:-1] == s[1:]) & (rk[:-1] == rk[1:]) & (rh[:-1] == rh[1:]) & (there[:-1] + n[:-1] == there[1:])
+    first = np.flatnonzero(np.concatenate([[True], ~follows])) if len(s) else np.empty(0, np.int64)
+    return s[first], np.add.reduceat(n, first) if len(s) else n, rk[first], rh[first], there[first]
 
 
 _FACTOR = "struct<start:int,stop:int,source_rk:bigint,source_rh:int,source_start:int>"
 
 
+def _structs(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Array:
+    """A list of structs for each row, from the columns of its structs."""
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+    ends = np.cumsum([0, *(len(r[0]) for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names))
+
+
 def _cut(window: int):
     """Parse each document and drop the words of its factors."""
-    span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
-    factor = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("source_rk", pa.int64()), ("source_rh", pa.int32()), ("source_start", pa.int32())])
 
     @trimmed
     def run(batches):
         for batch in batches:
             for some in slices(batch, "text"):
+                column = some.column("matches")
+                ends = np.cumsum(np.fromiter((len(x) if x.is_valid else 0 for x in column), np.int64, len(column)))
+                flat = [x.to_numpy() for x in column.flatten().flatten()]
                 n_words, n_removed, kept, spans, factors = [], [], [], [], []
-                for text, own in zip(texts_of(some.column("text")), some.column("matches").to_pylist(), strict=True):
+                for text, a, b in zip(texts_of(some.column("text")), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                     words = text.split()
                     edge = np.zeros(len(words) + 1, np.int64)
-                    found = parse(own or [])
-                    for s, n, _, _ in found:
-                        edge[s] += 1
-                        edge[s + n + window - 1] -= 1
+                    s, n, rk, rh, there = parse(*(x[a:b] for x in flat))
+                    np.add.at(edge, s, 1)
+                    np.add.at(edge, s + n + window - 1, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    factors.append([{"start": s, "stop": s + n + window - 1, "source_rk": rk, "source_rh": rh, "source_start": there} for s, n, (rk, rh), there in found])
-                    spans.append([{"start": int(a), "stop": int(b)} for a, b in turn.reshape(-1, 2)])
+                    factors.append((s, s + n + window - 1, rk, rh, there))
+                    spans.append((turn[::2], turn[1::2]))
                     n_words.append(len(words))
                     n_removed.append(int(gone.sum()))
-                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if own else words))
+                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(s) else words))
                 yield pa.RecordBatch.from_arrays(
-                    [*(some.column(c) for c in ("id", "rk", "rh")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(span)), pa.array(factors, pa.list_(factor))],
+                    [*(some.column(c) for c in ("id", "rk", "rh")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
+                     _structs(spans, ["start", "stop"], [pa.int32()] * 2), _structs(factors, ["start", "stop", "source_rk", "source_rh", "source_start"], [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()])],
                     names=["id", "rk", "rh", "n_words", "n_removed", "kept", "spans", "factors"],
-                )
+                )
 
     return run
 
@@ -198,7 +201,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words of windows that start anywhere else as well. spans are the word ranges cut
     out; factors is the parse, word ranges with the reference text (rk, rh) and the
     word there that they are copied from (the reference's own copy names itself)."""
-    found = matches(df, id_col, text_col, window, gram).groupBy("rk", "rh").agg(F.collect_set(F.struct("s", "n", "at")).alias("matches"))  # a set: rows equal in id and text have one parse
+    found = matches(df, id_col, text_col, window, gram).groupBy("rk", "rh").agg(F.collect_set(F.struct("s", "n", "at.rk", "at.rh", F.col("at.s").alias("there"))).alias("matches"))  # a set: rows equal in id and text have one parse
     texts = with_row_key(df, id_col, text_col)
     joined = texts.join(shuffled(Staged(found, "rlz-matches").df), ["rk", "rh"], "left").select("id", "rk", "rh", "text", "matches")
     return joined.mapInArrow(_cut(window), fields(texts, ["id", "rk", "rh"], f"n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int>>, factors array<{_FACTOR}>"))

@@ -71,10 +71,10 @@ def test_repeated_windows_are_cut(spark):
 
 
 def test_parse_is_greedy():
-    match = lambda s, n, rk, there: {"s": s, "n": n, "at": {"rk": rk, "rh": 0, "s": there}}
-    found = [match(9, 1, 1, 54), match(0, 4, 1, 50), match(4, 5, 1, 54), match(20, 3, 1, 70), match(23, 2, 2, 73), match(25, 1, 2, 75), match(26, 1, 2, 99)]
-    assert substring_dedup.parse(found) == [[0, 9, (1, 0), 50], [9, 1, (1, 0), 54], [20, 3, (1, 0), 70], [23, 3, (2, 0), 73], [26, 1, (2, 0), 99]]
-    assert substring_dedup.parse([]) == []
+    found = [(9, 1, 1, 0, 54), (0, 4, 1, 0, 50), (4, 5, 1, 0, 54), (20, 3, 1, 0, 70), (23, 2, 2, 0, 73), (25, 1, 2, 0, 75), (26, 1, 2, 0, 99), (27, 1, 2, 1, 100)]
+    got = substring_dedup.parse(*np.array(found).T)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [(0, 9, 1, 0, 50), (9, 1, 1, 0, 54), (20, 3, 1, 0, 70), (23, 3, 2, 0, 73), (26, 1, 2, 0, 99), (27, 1, 2, 1, 100)]
+    assert all(len(x) == 0 for x in substring_dedup.parse(*np.empty((5, 0), np.int64)))
 
 
 @pytest.mark.parametrize("run", [1, 2, 3, 5])
@@ -142,7 +142,7 @@ def grams(text, n=5):
     return {tuple(w[s : s + n]) for s in range(max(len(w) - n + 1, 1))} if w else set()
 
 
-@pytest.mark.parametrize("tile", [256, 4])
+@pytest.mark.parametrize("tile", [(256, 2_000_000), (4, 2_000_000), (256, 300)])
 def test_near_duplicates_match_all_pairs(spark, tile):
     rng = random.Random(9)
     base = [f"w{rng.randint(0, 500)}" for _ in range(200)]
@@ -163,9 +163,9 @@ def test_near_duplicates_match_all_pairs(spark, tile):
                 root = [a if z == b else z for z in root]
     least = {c: min((data[y][0] for y in range(len(data)) if root[y] == c and data[y][0] is not None), default=None) for c in set(root)}
     want = Counter((data[x][0], least[root[x]] if sets[x] else data[x][0], sum(bool(s) and s == sets[x] for s in sets) if sets[x] else 1, sum(linked[x])) for x in range(len(data)))
-    got = ngram_join.near_duplicates(table(spark, data), tile=tile)
+    got = ngram_join.near_duplicates(table(spark, data), tile=tile[0], tile_grams=tile[1])
     assert spark_rows(got.select("id", "class_id", "n_copies", "n_links")) == want
-    kept = ngram_join.keep_one(table(spark, data), tile=tile)
+    kept = ngram_join.keep_one(table(spark, data), tile=tile[0], tile_grams=tile[1])
     assert kept.columns == ["doc_id", "text", "rk", "row", "kept"]
     alone = {d for d, s in zip(data, sets, strict=True) if not s}
     assert kept.count() == len({root[x] for x in range(len(data)) if sets[x]}) + len({(i, t or "") for i, t in alone})
