@@ -110,7 +110,7 @@ class Staged:
         self.spark = df.sparkSession
         name = f"{tag}-{uuid.uuid4().hex}"
         self.path = f"{scratch_root(self.spark)}/{name}"
-        writer = df.write.format("parquet").option("compression", "zstd").partitionBy(*by or [])
+        writer = df.write.format("parquet").option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(*by or [])
         with _setting(self.spark, _CLEANUP, "true"):  # its shuffle files aren't needed once it is written
             if bucket:
                 table = "lodestat_" + name.replace("-", "_")

@@ -7,8 +7,8 @@
    Classes shuffle on band hashes; each points at the smallest of its bucket
    (never at every other member), and the links' components are the candidates.
 3. The full n-gram sets of a candidate component meet and every pair in it is
-   verified exactly. A component of more than ``tile`` sets is cut by hash into
-   chunks, and each two chunks meet in a task of their own: memory is bounded,
+   verified exactly. A component of more than ``tile`` sets, or of more than
+   ``tile_grams`` n-grams in all, is cut by hash into chunks, and each two chunks meet in a task of their own: memory is bounded,
    nothing is left out, and counts and a spanning forest go on, never the pairs.
 
 Words are those of :mod:`decontaminate` (lower-cased letters and digits). A text
@@ -144,7 +144,7 @@ def _verify(threshold: float):
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, tile: int = 256, seed: int = 1
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, tile: int = 256, tile_grams: int = 2_000_000, seed: int = 1
 ) -> DataFrame:
     """``id, rk, rh, class_id, n_copies, n_links, leader`` of every row: class_id is
     the smallest id of the texts linked to it, n_copies how many rows have its set,
@@ -153,7 +153,7 @@ def near_duplicates(
     texts = with_row_key(df, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
     signed = Staged(texts.mapInArrow(_signatures(n, bands, rows, seed), f"id {kind}, rk long, rh int, sid long, size long, bands array<long>"), "join-signatures")
-    classes = signed.df.where("size > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "rh")).alias("at"), F.first("bands").alias("bands"))
+    classes = signed.df.where("size > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.first("size").alias("size"), F.min(F.struct("rk", "rh")).alias("at"), F.first("bands").alias("bands"))
     classes = Staged(classes, "join-classes").df
     banded = classes.select("sid", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("sid").alias("least"), F.count("*").alias("c")).where("c > 1").select("band", "least")
@@ -161,8 +161,11 @@ def near_duplicates(
     candidates = connected_components(banded.join(shuffled(least), "band").where("sid != least").select(F.col("sid").alias("u"), F.col("least").alias("v")))
     candidates = Staged(candidates, "join-candidates").df
 
-    sizes = Staged(candidates.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")), "join-sizes").df  # tables of their own, so that a large component's rows can be split in joins
-    wanted = candidates.join(shuffled(sizes), "component").join(shuffled(classes.select("sid", "copies", "at")), candidates["node"] == classes["sid"]).select("component", "sid", "copies", "chunks", F.col("at.rk").alias("rk"), F.col("at.rh").alias("rh"))
+    wanted = candidates.join(shuffled(classes.select("sid", "size", "copies", "at")), candidates["node"] == classes["sid"]).select("component", "sid", "size", "copies", F.col("at.rk").alias("rk"), F.col("at.rh").alias("rh"))
+    wanted = Staged(wanted, "join-wanted").df
+    chunks = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / tile_grams)).cast("int").alias("chunks")
+    sizes = Staged(wanted.groupBy("component").agg(chunks), "join-sizes").df  # tables of their own, so that a large component's rows can be split in joins
+    wanted = wanted.join(shuffled(sizes), "component").drop("size")
     one = texts.select("text", "rk", "rh").join(shuffled(wanted), ["rk", "rh"]).dropDuplicates(["sid"]).select("text", "component", "sid", "copies", "chunks")
     sets = one.mapInArrow(_sets(n), "component long, sid long, copies long, chunks int, grams binary")
     side = F.pmod(F.xxhash64("sid"), F.col("chunks").cast("long")).cast("int")
@@ -172,9 +175,9 @@ def near_duplicates(
     counted = verified.where("other is null").groupBy("sid").agg(F.sum("links").alias("links"))
     joined = connected_components(verified.where("other is not null"), "sid", "other").select(F.col("node").alias("sid"), "component")
 
-    rows_of = signed.df.select("id", "rk", "rh", "sid", "size").join(shuffled(classes.select("sid", "copies")), "sid", "left")
-    rows_of = rows_of.join(shuffled(counted), "sid", "left").join(shuffled(joined), "sid", "left")
-    rows_of = Staged(rows_of.select("id", "rk", "rh", "sid", "size", "copies", "links", F.coalesce("component", "sid").alias("component")), "join-rows").df
+    told = classes.select("sid", "copies").join(shuffled(counted), "sid", "left").join(shuffled(joined), "sid", "left")
+    told = Staged(told.select("sid", "copies", "links", F.coalesce("component", "sid").alias("component")), "join-told").df  # a table of its own, so that a class's many copies can be split in the join
+    rows_of = Staged(signed.df.select("id", "rk", "rh", "sid", "size").join(shuffled(told), "sid", "left"), "join-rows").df
     smallest = Staged(rows_of.where("size > 0").groupBy("component").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rk", "rh")).alias("lead")), "join-smallest").df
     out = rows_of.join(shuffled(smallest), "component", "left")
     alone = F.col("size") == 0
