@@ -115,27 +115,48 @@ class _Segments:
 
 class _Features:
     """The features of each word that ``min_docs`` training texts or more hold; what
-    fewer hold can only be learned by heart."""
-
-    def __init__(self, vocabulary: list[bytes], codes: list[np.ndarray], bits: int, min_docs: int):
-        self.n_words = len(vocabulary)
-        owner, bucket = subwords(vocabulary, bits)
-        self.per_word = np.bincount(owner, minlength=self.n_words).astype(float)
-        order = np.argsort(owner, kind="stable")
-        owner, bucket = owner[order], bucket[order]
-        del order
-        first = np.searchsorted(owner, np.arange(self.n_words + 1))
+    fewer hold can only be learned by heart. Words are worked on in runs, so that what a
+    step needs beside the features themselves does not grow with the vocabulary."""
+
+    def __init__(self, vocabulary: list[bytes], codes: list[np.ndarray], bits: int, min_docs: int, run: int = 1 << 13):
+        sizes, buckets = [], []
+        for lo in range(0, len(vocabulary), run):
+            words = vocabulary[lo : lo + run]
+            owner, bucket = subwords(words, bits)
+            sizes.append(np.bincount(owner, minlength=len(words)))
+            buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        size, bucket = np.concatenate(sizes), np.concatenate(buckets)
+        self.per_word = size.astype(float)
+        first = np.cumsum(size) - size
         docs = np.zeros(1 << bits, np.int32)
         for c in codes:
             own = np.unique(c)
-            docs[np.unique(gather(bucket, first[:-1], np.diff(first), own))] += 1
-        common = docs[bucket] >= min_docs
-        self.owner = owner[common]
-        self.used, self.bucket = np.unique(bucket[common], return_inverse=True)
+            docs[np.unique(gather(bucket, first, size, own))] += 1
+        self.used = np.flatnonzero(docs >= min_docs)
+        place = np.full(1 << bits, -1, np.int32)
+        place[self.used] = np.arange(len(self.used))
+        del bucket
+        for i, (n, b) in enumerate(zip(sizes, buckets, strict=True)):
+            b = place[b]
+            sizes[i] = np.add.reduceat(b >= 0, np.cumsum(n) - n, dtype=np.int64)  # no word is without features: each is one of its own
+            buckets[i] = b[b >= 0]
+        self.size, self.bucket = np.concatenate(sizes), np.concatenate(buckets)
+        words, ends = [*range(0, len(size), run), len(size)], np.append(0, np.cumsum(self.size))
+        self.runs = [(a, b, int(ends[a]), int(ends[b])) for a, b in zip(words, words[1:], strict=False)]
+
+    def _owner(self, a: int, b: int) -> np.ndarray:
+        return np.repeat(np.arange(b - a), self.size[a:b])
 
     def by_word(self, value: np.ndarray) -> np.ndarray:
         """Sum of a number for each used bucket over the features of each word."""
-        return np.bincount(self.owner, weights=value[self.bucket], minlength=self.n_words)
+        return np.concatenate([np.bincount(self._owner(a, b), weights=value[self.bucket[lo:hi]], minlength=b - a) for a, b, lo, hi in self.runs])
+
+    def by_bucket(self, value: np.ndarray) -> np.ndarray:
+        """Sum of a number for each word over the words of each used bucket."""
+        out = np.zeros(len(self.used))
+        for a, b, lo, hi in self.runs:
+            out += np.bincount(self.bucket[lo:hi], weights=np.repeat(value[a:b], self.size[a:b]), minlength=len(out))
+        return out
 
 
 def train(codes: list[np.ndarray], vocabulary: list[bytes], y: np.ndarray, positive_share: float, bits: int = 18, dim: int = 4, segment: int = 8, rounds: int = 2, steps: int = 60, min_docs: int = 5, seed: int = 0) -> Model:
@@ -158,7 +179,7 @@ def train(codes: list[np.ndarray], vocabulary: list[bytes], y: np.ndarray, posit
     soft, bias = rng.normal(0, 1, (dim, 2)), np.zeros(2)
     params = [emb, soft, bias]
     rate = (1.0, 0.05, 0.05)
-    seen = np.bincount(f.bucket, weights=np.bincount(c.word, minlength=f.n_words)[f.owner], minlength=len(f.used))
+    seen = f.by_bucket(np.bincount(c.word, minlength=len(vocabulary)).astype(float))
     scale = 1 / np.sqrt(np.maximum(seen, 1))  # common features stand in every segment and move least
 
     def forward():
@@ -204,7 +225,7 @@ def train(codes: list[np.ndarray], vocabulary: list[bytes], y: np.ndarray, posit
             g = weight * (_sigmoid(gap) - label)
             g2 = np.stack([-g, g], axis=1)
             d_seg = (g2 @ soft.T).T / size_of
-            d_emb = np.array([np.bincount(f.bucket, weights=np.bincount(c.word, weights=d[seg], minlength=f.n_words)[f.owner], minlength=len(f.used)) for d in d_seg]) * scale
+            d_emb = np.array([f.by_bucket(np.bincount(c.word, weights=d[seg], minlength=len(vocabulary))) for d in d_seg]) * scale
             downhill = (d_emb, mean @ g2, g2.sum(axis=0))
             if unit is None:  # the first steps have the lengths in rate; later ones follow the gradient
                 unit = [r / max(np.abs(d).max(), 1e-12) for r, d in zip(rate, downhill, strict=True)]
@@ -303,8 +324,13 @@ def fit(
     rows.sort(key=lambda r: (r[0], len(r[2])))
     if len({r[1] for r in rows}) < 2:
         return share
+    codes, vocabulary, truth = [r[2] for r in rows], list(number), np.array([r[1] for r in rows])
+    del rows, number
     trim()
-    return train([r[2] for r in rows], list(number), np.array([r[1] for r in rows]), share, seed=seed)
+    try:
+        return train(codes, vocabulary, truth, share, seed=seed)
+    finally:
+        trim()
 
 
 def score(df: DataFrame, model: Model | float, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -403,3 +404,31 @@ def test_quality_weights_and_keys_by_brute_force(spark):
     share = sum(q for _, q in labels) / len(labels)
     bar = sorted((w[3] for w in want), reverse=True)[round(share * len(data)) - 1]
     assert all(r["kept"] == (round(r["gumbel_key"], 6) >= bar) for r in got)
+
+
+def test_toxicity_trains_in_bounded_memory():
+    rng = np.random.default_rng(0)
+    vocabulary = [f"w{i * 7919 % 99991:05d}{i % 89:02d}".encode() for i in range(60_000)]
+    codes = [rng.integers(0, len(vocabulary), 200).astype(np.int32) for _ in range(300)]
+    tracemalloc.start()
+    toxicity.train(codes, vocabulary, np.arange(300) % 3 // 2, 0.3, rounds=1, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000  # 101 MB while all features of the vocabulary were worked on at once, now 24
+
+
+def test_toxicity_sums_over_features_by_brute_force():
+    rng = random.Random(0)
+    vocabulary = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))).encode() for _ in range(100)]
+    vocabulary = list(dict.fromkeys(vocabulary))
+    codes = [np.array([rng.randrange(len(vocabulary)) for _ in range(12)]) for _ in range(20)]
+    own = [[] for _ in vocabulary]
+    for w, b in zip(*toxicity.subwords(vocabulary, 10), strict=True):
+        own[w].append(int(b))
+    docs = Counter(b for c in codes for b in {b for w in c for b in own[w]})
+    used = sorted(b for b, n in docs.items() if n >= 3)
+    f = toxicity._Features(vocabulary, codes, 10, 3, run=7)
+    assert f.used.tolist() == used and f.per_word.tolist() == [len(x) for x in own]
+    value, word = {b: rng.randrange(100) for b in used}, [rng.randrange(100) for _ in vocabulary]
+    assert f.by_word(np.array([value[b] for b in used], float)).tolist() == [sum(value.get(b, 0) for b in x) for x in own]
+    assert f.by_bucket(np.array(word, float)).tolist() == [sum(word[w] * x.count(b) for w, x in enumerate(own)) for b in used]
