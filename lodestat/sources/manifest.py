@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,21 @@ def scan_shards(spark: SparkSession, root: str, columns: Sequence[str] = METADAT
     return df.select(*available_columns(df, columns), _relative(root).alias("shard"), F.col("_metadata.row_index").alias("row_in_shard"))
 
 
+def shard_offsets(manifest: DataFrame) -> DataFrame:
+    """(shard, offset): rows of the shards before each, by path. As many as files."""
+    sizes = sorted((r["shard"], r["count"]) for r in manifest.groupBy("shard").count().collect())
+    starts = accumulate((n for _, n in sizes), initial=0)
+    return manifest.sparkSession.createDataFrame([(s, k) for (s, _), k in zip(sizes, starts, strict=False)], "shard string, offset long")
+
+
+def as_one_shard(rows: DataFrame, name: str, offsets: DataFrame) -> DataFrame:
+    """Rows of a table's files as rows of one shard, numbered through in the order of
+    the files' paths. offsets come from a scan of all rows of the table."""
+    place = (F.col("row_in_shard") + F.col("offset")).alias("row_in_shard")
+    placed = rows.join(F.broadcast(offsets), "shard")
+    return placed.select(*(F.lit(name).alias(c) if c == "shard" else place if c == "row_in_shard" else F.col(c) for c in rows.columns))
+
+
 def scan_report(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     """n_rows, n_shards, n_failed, failed_shards of a scan. Shards that gave no row
     failed unless they can be opened (and are empty)."""

@@ -1,6 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__
+
 from lodestat.functions import images as I
 from lodestat.sources import manifest as M
 from lodestat.sources import sinks
@@ -136,3 +139,22 @@ def test_headers_without_pixels(spark):
 def test_long_reports_are_refused(spark):
     with pytest.raises(ValueError):
         sinks.markdown(spark.range(5), max_rows=4)
+
+
+def against_sql(spark, tmp_path, query):
+    """Rows of a query and of its SQL over documents in files whose sizes don't follow their names."""
+    (tmp_path / "documents.parquet").mkdir()
+    for name, low, high in (("b", 0, 5), ("a", 10, 70), ("c", 100, 130), ("d", 0, 0)):
+        rows = spark.range(low, high).selectExpr("id as doc_id", "case when id % 7 > 0 then concat('text ', id) end as text").coalesce(1)
+        rows.toPandas().astype({"doc_id": "int64", "text": "string"}).to_parquet(tmp_path / "documents.parquet" / f"part-{name}.parquet")
+    spark.range(0, 200, 3).selectExpr("id as doc_id", "cast(id % 2 as int) as quality").toPandas().to_parquet(tmp_path / "labels.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql.execute(f"CREATE VIEW labels AS FROM '{tmp_path}/labels.parquet'")
+    got = __spark_entry__.queries()[query](spark, str(tmp_path)).collect()
+    return sorted(map(tuple, got)), sorted(sql.execute(__spark_entry__.oracle_sql()[query]).fetchall())
+
+
+def test_row_identity_of_a_table_of_many_files(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "s3_shard_row_identity")
+    assert got == want and len(got) == 95
