@@ -158,3 +158,8 @@ def against_sql(spark, tmp_path, query):
 def test_row_identity_of_a_table_of_many_files(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "s3_shard_row_identity")
     assert got == want and len(got) == 95
+
+
+def test_scan_of_a_table_of_many_files(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "s7_scan_shards")
+    assert got == want == [("documents.parquet", 95, 0, 94)]
