@@ -46,9 +46,10 @@ def _file():
 
 
 def _relative(root: str):
-    """A file's path below root, whatever scheme the path carries."""
+    """A file's path below root, whatever scheme the path carries; its name, if it is the root itself."""
     tail = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    return F.regexp_replace(F.substring_index(_file(), tail + "/", -1), "^/+", "")
+    below = F.regexp_replace(F.substring_index(_file(), tail + "/", -1), "^/+", "")
+    return F.when(_file().endswith(tail) & ~_file().contains(tail + "/"), F.substring_index(_file(), "/", -1)).otherwise(below)
 
 
 def scan_shards(spark: SparkSession, root: str, columns: Sequence[str] = METADATA, skip_corrupt: bool = True, max_shards: int | None = None) -> DataFrame:

@@ -163,3 +163,8 @@ def test_row_identity_of_a_table_of_many_files(spark, tmp_path):
 def test_scan_of_a_table_of_many_files(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "s7_scan_shards")
     assert got == want == [("documents.parquet", 95, 0, 94)]
+
+
+def test_selected_rows_of_a_table_of_many_files(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "s11_selected_rows")
+    assert got == want and len(got) > 20
