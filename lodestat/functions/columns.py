@@ -112,9 +112,17 @@ def calibrated(p: Column, a: float, b: float) -> Column:
     return sigmoid(F.lit(a) * logit(p) + F.lit(b))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines with binary arithmetic do: halves of the scaled
+    number away from zero, and what rounds to zero from below is -0.0."""
+    scaled = F.signum(x) * F.round(F.abs(x) * 10.0**digits) / 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(x)
+
+
 def l2_normalized(v: Column) -> Column:
+    """A vector of length 1; null components stay null and add nothing to the length."""
     v = v.cast("array<double>")
-    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-8))
+    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0)))), F.lit(1e-8))
     return F.transform(v, lambda x: x / norm)
 
 

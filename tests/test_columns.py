@@ -1,7 +1,9 @@
 import hashlib
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from lodestat.functions import columns as C
 
 
@@ -54,3 +56,22 @@ def test_labels_and_names(spark):
 def test_zero_vector_keeps_zero(spark):
     r = one(spark, v=C.l2_normalized(F.array(F.lit(0.0), F.lit(0.0))), w=C.l2_normalized(F.array(F.lit(3.0), F.lit(4.0))))
     assert r["v"] == [0.0, 0.0] and [round(x, 9) for x in r["w"]] == [0.6, 0.8]
+
+
+def test_normalized_vectors_are_those_of_sql_to_the_sign_of_zero(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    vectors = [[3.0, -1e-7], [-0.0, 1.0], [0.0, -2e-30], [0.1234565, 0.99235], [None, 3.0, 4.0], [None], [], None, [nan, 1.0], [inf, -inf, 1.0], [1e30, -1.0]]
+    rows = [(i, v, 0) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = __spark_entry__.queries()["p14_l2_normalize"](spark, str(tmp_path)).collect()
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sql.execute(__spark_entry__.oracle_sql()["p14_l2_normalize"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and "-0.0" in repr(want)
+
+
+def test_rounding_as_sql_does(spark):
+    values = [0.5e-6, -0.5e-6, 0.1234565, -0.1234565, 2.5e-6, 1.0000005, 0.49999949999999994, -1e-7, -0.0, 0.0, 1.7e308, -1e300, 12345678901234.568, float("nan"), float("-inf")]
+    got = [r["x"] for r in spark.createDataFrame([(x,) for x in values], "x double").coalesce(1).select(C.rounded(F.col("x"), 6).alias("x")).collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in values]
+    assert list(map(repr, got)) == list(map(repr, want))
